@@ -4,7 +4,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-PARTS = ["history"]
+PARTS = ["history", "cleaning"]
 
 
 def load():

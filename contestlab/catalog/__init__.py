@@ -4,7 +4,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-PARTS = ["history", "cleaning"]
+PARTS = ["history", "cleaning", "fitted"]
 
 
 def load():

@@ -26,10 +26,10 @@ raw AS (SELECT l_orderkey AS contest_id, l_suppkey AS entity_id,
   CAST(sum(60) AS BIGINT) AS secs,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, {_STAT_SQL}
   FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q, (l_linenumber - 1) % 3 + 1 AS rd FROM lineitem) GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY entity_id) AS side FROM raw),
+sided AS (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY entity_id) AS side FROM raw),
 head0 AS (SELECT a.contest_id, a.entity_id AS entity1_id, b.entity_id AS entity2_id,
   CASE WHEN a.cents > b.cents THEN 1 WHEN a.cents < b.cents THEN 0 ELSE 2 END AS result
-  FROM rk a JOIN rk b ON a.contest_id = b.contest_id AND a.side = 1 AND b.side = 2),
+  FROM sided a JOIN sided b ON a.contest_id = b.contest_id AND a.side = 1 AND b.side = 2),
 headers AS (SELECT h.*, CAST(o_orderdate AS DATE) AS event_date,
   CAST(((CAST(o_orderdate AS DATE) - DATE '1990-01-01') * 2 + o_custkey % 2) * 7919 % 100003 AS BIGINT) AS event_id,
   o_orderpriority AS grp,
@@ -38,7 +38,7 @@ headers AS (SELECT h.*, CAST(o_orderdate AS DATE) AS event_date,
   FROM head0 h JOIN orders ON o_orderkey = contest_id),
 sides AS MATERIALIZED (SELECT h.event_id, h.event_date, h.grp, h.method, h.end_round, h.end_time, h.result,
   CASE WHEN r.side = 1 THEN h.entity2_id ELSE h.entity1_id END AS opponent_id, r.*
-  FROM rk r JOIN headers h ON h.contest_id = r.contest_id WHERE r.side <= 2)
+  FROM sided r JOIN headers h ON h.contest_id = r.contest_id WHERE r.side <= 2)
 """
 
 ENTITIES = """

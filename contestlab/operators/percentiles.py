@@ -76,6 +76,7 @@ def group_median(df: DataFrame, keys: list[str], cols: list[str], suffix: str =
 
 def group_mad(df: DataFrame, keys: list[str], cols: list[str], suffix: str = "_mad", **kw) -> DataFrame:
     """Median absolute deviation from the group's own median."""
+    df = cut(df.select(*keys, *cols))
     med = group_median(df, keys, cols, "__med", **kw)
     dev = small_join(df, med, keys, "inner").select(*keys, *[F.abs(F.col(c) - F.col(f"{c}__med")).alias(c) for c in cols])
     return group_median(dev, keys, cols, suffix, **kw)

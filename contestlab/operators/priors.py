@@ -162,13 +162,18 @@ def gamma_rate(df: DataFrame, count: str, seconds: str, group: str) -> DataFrame
     return per.select(group, (F.col("r") * 60 * s).alias("alpha"), s.alias("beta"))
 
 
-# Fixed values of the accuracy prior, by stat family, first matching family wins.
-ACCURACY_BASE = [("td", 0.10), ("leg", 0.52), ("head", 0.35), ("distance", 0.30), ("clinch", 0.80), ("ground", 0.90)]
-ACCURACY_BASE_SUB, ACCURACY_BASE_OTHER = 0.08, 0.70
+# Fixed values of the accuracy prior: base weight, additions by share of zeros, volume exponents, smoothing.
+ACCURACY_WEIGHT = 0.70
+ACCURACY_CAP = 2.0
+ACCURACY_SMOOTH, ACCURACY_SMOOTH_BUSY = 0.07, 0.03
 
 
 def accuracy_prior(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Per family (name -> land, att columns): mean accuracy, zero share, volume, then alpha and beta."""
+    """Per family (name -> land, att columns): mean accuracy, zero share, volume, then alpha and beta.
+
+    The prior weight grows with the share of zeros and falls with a root of the
+    attempt volume. It does not depend on the family's name.
+    """
     aggs = []
     for n, (land, att) in pairs.items():
         has = F.col(att).isNotNull()
@@ -178,38 +183,24 @@ def accuracy_prior(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFram
             F.avg(F.when(F.col(att) > 0, F.col(att))).alias(f"att_{n}"),
             F.avg(F.when(has, F.col(land))).alias(f"land_{n}"),
         ]
-    wide = df.agg(*aggs)
     keys = ("acc", "zero", "att", "land")
-    long = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), *[F.col(f"{k}_{n}").alias(k) for k in keys]) for n in pairs])).alias("r")).select("r.*")
-    long = long.select("stat", F.coalesce("acc", F.lit(0.5)).alias("acc"), F.coalesce("zero", F.lit(0.0)).alias("zero"),
-                       F.greatest(F.coalesce("att", F.lit(0.1)), F.lit(0.1)).alias("att"), F.coalesce("land", F.lit(0.0)).alias("land"))
+    rows = F.array(*[F.struct(F.lit(n).alias("stat"), *[F.col(f"{k}_{n}").alias(k) for k in keys]) for n in pairs])
+    long = df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+    long = long.select(
+        "stat", F.coalesce("acc", F.lit(0.5)).alias("acc"), F.coalesce("zero", F.lit(0.0)).alias("zero"),
+        F.greatest(F.coalesce("att", F.lit(0.1)), F.lit(0.1)).alias("att"), F.coalesce("land", F.lit(0.0)).alias("land"))
     acc, zero, att, land = (F.col(k) for k in keys)
-
-    def fam(text: str) -> Column:
-        return F.contains(F.col("stat"), F.lit(text))
-
-    sub, td = fam("sub") & (zero > 0.8), fam("td") | fam("takedown")
-    very_rare, rare = (land < 0.2) & (zero > 0.8), (land < 1.0) | (zero > 0.5)
-    big = att > 50
-    base = F.when(sub, ACCURACY_BASE_SUB)
-    for name, k in ACCURACY_BASE:
-        base = base.when(td if name == "td" else fam(name), k)
-    base = base.otherwise(ACCURACY_BASE_OTHER)
-    extra = (
-        F.when((zero > 0.9) & very_rare & ~td, 0.2).when((zero > 0.8) & ~td, 0.15).when((zero > 0.5) & td, 0.05)
-        .when(zero > 0.5, 0.1).when(zero > 0.3, 0.05).otherwise(0.0)
-    )
-    k = (base + extra) * F.when(att < 3, 0.5).otherwise(1.0)
-    power = (
-        F.when(very_rare | td, 1 / 2).when(rare | ((acc > 0.75) & (land > 5)), 1 / 3).when(big & (acc < 0.40), 1 / 8)
-        .when(big, 1 / 6).when(land > 5, 1 / 5).otherwise(1 / 4)
-    )
-    weight = F.least(k / F.pow(att, power), F.when(td | sub, 1.0).otherwise(2.0))
-    smooth = (
-        F.when(sub, 0.03).when(td, 0.04).when(fam("leg"), 0.05).when(big, 0.03).when(fam("clinch"), 0.08)
-        .when(fam("ground"), 0.015).otherwise(0.07)
+    scarce = (land < 0.2) & (zero > 0.8)
+    busy = att > 50
+    bonus = F.when(scarce & (zero > 0.9), 0.2).when(zero > 0.8, 0.15).when(zero > 0.5, 0.1).when(zero > 0.3, 0.05).otherwise(0.0)
+    exponent = (
+        F.when(scarce, 1 / 2).when((land < 1.0) | (zero > 0.5) | ((acc > 0.75) & (land > 5)), 1 / 3)
+        .when(busy, F.when(acc < 0.40, 1 / 8).otherwise(1 / 6)).when(land > 5, 1 / 5).otherwise(1 / 4)
     )
-    return long.select("stat", "acc", "zero", "att", "land", (weight * acc + smooth).alias("alpha"), (weight * (1 - acc) + smooth).alias("beta"))
+    k = (ACCURACY_WEIGHT + bonus) * F.when(att < 3, 0.5).otherwise(1.0)
+    weight = F.least(F.lit(ACCURACY_CAP), k / F.pow(att, exponent))
+    s = F.when(busy, ACCURACY_SMOOTH_BUSY).otherwise(ACCURACY_SMOOTH)
+    return long.withColumns({"alpha": weight * acc + s, "beta": weight * (1 - acc) + s})
 
 
 def asof_snapshots(df: DataFrame, pairs: dict[str, tuple[str, str]], group: str, date: str, first: str, last: str, window_days: int = 730) -> DataFrame:

@@ -4,7 +4,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-PARTS = ["history", "cleaning", "fitted"]
+PARTS = ["history", "cleaning", "fitted", "assembly"]
 
 
 def load():

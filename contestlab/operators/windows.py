@@ -45,20 +45,30 @@ def _growth(key: list[str], date: str, rate: float) -> Column:
 
 def running(
     df: DataFrame, key: list[str], date: str, tie: list[str], sums: dict[str, Column],
-    include_current: bool = True, maxima: dict[str, Column] | None = None,
+    include_current: bool = True, maxima: dict[str, Column] | None = None, rates: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Add running sums (and maxima) in (date, tie) order, with or without the current row."""
-    maxima = maxima or {}
+    """Add running sums (and maxima) in (date, tie) order, with or without the current row.
+
+    A sum named in ``rates`` decays: each earlier row weighs e^(-rate * years) at the
+    current row's date.
+    """
+    maxima, rates = maxima or {}, rates or {}
     upto = 0 if include_current else -1
     day = df.groupBy(*key, date).agg(
         *[F.sum(e).alias(f"__d_{n}") for n, e in sums.items()], *[F.max(e).alias(f"__d_{n}") for n, e in maxima.items()]
     )
     before = _w_days(key, date, -1)
+    grow = {r: f"__g{i}" for i, r in enumerate(sorted(set(rates.values())))}
+    day = day.withColumns({c: _growth(key, date, r) for r, c in grow.items()}) if grow else day
+
+    def carried(n: str) -> Column:
+        if n not in rates:
+            return F.sum(f"__d_{n}").over(before)
+        g = F.col(grow[rates[n]])
+        return F.sum(F.col(f"__d_{n}") * g).over(before) / g
+
     carry = day.select(
-        *key, date,
-        *[F.sum(f"__d_{n}").over(before).alias(f"__c_{n}") for n in sums],
-        *[F.max(f"__d_{n}").over(before).alias(f"__c_{n}") for n in maxima],
-    )
+        *key, date, *[carried(n).alias(f"__c_{n}") for n in sums], *[F.max(f"__d_{n}").over(before).alias(f"__c_{n}") for n in maxima])
     w = _w_inside(key, date, tie, upto)
     names = [*sums, *maxima]
     out = df.select("*", *[e.alias(f"__x_{n}") for n, e in {**sums, **maxima}.items()]).join(carry, [*key, date])

@@ -36,7 +36,7 @@ def _adj_ctes(weight: str = "1.0", clip: str = "7.0") -> str:
     return f"""WITH s AS MATERIALIZED (SELECT *, CASE WHEN ctrl > 0 THEN ctrl END AS pos FROM sides), fit AS (SELECT * FROM s WHERE {IN_FIT}),
       gm AS (SELECT grp, avg(att) AS att_mean, avg(pos) AS pos_mean, quantile_cont(att, 0.5) AS am, quantile_cont(pos, 0.5) AS pm FROM fit GROUP BY 1 HAVING count(*) >= 10),
       pr AS (SELECT f.grp, any_value(att_mean) AS att_mean, any_value(pos_mean) AS pos_mean, quantile_cont(abs(att - am), 0.5) AS att_mad, quantile_cont(abs(pos - pm), 0.5) AS pos_mad,
-        0.5 AS att_floor, 0.001 AS pos_floor FROM fit f JOIN gm ON gm.grp = f.grp GROUP BY 1), {", ".join(per)}
+        0.5 AS att_floor, 0.001 AS pos_floor FROM fit f JOIN gm ON gm.grp = f.grp GROUP BY 1), {", ".join(per)},
       adj AS (SELECT s.contest_id, s.entity_id, s.event_date, {", ".join(cols)} FROM s LEFT JOIN pr ON pr.grp = s.grp {joins})"""
 
 

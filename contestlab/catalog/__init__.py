@@ -4,7 +4,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-PARTS = ["history", "cleaning", "fitted", "assembly", "evaluation"]
+PARTS = ["history", "cleaning", "fitted", "assembly", "evaluation", "market"]
 
 
 def load():

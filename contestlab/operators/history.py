@@ -27,6 +27,7 @@ from .windows import DAYS_PER_YEAR, running
 
 MAX_HISTORY = 100_000
 MAX_BINS = 4096
+MOMENTS = ("n", "s", "sx", "sxx")
 
 
 def _kth_distance(seq: list[float], mid: float, k: int) -> float:
@@ -49,9 +50,9 @@ class _Gaps:
     """Counts of earlier values that are known not to be hit by a query of this chunk."""
 
     def __init__(self, rows: list[tuple]):
-        self.rows = sorted(rows)  # (lo, hi, n, weight, weighted sum, inside)
+        self.rows = sorted(rows)  # (lo, hi, n, weight, weighted sum, weighted square sum, inside)
         self.total = sum(r[2] for r in rows)
-        self.inside = sum(r[2] for r in rows if r[5])
+        self.inside = sum(r[2] for r in rows if r[6])
 
     def kth(self, seq: list[float], k: int) -> float:
         below = 0
@@ -69,14 +70,14 @@ class _Gaps:
         if not 0 <= i < len(seq):
             raise AssertionError("deviation fell into a counted gap")
         r = _kth_distance(seq, mid, i)
-        for lo, hi, _, _, _, inside in self.rows:
+        for lo, hi, *_, inside in self.rows:
             near, far = max(lo - mid, mid - hi, 0.0), max(abs(lo - mid), abs(hi - mid))
             if (inside and far > r) or (not inside and near < r):
                 raise AssertionError("deviation fell into a counted gap")
         return r
 
     def spread(self, mid: float) -> float:
-        return sum(abs(sx - mid * s) for _, _, _, s, sx, _ in self.rows)
+        return sum(abs(sx - mid * s) for _, _, _, s, sx, _, _ in self.rows)
 
 
 def _middle(n: int, pick) -> float:
@@ -84,8 +85,9 @@ def _middle(n: int, pick) -> float:
     return pick(n // 2) if n % 2 else (pick(n // 2 - 1) + pick(n // 2)) / 2
 
 
-def _scan(x: np.ndarray, g: np.ndarray | None, strict: bool, base: np.ndarray, base_g: np.ndarray, gaps: _Gaps, out: dict):
+def _scan(x: np.ndarray, g: np.ndarray | None, strict: bool, base: np.ndarray, base_g: np.ndarray, gaps: _Gaps) -> dict:
     """Median, MAD and weighted mean deviation after (or before, when strict) each value."""
+    out: dict = {k: [] for k in ["median", "mad"] + (["dmad"] if g is not None else [])}
     seq = sorted(base.tolist())
     vals, wts = np.concatenate([base, x]), np.concatenate([base_g, g if g is not None else np.ones(len(x))])
     used = np.concatenate([np.ones(len(base), bool), ~np.isnan(x)])
@@ -108,6 +110,43 @@ def _scan(x: np.ndarray, g: np.ndarray | None, strict: bool, base: np.ndarray, b
                 out[k].append(None)
         if strict and not np.isnan(x[t]):
             insort(seq, float(x[t]))
+    return out
+
+
+LOW, HIGH = 0.1, 0.9
+
+
+def _scan_clipped(x: np.ndarray, g: np.ndarray, day: np.ndarray, base: np.ndarray, base_g: np.ndarray, gaps: _Gaps) -> dict:
+    """Weighted mean and variance of the values on earlier days, clipped to their 10 and 90 percent elements.
+
+    ``weight`` is the total weight as seen from the current day.
+    """
+    out: dict = {k: [] for k in ("mean", "variance", "weight")}
+    seq = sorted(base.tolist())
+    ok = ~np.isnan(x)
+    vals, wts = np.concatenate([base, np.where(ok, x, 0.0)]), np.concatenate([base_g, np.where(ok, g, 0.0)])
+    starts = np.nonzero(np.concatenate([[True], day[1:] != day[:-1]]))[0]
+    for a, b in zip(starts, [*starts[1:], len(x)]):
+        n = len(seq) + gaps.total
+        if n:
+            lo, hi = (gaps.kth(seq, int((n - 1) * q)) for q in (LOW, HIGH))
+            v, w = np.clip(vals[:len(base) + a], lo, hi), wts[:len(base) + a]
+            s0, s1, s2 = float(w.sum()), float(v @ w), float((v * v) @ w)
+            for glo, ghi, _, gs, gsx, gsxx, _ in gaps.rows:
+                edge = lo if ghi <= lo else hi if glo >= hi else None
+                if edge is None and (glo < lo or ghi > hi):
+                    raise AssertionError("clip limit fell into a counted gap")
+                s0, s1, s2 = s0 + gs, s1 + (gsx if edge is None else edge * gs), s2 + (gsxx if edge is None else edge * edge * gs)
+            mean = s1 / s0
+            now = [mean, max(s2 / s0 - mean * mean, 0.0), s0 / float(g[a])]
+        else:
+            now = [None, None, 0.0]
+        for k, val in zip(out, now):
+            out[k] += [val] * (b - a)
+        for t in range(a, b):
+            if ok[t]:
+                insort(seq, float(x[t]))
+    return out
 
 
 def _growth(dates: pd.Series, anchor, rate: float | None) -> np.ndarray | None:
@@ -127,19 +166,38 @@ def running_order_stats(
     Order is (date, tie); ``strict`` leaves the current row out. Nulls are skipped.
     """
     kinds = ["median", "mad"] + (["dmad"] if rate is not None else [])
+
+    def scan(x, g, day, base, base_g, gaps):
+        return _scan(x, g, strict, base, base_g, gaps)
+
+    return _run(df, cols, key, date, tie, scan, _regions, kinds, rate, max_history, False)
+
+
+def clipped_location(
+    df: DataFrame, cols: list[str], key: list[str], date: str, tie: list[str], rate: float, max_history: int = MAX_HISTORY,
+) -> DataFrame:
+    """Add ``<c>_mean``, ``<c>_variance`` and ``<c>_weight``: the decayed location of all rows on earlier dates.
+
+    Values are clipped to the elements at 10 and 90 percent of the sorted history.
+    """
+    return _run(df, cols, key, date, tie, _scan_clipped, _clip_regions, ["mean", "variance", "weight"], rate, max_history, True)
+
+
+def _run(df, cols, key, date, tie, scan, regions, kinds, rate, max_history, by_date) -> DataFrame:
+    """One group per history when all are short enough, chunks otherwise."""
     longest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     if longest > max_history:
-        return _chunked(df, cols, key, date, tie, strict, rate, max_history, kinds)
+        return _chunked(df, cols, key, date, tie, scan, regions, rate, max_history, kinds, by_date)
     schema = T.StructType([*df.schema.fields, *[T.StructField(f"{c}_{k}", T.DoubleType()) for c in cols for k in kinds]])
     order = [date, *tie]
     none = np.empty(0)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
+        day = pd.to_datetime(pdf[date]).to_numpy()
         g = _growth(pdf[date], pdf[date].iloc[-1], rate)
         for c in cols:
-            out = {k: [] for k in kinds}
-            _scan(pdf[c].to_numpy(dtype=float), g, strict, none, none, _Gaps([]), out)
+            out = scan(pdf[c].to_numpy(dtype=float), g, day, none, none, _Gaps([]))
             for k in kinds:
                 pdf[f"{c}_{k}"] = pd.Series(out[k], index=pdf.index, dtype=float)
         return pdf
@@ -180,13 +238,35 @@ def _regions(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, extra: int) -> tuple
     return need, inside
 
 
-def _chunked(df, cols, key, date, tie, strict, rate, size, kinds) -> DataFrame:
-    """The same statistics with every long history cut into chunks of ``size`` rows."""
+def _clip_regions(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins the 10 and 90 percent elements can fall into while ``extra`` more values arrive."""
+    total = int(n.sum())
+    cum = np.concatenate([[0], np.cumsum(n)])
+    need = np.zeros(len(n), bool)
+    for q in (LOW, HIGH):
+        first, last = int((total - 1) * q) - extra - 1, int((total + extra - 1) * q) + 1
+        if first < 0 or last >= total:
+            return np.ones(len(n), bool), np.zeros(len(n), bool)
+        need[np.searchsorted(cum, first, "right") - 1:np.searchsorted(cum, last, "right")] = True
+    return need, np.zeros(len(n), bool)
+
+
+def _positions(df: DataFrame, key: list[str], date: str, tie: list[str], by_date: bool) -> DataFrame:
+    """Rows before each row, or before each row's date, as ``__pos``."""
+    if not by_date:
+        return running(df, key, date, tie, {"__pos": F.lit(1)}, include_current=False)
+    before = Window.partitionBy(*key).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    day = df.groupBy(*key, date).agg(F.count(F.lit(1)).alias("__n"))
+    return df.join(day.select(*key, date, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__pos")), [*key, date])
+
+
+def _chunked(df, cols, key, date, tie, scan, regions, rate, size, kinds, by_date) -> DataFrame:
+    """The same statistics with every long history cut into chunks of about ``size`` rows (whole dates if asked)."""
     rid = [*key, date, *tie]
-    placed = running(df.select(*rid, *cols), key, date, tie, {"__pos": F.lit(1)})
+    placed = _positions(df.select(*rid, *cols), key, date, tie, by_date)
     ends = df.groupBy(*key).agg(F.max(date).alias("__end"))
     long = placed.select(
-        *rid, F.floor((F.col("__pos") - 1) / size).cast("int").alias("chunk"),
+        *rid, F.floor(F.col("__pos") / size).cast("int").alias("chunk"),
         F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("x")) for c in cols])).alias("v"),
     ).select(*rid, "chunk", "v.*").join(ends, key)
     days = F.datediff(F.col(date), F.col("__end"))
@@ -199,20 +279,23 @@ def _chunked(df, cols, key, date, tie, strict, rate, size, kinds) -> DataFrame:
     splits = known.groupBy(*gk).agg(F.percentile_approx("x", [i / bins for i in range(1, bins)], 10 * bins).alias("splits"))
     binned = known.join(splits, gk).withColumn("bin", F.size(F.filter("splits", lambda s: s < F.col("x")))).drop("splits")
     cells = binned.groupBy(*gk, "bin", "chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("g").alias("s"), F.sum(F.col("g") * F.col("x")).alias("sx"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        F.count(F.lit(1)).alias("n"), F.sum("g").alias("s"), F.sum(F.col("g") * F.col("x")).alias("sx"), F.sum(F.col("g") * F.col("x") * F.col("x")).alias("sxx"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     per_bin = cells.groupBy(*gk, "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     grid = per_bin.join(deep, gk).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
     before = Window.partitionBy(*gk, "bin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = grid.join(cells.drop("lo", "hi"), [*gk, "bin", "chunk"], "left").select(
-        *gk, "chunk", "bin", "lo", "hi", *[F.sum(c).over(before).alias(c) for c in ("n", "s", "sx")]).filter("n > 0")
+        *gk, "chunk", "bin", "lo", "hi", *[F.sum(c).over(before).alias(c) for c in MOMENTS]).filter("n > 0")
+    arriving = known.groupBy(*gk, "chunk").agg(F.count(F.lit(1)).alias("m"))
+    sums = sums.join(arriving, [*gk, "chunk"], "left")
     gk_fields = [f for f in long.schema.fields if f.name in gk]
     plan_schema = T.StructType([
         *gk_fields, T.StructField("chunk", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("need", T.BooleanType()),
-        T.StructField("inside", T.BooleanType()), *[T.StructField(c, T.DoubleType()) for c in ("lo", "hi", "n", "s", "sx")]])
+        T.StructField("inside", T.BooleanType()), *[T.StructField(c, T.DoubleType()) for c in ("lo", "hi", *MOMENTS)]])
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin").reset_index(drop=True)
-        need, inside = _regions(pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["n"].to_numpy(dtype=np.int64), size)
+        extra = 0 if pdf["m"].isna().all() else int(pdf["m"].max())
+        need, inside = regions(pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["n"].to_numpy(dtype=np.int64), extra)
         return pdf.assign(need=need, inside=inside)[[f.name for f in plan_schema.fields]]
 
     planned = cut(sums.groupBy(*gk, "chunk").applyInPandas(plan, plan_schema))
@@ -220,8 +303,8 @@ def _chunked(df, cols, key, date, tie, strict, rate, size, kinds) -> DataFrame:
     exact = binned.groupBy(*gk, "bin", "chunk", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("s")).join(needed, [*gk, "bin"])
     exact = exact.filter("chunk < __for").groupBy(*gk, "__for", "x").agg(F.sum("n").cast("double").alias("n"), F.sum("s").alias("s"))
     none = F.lit(None).cast("double")
-    base = exact.select(*gk, F.col("__for").alias("chunk"), F.col("x").alias("lo"), none.alias("hi"), "n", "s", none.alias("sx"), F.lit(False).alias("inside"))
-    base = base.unionByName(planned.filter("NOT need").select(*gk, "chunk", "lo", "hi", "n", "s", "sx", "inside"))
+    base = exact.select(*gk, F.col("__for").alias("chunk"), F.col("x").alias("lo"), none.alias("hi"), "n", "s", none.alias("sx"), none.alias("sxx"), F.lit(False).alias("inside"))
+    base = base.unionByName(planned.filter("NOT need").select(*gk, "chunk", "lo", "hi", *MOMENTS, "inside"))
     out_schema = T.StructType([*[f for f in long.schema.fields if f.name in (*rid, "stat")], *[T.StructField(k, T.DoubleType()) for k in kinds]])
     order = [date, *tie]
 
@@ -231,11 +314,11 @@ def _chunked(df, cols, key, date, tie, strict, rate, size, kinds) -> DataFrame:
         times = got["n"].to_numpy(dtype=int)
         vals = np.repeat(got["lo"].to_numpy(dtype=float), times)
         wts = np.repeat(got["s"].to_numpy(dtype=float) / np.maximum(times, 1), times)
-        gaps = [tuple(r) for r in old[old["hi"].notna()][["lo", "hi", "n", "s", "sx", "inside"]].itertuples(index=False)]
-        gaps = _Gaps([(lo, hi, int(n), s, sx, inside) for lo, hi, n, s, sx, inside in gaps])
-        out = {k: [] for k in kinds}
+        far = old[old["hi"].notna()][["lo", "hi", *MOMENTS, "inside"]].itertuples(index=False)
+        gaps = _Gaps([(lo, hi, int(n), *rest) for lo, hi, n, *rest in far])
         g = rows["g"].to_numpy(dtype=float) if rate is not None else None
-        _scan(rows["x"].to_numpy(dtype=float), g, strict, vals, wts, gaps, out)
+        day = pd.to_datetime(rows[date]).to_numpy()
+        out = scan(rows["x"].to_numpy(dtype=float), g, day, vals, wts, gaps)
         for k in kinds:
             rows[k] = pd.Series(out[k], index=rows.index, dtype=float)
         return rows[[f.name for f in out_schema.fields]]

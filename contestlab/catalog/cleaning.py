@@ -134,8 +134,11 @@ def _(spark, sf):
 
 
 # four price formats derived from the two sides of a contest
-_PRICE = F.expr("""CASE contest_id % 4 WHEN 0 THEN 0.05 + land_share * 0.9 WHEN 1 THEN 1.05 + att % 40
-  WHEN 2 THEN -100.0 - att ELSE 100.0 + att END""")
+def _price():
+    return F.expr("""CASE contest_id % 4 WHEN 0 THEN 0.05 + land_share * 0.9 WHEN 1 THEN 1.05 + att % 40
+      WHEN 2 THEN -100.0 - att ELSE 100.0 + att END""").cast("double")
+
+
 _PRICE_SQL = """prices AS (SELECT contest_id, entity_id, CASE contest_id % 4 WHEN 0 THEN 0.05 + land / CAST(att AS DOUBLE) * 0.9 WHEN 1 THEN 1.05 + att % 40
   WHEN 2 THEN -100.0 - att ELSE 100.0 + att END AS price FROM sides),
 dec AS (SELECT contest_id, entity_id, CASE contest_id % 4 WHEN 0 THEN 1 / price WHEN 1 THEN price WHEN 2 THEN 1 - 100 / price ELSE price / 100 + 1 END AS d FROM prices)"""
@@ -143,7 +146,7 @@ dec AS (SELECT contest_id, entity_id, CASE contest_id % 4 WHEN 0 THEN 1 / price
 
 def _prices(spark, sf):
     s = contest_sides(spark, sf, ["land", "att"]).withColumn("land_share", F.col("land") / F.col("att"))
-    return s.select(*ID, _PRICE.cast("double").alias("price"))
+    return s.select(*ID, _price().alias("price"))
 
 
 @query("odds_convert", over_sides("""SELECT contest_id, entity_id, round(d, 4) AS dec_odds, round(1 / d, 4) AS prob,
@@ -166,7 +169,7 @@ def _(spark, sf):
   coalesce(d > 1 AND s.land / CAST(s.att AS DOUBLE) > 1 / d, false) AS plus_ev FROM dec d JOIN sides s ON s.contest_id = d.contest_id AND s.entity_id = d.entity_id""", _PRICE_SQL))
 def _(spark, sf):
     s = contest_sides(spark, sf, ["land", "att"]).withColumn("land_share", F.col("land") / F.col("att"))
-    out = s.select(*ID, F.col("land_share").alias("p"), odds.to_decimal(_PRICE.cast("double")).alias("d"))
+    out = s.select(*ID, F.col("land_share").alias("p"), odds.to_decimal(_price()).alias("d"))
     p, d = F.col("p"), F.col("d")
     return out.select(*ID, F.round(odds.edge_points(p, d), 4).alias("edge"), odds.positive_ev(p, d).alias("plus_ev"))
 

@@ -18,7 +18,9 @@ def hist(spark, sf, stats=(), *more):
     return contest_sides(spark, sf, list(stats)).select(*ID, DATE, *stats, *more)
 
 
-POS_CTRL = F.expr("CASE WHEN ctrl > 0 THEN ctrl END").alias("pos_ctrl")
+def pos_ctrl():
+    """Control, null when there was none, so that null handling is exercised."""
+    return F.when(F.col("ctrl") > 0, F.col("ctrl")).alias("pos_ctrl")
 
 
 def rounded(df, cols, digits=6):
@@ -36,7 +38,7 @@ def _(spark, sf):
   round(avg(CASE WHEN ctrl > 0 THEN ctrl END) OVER w, 6) AS pos_ctrl_avg FROM sides
   WINDOW w AS (PARTITION BY entity_id ORDER BY event_date, contest_id ROWS UNBOUNDED PRECEDING)"""))
 def _(spark, sf):
-    df = hist(spark, sf, ["land", "ctrl"], POS_CTRL)
+    df = hist(spark, sf, ["land", "ctrl"], pos_ctrl())
     return rounded(win.running_avg(df, ["land", "pos_ctrl"], KEY, DATE, TIE), ["land_avg", "pos_ctrl_avg"])
 
 
@@ -47,7 +49,7 @@ def _(spark, sf):
   FROM sides c JOIN (SELECT *, CASE WHEN ctrl > 0 THEN ctrl END AS pos FROM sides) b
   ON b.entity_id = c.entity_id AND b.event_date <= c.event_date GROUP BY 1, 2"""))
 def _(spark, sf):
-    df = hist(spark, sf, ["land", "ctrl"], POS_CTRL)
+    df = hist(spark, sf, ["land", "ctrl"], pos_ctrl())
     return rounded(win.decayed_avg(df, ["land", "pos_ctrl"], KEY, DATE, 2.0), ["land_dec_avg", "pos_ctrl_dec_avg"])
 
 

@@ -14,7 +14,8 @@ row, so the per-history step is a small numpy/bisect helper fed by Arrow.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, spread
 from .windows import DAYS_PER_YEAR, running
 
 MAX_HISTORY = 100_000
@@ -30,8 +31,8 @@ MAX_BINS = 4096
 MOMENTS = ("n", "s", "sx", "sxx")
 
 
-def _kth_distance(seq: list[float], mid: float, k: int) -> float:
-    """k-th smallest (from 0) of |x - mid| for a sorted list."""
+def _nearest(seq: list[float], mid: float, k: int) -> tuple[float, float]:
+    """k-th and next smallest (from 0) of |x - mid| for a sorted list."""
     p = bisect_left(seq, mid)
     left, right = p, len(seq) - p
     lo, hi = max(0, k + 1 - right), min(k + 1, left)
@@ -41,9 +42,9 @@ def _kth_distance(seq: list[float], mid: float, k: int) -> float:
             lo = i + 1
         else:
             hi = i
-    a = mid - seq[p - lo] if lo else -1.0
-    b = seq[p + k - lo] - mid if k + 1 - lo else -1.0
-    return max(a, b)
+    took = k + 1 - lo
+    last = max(mid - seq[p - lo] if lo else -1.0, seq[p + took - 1] - mid if took else -1.0)
+    return last, min(mid - seq[p - 1 - lo] if lo < left else inf, seq[p + took] - mid if took < right else inf)
 
 
 class _Gaps:
@@ -65,26 +66,27 @@ class _Gaps:
             raise AssertionError("order statistic fell into a counted gap")
         return seq[i]
 
-    def distance(self, seq: list[float], mid: float, k: int) -> float:
-        i = k - self.inside
+    def mad(self, seq: list[float], mid: float, n: int) -> float:
+        i = (n - 1) // 2 - self.inside
         if not 0 <= i < len(seq):
             raise AssertionError("deviation fell into a counted gap")
-        r = _kth_distance(seq, mid, i)
+        r, after = _nearest(seq, mid, i)
+        top = r if n % 2 else after
         for lo, hi, *_, inside in self.rows:
             near, far = max(lo - mid, mid - hi, 0.0), max(abs(lo - mid), abs(hi - mid))
-            if (inside and far > r) or (not inside and near < r):
+            if (inside and far > r) or (not inside and near < top):
                 raise AssertionError("deviation fell into a counted gap")
-        return r
+        return r if n % 2 else (r + after) / 2
+
+    def median(self, seq: list[float], n: int) -> float:
+        if not self.rows:
+            return seq[n // 2] if n % 2 else (seq[n // 2 - 1] + seq[n // 2]) / 2
+        return self.kth(seq, n // 2) if n % 2 else (self.kth(seq, n // 2 - 1) + self.kth(seq, n // 2)) / 2
 
     def spread(self, mid: float) -> float:
         return sum(abs(sx - mid * s) for _, _, _, s, sx, _, _ in self.rows)
 
 
-def _middle(n: int, pick) -> float:
-    """Interpolated median from a k-th element function."""
-    return pick(n // 2) if n % 2 else (pick(n // 2 - 1) + pick(n // 2)) / 2
-
-
 def _scan(x: np.ndarray, g: np.ndarray | None, strict: bool, base: np.ndarray, base_g: np.ndarray, gaps: _Gaps) -> dict:
     """Median, MAD and weighted mean deviation after (or before, when strict) each value."""
     out: dict = {k: [] for k in ["median", "mad"] + (["dmad"] if g is not None else [])}
@@ -98,9 +100,9 @@ def _scan(x: np.ndarray, g: np.ndarray | None, strict: bool, base: np.ndarray, b
             insort(seq, float(x[t]))
         n = len(seq) + gaps.total
         if n:
-            mid = _middle(n, lambda k: gaps.kth(seq, k))
+            mid = gaps.median(seq, n)
             out["median"].append(mid)
-            out["mad"].append(_middle(n, lambda k: gaps.distance(seq, mid, k)))
+            out["mad"].append(gaps.mad(seq, mid, n))
             if g is not None:
                 upto = len(base) + t + (0 if strict else 1)
                 w = wts[:upto]
@@ -202,7 +204,7 @@ def _run(df, cols, key, date, tie, scan, regions, kinds, rate, max_history, by_d
                 pdf[f"{c}_{k}"] = pd.Series(out[k], index=pdf.index, dtype=float)
         return pdf
 
-    return df.groupBy(*key).applyInPandas(one, schema)
+    return spread(df, *key).groupBy(*key).applyInPandas(one, schema)
 
 
 def _regions(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +326,8 @@ def _chunked(df, cols, key, date, tie, scan, regions, rate, size, kinds, by_date
         return rows[[f.name for f in out_schema.fields]]
 
     other = base.withColumnsRenamed({c: f"__{c}" for c in [*gk, "chunk"]})
-    groups = other.groupBy(*[f"__{c}" for c in [*gk, "chunk"]])
-    made = long.drop("__end").groupBy(*gk, "chunk").cogroup(groups).applyInPandas(chunk_stats, out_schema)
+    at = [f"__{c}" for c in [*gk, "chunk"]]
+    groups = spread(other, *at).groupBy(*at)
+    made = spread(long.drop("__end"), *gk, "chunk").groupBy(*gk, "chunk").cogroup(groups).applyInPandas(chunk_stats, out_schema)
     wide = made.groupBy(*rid).agg(*[F.max(F.when(F.col("stat") == c, F.col(k))).alias(f"{c}_{k}") for c in cols for k in kinds])
     return df.join(wide, rid)

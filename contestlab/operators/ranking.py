@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SAMPLE = 8192
 PARTS = 128
 
@@ -28,8 +30,9 @@ def _bucket(df: DataFrame, order: list[str], parts: int) -> Column:
     return F.size(F.filter(F.array(*bounds), lambda b: b <= me))
 
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank", parts: int = PARTS) -> DataFrame:
-    """Number the rows 1.. in the given ascending order, which should be unique."""
+def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int = PARTS) -> tuple[DataFrame, int]:
+    """Number the rows 1.. in the given ascending order, which should be unique; also the row count."""
+    df = cut(df)
     placed = df.withColumn("__b", _bucket(df, order, parts))
     sizes = {r["__b"]: r["count"] for r in placed.groupBy("__b").count().collect()}
     before, total = [], 0
@@ -38,7 +41,11 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank", parts: int
         total += sizes.get(b, 0)
     w = Window.partitionBy("__b").orderBy(*order)
     rank = F.element_at(F.array(*before), F.col("__b") + 1) + F.row_number().over(w)
-    return placed.withColumn(name, rank.cast("bigint")).drop("__b")
+    return placed.withColumn(name, rank.cast("bigint")).drop("__b"), total
+
+
+def global_rank(df: DataFrame, order: list[str], name: str = "rank", parts: int = PARTS) -> DataFrame:
+    return ranked(df, order, name, parts)[0]
 
 
 def cumulate(dist: DataFrame, keys: list[str], value: str, sums: list[str], parts: int = PARTS) -> DataFrame:

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import constants
 from . import percentiles as pct
-from .ranking import global_rank
+from .ranking import ranked
 
 
 def chrono_split(df: DataFrame, order: list[str], fractions: list[float], names: list[str]) -> DataFrame:
     """Label rows by position in time: the first ``fractions[0]`` of the rows, and so on; the rest last."""
-    ranked = global_rank(df, order, "__r")
-    n = df.count()
+    rows, n = ranked(df, order, "__r")
     out, total = F.lit(names[-1]), 0.0
     ends = []
     for f in fractions:
@@ -23,14 +22,13 @@ def chrono_split(df: DataFrame, order: list[str], fractions: list[float], names:
         ends.append(int(n * total))
     for name, end in reversed(list(zip(names, ends))):
         out = F.when(F.col("__r") <= end, name).otherwise(out)
-    return ranked.withColumn("split", out).drop("__r")
+    return rows.withColumn("split", out).drop("__r")
 
 
 def time_groups(df: DataFrame, order: list[str], n: int, name: str = "time_group") -> DataFrame:
     """``n`` contiguous groups in time order; the remainder goes to the last."""
-    size = df.count() // n
-    ranked = global_rank(df, order, "__r")
-    return ranked.withColumn(name, F.least(F.floor((F.col("__r") - 1) / max(size, 1)), F.lit(n - 1)).cast("int")).drop("__r")
+    rows, total = ranked(df, order, "__r")
+    return rows.withColumn(name, F.least(F.floor((F.col("__r") - 1) / max(total // n, 1)), F.lit(n - 1)).cast("int")).drop("__r")
 
 
 def holdout_by_date(df: DataFrame, date: str, cutoff: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.odds import complement_odds, implied_prob
+from ..session import cut
 from .sides import share_of_total
 
 MATCH_DAYS = 4
@@ -21,7 +22,7 @@ def line_points(ticks: DataFrame, keys: list[str], ts: str = "ts", price: str =
     """
     rows = ticks.select(*keys, F.col(ts).alias("ts"), F.col(price).alias("price")).withColumn("hour", F.date_trunc("hour", F.col("ts")))
     t = F.struct("ts", "price")
-    hours = rows.groupBy(*keys, "hour").agg(F.min(t).alias("first"), F.max(t).alias("last"))
+    hours = cut(rows.groupBy(*keys, "hour").agg(F.min(t).alias("first"), F.max(t).alias("last")))
     ends = hours.groupBy(*keys).agg(F.min("first").alias("opening"), F.max("last").alias("closing"))
     ends = ends.withColumn("target", F.col("closing.ts") - F.make_dt_interval(F.lit(days)))
     ends = ends.withColumn("hour", F.date_trunc("hour", F.col("target")))
@@ -103,7 +104,7 @@ def vig_free(prices: DataFrame) -> DataFrame:
 def odds_features(ticks: DataFrame, contests: DataFrame, tol: int = MATCH_DAYS, days: int = 7) -> DataFrame:
     """Ticks (fighter, opponent, ts, odds) to vig-free side prices: points, match, sides, shares."""
     monthly = ticks.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    lines = line_points(monthly, ["fighter", "opponent", "month"], days=days).withColumn("closing_date", F.to_date("closing_ts"))
+    lines = cut(line_points(monthly, ["fighter", "opponent", "month"], days=days).withColumn("closing_date", F.to_date("closing_ts")))
     return vig_free(side_prices(match_contests(lines, contests, tol), lines))
 
 

@@ -47,6 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key into as many tasks as the session's shuffles have.
+
+    For steps that cost far more than their input size suggests (Python groups,
+    rows that fan out), where adaptive merging of small partitions would leave
+    most of the cluster idle. A following group-by on the keys needs no other shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """``df`` as a local relation when it has at most ``max_rows`` rows, else ``None``.
 

@@ -214,4 +214,4 @@ def _(spark, sf):
   UNION ALL SELECT 'supplier', NULL, (SELECT count(*) FROM supplier), NULL""")
 def _(spark, sf):
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    return explore.status_deltas({"customer": c.filter("c_custkey % 2 = 0")}, {"customer": c, "supplier": s}, spark)
+    return explore.status_deltas({"customer": c.filter("c_custkey % 2 = 0")}, {"customer": c, "supplier": s})

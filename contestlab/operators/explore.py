@@ -110,14 +110,16 @@ def audit(stored: DataFrame, expected: DataFrame, keys: list[str], col: str, tol
     return both.withColumn("gap", gap).withColumn("ok", F.coalesce(F.col("gap") <= tol, F.lit(False)))
 
 
-def status_deltas(before: dict[str, DataFrame], after: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+def status_deltas(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
     """Row counts of named tables before and after a refresh; null when a table is missing."""
-    def counts(tables: dict[str, DataFrame], col: str) -> DataFrame:
-        out = None
+    parts = []
+    for tables, at in ((before, 0), (after, 1)):
         for name, df in tables.items():
-            one = df.agg(F.count(F.lit(1)).alias(col)).withColumn("name", F.lit(name))
-            out = one if out is None else out.unionByName(one)
-        return out if out is not None else spark.createDataFrame([], f"{col} bigint, name string")
-
-    both = counts(before, "rows_before").join(counts(after, "rows_after"), "name", "full_outer")
-    return both.select("name", "rows_before", "rows_after", (F.col("rows_after") - F.col("rows_before")).alias("delta"))
+            n = F.count(F.lit(1))
+            cols = [n if i == at else F.lit(None).cast("bigint") for i in (0, 1)]
+            parts.append(df.agg(cols[0].alias("b"), cols[1].alias("a")).withColumn("name", F.lit(name)))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    out = both.groupBy("name").agg(F.max("b").alias("rows_before"), F.max("a").alias("rows_after"))
+    return out.withColumn("delta", F.col("rows_after") - F.col("rows_before"))

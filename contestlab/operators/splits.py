@@ -121,24 +121,27 @@ def horizon_weights(
     df: DataFrame, date: str, event: str, as_of: str, scheme: str, horizon_years: int | None = None, rate: float = 0.0,
     rank_cutoffs: list[int] = (), rank_weights: list[float] = (), name: str = "weight",
 ) -> DataFrame:
-    """Training weights: calendar-year horizon, then decay by date or steps by event rank (newest first)."""
+    """Training weights: calendar-year horizon, then decay by date or steps by event rank (newest first).
+
+    An event has one date, so its rank class follows from comparing a row's own
+    (date, event) with the few boundary events; no join is needed.
+    """
     now = F.lit(as_of).cast("date")
     keep = F.lit(True) if horizon_years is None else F.col(date) >= F.add_months(now, -12 * horizon_years)
     if scheme == "exponential":
         w = F.exp(-rate * F.datediff(now, F.col(date)) / 365.25)
         return df.withColumn(name, F.when(keep, w).otherwise(0.0))
-    events = df.groupBy(event).agg(F.max(date).alias("__d"))
-    edges = events.orderBy(F.desc("__d"), F.desc(F.col(event).cast("string"))).limit(max(rank_cutoffs)).collect()
-    me = F.struct(F.col("__d"), F.col(event).cast("string"))
+    events = df.select(F.col(date).alias("__d"), F.col(event).cast("string").alias("__e")).distinct()
+    edges = events.orderBy(F.desc("__d"), F.desc("__e")).limit(max(rank_cutoffs)).collect()
+    me = F.struct(F.col(date).alias("__d"), F.col(event).cast("string").alias("__e"))
     w = F.lit(float(rank_weights[len(rank_cutoffs)]))
     for i in reversed(range(len(rank_cutoffs))):
         if len(edges) < rank_cutoffs[i]:
             w = F.lit(float(rank_weights[i]))
             continue
         last = edges[rank_cutoffs[i] - 1]
-        w = F.when(me >= F.struct(F.lit(last["__d"]), F.lit(str(last[event]))), float(rank_weights[i])).otherwise(w)
-    ranked = events.select(event, w.alias("__w"))
-    return df.join(ranked, event).withColumn(name, F.when(keep, F.col("__w")).otherwise(0.0)).drop("__w")
+        w = F.when(me >= F.struct(F.lit(last["__d"]), F.lit(last["__e"])), float(rank_weights[i])).otherwise(w)
+    return df.withColumn(name, F.when(keep, w).otherwise(0.0))
 
 
 def zscore_scale(train: DataFrame, others: list[DataFrame], cols: list[str]) -> list[DataFrame]:

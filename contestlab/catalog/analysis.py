@@ -67,8 +67,7 @@ def _(spark, sf):
 def _(spark, sf):
     base = _scratch(spark)
     s = contest_sides(spark, sf, ["land", "att"]).select(*ID, "land", "att")
-    src.publish(spark, {"training_data": s.limit(0), "prediction_data": s.limit(0)}, base)
-    src.publish(spark, {"training_data": s, "prediction_data": s.filter("land > 0")}, base, {"prediction_data": "csv"})
+    src.publish(spark, {"training_data": s, "prediction_data": s}, base, {"prediction_data": "csv"})
     return src.read_published(spark, base, "training_data")
 
 

@@ -52,7 +52,7 @@ def _(spark, sf):
 
 
 RAW_GROUPS = [
-    "UFC Light Heavyweight Title Bout", "Heavyweight Bout", "Women's Strawweight Bout", "Catch Weight Bout", "Lightweight Bout", "Super Fight",
+    "Light Heavyweight Title Bout", "Heavyweight Bout", "Women's Strawweight Bout", "Catch Weight Bout", "Lightweight Bout", "Super Fight",
     "Women's Bantamweight Title Bout", "Open Weight Bout",
 ]
 CLEAN_GROUPS = [

@@ -31,11 +31,10 @@ def _named(spark, sf):
     return h
 
 
-def _ticks(spark, sf):
-    """Three to six prices per side and contest, up to twelve days before the event; some lines one-sided."""
-    h = _named(spark, sf)
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("contest_id"), "l_suppkey", "l_linenumber", "l_partkey", "l_quantity")
-    j = h.join(li, "contest_id").filter("(l_suppkey = entity1_id AND contest_id % 5 <> 1) OR (l_suppkey = entity2_id AND contest_id % 5 <> 0)")
+def _ticks(spark, sf, h):
+    """Prices per side and contest, up to twelve days before the event; some contests are priced from one side only."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("contest_id"), "l_suppkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    j = h.join(li, "contest_id").filter("(l_suppkey = entity1_id AND l_returnflag <> 'R') OR (l_suppkey = entity2_id AND l_returnflag <> 'N')")
     one = F.col("l_suppkey") == F.col("entity1_id")
     at = F.to_timestamp(F.col("event_date")) + F.make_dt_interval(days=F.lit(2), hours=-(F.col("l_linenumber") * 47), mins=-(F.col("l_partkey") % 60).cast("int"))
     return j.select(F.when(one, F.col("name1")).otherwise(F.col("name2")).alias("fighter"), F.when(one, F.col("name2")).otherwise(F.col("name1")).alias("opponent"),
@@ -47,7 +46,7 @@ _NAMED = """nm AS (SELECT s_suppkey AS id, concat(upper(n_name[1]), lower(n_name
 _TICKS = f"""{_NAMED},
   tk AS (SELECT DISTINCT ON (fighter, opponent, ts) * FROM (SELECT CASE WHEN l_suppkey = entity1_id THEN name1 ELSE name2 END AS fighter, CASE WHEN l_suppkey = entity1_id THEN name2 ELSE name1 END AS opponent,
     CAST(event_date AS TIMESTAMP) + INTERVAL 2 DAY - to_hours(CAST(l_linenumber * 47 AS BIGINT)) - to_minutes(CAST(l_partkey % 60 AS BIGINT)) AS ts, 1.05 + l_quantity / 16 AS odds
-    FROM hn JOIN lineitem ON l_orderkey = contest_id WHERE (l_suppkey = entity1_id AND contest_id % 5 <> 1) OR (l_suppkey = entity2_id AND contest_id % 5 <> 0)) ORDER BY fighter, opponent, ts, odds),
+    FROM hn JOIN lineitem ON l_orderkey = contest_id WHERE (l_suppkey = entity1_id AND l_returnflag <> 'R') OR (l_suppkey = entity2_id AND l_returnflag <> 'N')) ORDER BY fighter, opponent, ts, odds),
   tm AS (SELECT *, strftime(ts, '%Y-%m') AS month FROM tk),
   c0 AS (SELECT fighter, opponent, month, min_by(odds, ts) AS opening, max_by(odds, ts) AS closing, max(ts) AS closing_ts FROM tm GROUP BY 1, 2, 3),
   w0 AS (SELECT tm.fighter, tm.opponent, tm.month, tm.odds AS week, row_number() OVER (PARTITION BY tm.fighter, tm.opponent, tm.month ORDER BY abs(epoch_us(ts) - (epoch_us(closing_ts) - 604800000000)), ts DESC) AS rn
@@ -59,19 +58,21 @@ _TICKS = f"""{_NAMED},
   mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contest_id, event_id ORDER BY fighter, opponent, month) AS claim FROM ht WHERE pick = 1) WHERE claim = 1)"""
 
 
-def _distinct_ticks(spark, sf):
-    """One price per line and instant (the lowest), so opening and closing are unique."""
-    return _ticks(spark, sf).groupBy("fighter", "opponent", "ts").agg(F.min("odds").alias("odds"))
+def _tick_tables(spark, sf):
+    """The tick table (one price per line and instant) and the named contests, each written once."""
+    h = cut(_named(spark, sf))
+    return cut(_ticks(spark, sf, h).groupBy("fighter", "opponent", "ts").agg(F.min("odds").alias("odds"))), h
 
 
 def _lines(spark, sf):
-    t = _distinct_ticks(spark, sf).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return cut(ticks.line_points(t, ["fighter", "opponent", "month"]).withColumn("closing_date", F.to_date("closing_ts")))
+    t, h = _tick_tables(spark, sf)
+    t = t.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    return cut(ticks.line_points(t, ["fighter", "opponent", "month"]).withColumn("closing_date", F.to_date("closing_ts"))), h
 
 
 @query("interval_name_match", over_sides("SELECT contest_id, event_id, fighter, opponent, month, CAST(orientation AS INTEGER) AS orientation FROM mt", _TICKS))
 def _(spark, sf):
-    out = ticks.match_contests(_lines(spark, sf), _named(spark, sf))
+    out = ticks.match_contests(*_lines(spark, sf))
     return out.select("contest_id", "event_id", "fighter", "opponent", "month", "orientation")
 
 
@@ -83,8 +84,8 @@ _SIDE_SQL = """sp AS (SELECT mt.*, coalesce(o.opening, 1 + 1 / (mt.opening - 1))
 
 @query("implied_prob", over_sides("SELECT contest_id, entity_id, round(1 / opening, 6) AS ip_opening, round(1 / closing, 6) AS ip_closing, round(1 / week, 6) AS ip_week FROM pr", _TICKS, _SIDE_SQL))
 def _(spark, sf):
-    lines = _lines(spark, sf)
-    out = ticks.side_prices(ticks.match_contests(lines, _named(spark, sf)), lines)
+    lines, contests = _lines(spark, sf)
+    out = ticks.side_prices(ticks.match_contests(lines, contests), lines)
     return rnd(out.select("contest_id", "entity_id", "ip_opening", "ip_closing", "ip_week"), [])
 
 
@@ -93,14 +94,14 @@ _FAIR = ", ".join(f"round((1 / {c}) / sum(1 / {c}) OVER (PARTITION BY contest_id
 
 @query("vig_free", over_sides(f"SELECT contest_id, entity_id, {_FAIR} FROM pr", _TICKS, _SIDE_SQL))
 def _(spark, sf):
-    lines = _lines(spark, sf)
-    out = ticks.vig_free(ticks.side_prices(ticks.match_contests(lines, _named(spark, sf)), lines))
+    lines, contests = _lines(spark, sf)
+    out = ticks.vig_free(ticks.side_prices(ticks.match_contests(lines, contests), lines))
     return rnd(out.select("contest_id", "entity_id", "ip_opening", "ip_closing", "ip_week"), [])
 
 
 @query("odds_full", over_sides(f"SELECT contest_id, entity_id, round(opening, 6) AS opening, round(closing, 6) AS closing, round(week, 6) AS week, {_FAIR} FROM pr", _TICKS, _SIDE_SQL))
 def _(spark, sf):
-    out = ticks.odds_features(_distinct_ticks(spark, sf), _named(spark, sf))
+    out = ticks.odds_features(*_tick_tables(spark, sf))
     return rnd(out.select("contest_id", "entity_id", "opening", "closing", "week", "ip_opening", "ip_closing", "ip_week"), [])
 
 

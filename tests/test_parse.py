@@ -19,7 +19,7 @@ def test_text_parsers(spark):
 
 
 def test_groups_keep_their_order(spark):
-    raw = ["UFC Light Heavyweight Title Bout", "Women's Strawweight Bout", "Catch Weight Bout", "Super Fight", None]
+    raw = ["Light Heavyweight Title Bout", "Women's Strawweight Bout", "Catch Weight Bout", "Super Fight", None]
     clean = ["light heavyweight", "women's strawweight", "catchweight", "open weight", None]
     assert one(spark, raw, parse.normalize_group) == clean
     assert one(spark, clean, parse.encode_group) == [8, 1, 0, 9, None]

@@ -1,12 +1,10 @@
 """Sources, parameter search and ad-hoc analytics."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import explore, smooth, tune
 from ..sample import contest_headers, contest_sides, table
-from ..session import cut
+from ..session import cut, scratch
 from ..sources import contests as src
 from .fitted import _rates, _tau, rnd
 from .history import DATE, ID
@@ -15,18 +13,6 @@ from .registry import over_sides, query
 # --- sources ---------------------------------------------------------------------------
 
 
-def _scratch(spark) -> str:
-    """A new folder below the shared checkpoint folder."""
-    from ..session import checkpoint_dir
-
-    base = checkpoint_dir(spark)
-    if "://" in base:
-        import uuid
-
-        return f"{base}/publish-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="publish-", dir=base)
-
-
 def _raw_contests(spark, sf):
     """Contest rows as raw text, the way they are scraped."""
     s = contest_sides(spark, sf, ["land_rd1", "att_rd1", "land_rd2", "att_rd2", "secs_rd1"])
@@ -46,7 +32,7 @@ def _raw_contests(spark, sf):
 def _(spark, sf):
     from ..functions.parse import clock_to_sec, split_of
 
-    path = _scratch(spark) + "/contests"
+    path = scratch(spark, "contests")
     _raw_contests(spark, sf).write.option("header", True).csv(path)
     raw = src.read_contests(spark, path, 2)
     return raw.select("event_url", F.to_date("event_date").alias("event_date"), "method", split_of(F.col("p1_rd1_Sig_str"))[0].alias("land_1"),
@@ -65,7 +51,7 @@ def _(spark, sf):
 
 @query("write_feature_table", over_sides("SELECT contest_id, entity_id, land, att FROM sides"))
 def _(spark, sf):
-    base = _scratch(spark)
+    base = scratch(spark, "publish")
     s = contest_sides(spark, sf, ["land", "att"]).select(*ID, "land", "att")
     src.publish(spark, {"training_data": s, "prediction_data": s}, base, {"prediction_data": "csv"})
     return src.read_published(spark, base, "training_data")

@@ -1,11 +1,8 @@
 """The streaming form of the line points, run to completion over the tick table."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch
 from ..streaming.lines import stream_line_points
 from .registry import query
 
@@ -17,9 +14,7 @@ def _(spark, sf):
     src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     src = src.withColumn("ts", F.col("ts").cast("timestamp"))
     out = stream_line_points(src, ["user_id", "event_type"], "ts", "value")
-    name = f"lines_{uuid.uuid4().hex}"
-    base = checkpoint_dir(spark)
-    at = f"{base}/{name}" if "://" in base else tempfile.mkdtemp(prefix=name, dir=base)
+    at = scratch(spark, "lines")
     result = f"{at}/result"
 
     def keep(batch, _):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder, for tables a job writes for itself."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and cuts the lineage."""
     spark = df.sparkSession

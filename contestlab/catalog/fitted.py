@@ -136,7 +136,7 @@ def running_mads(spark, sf, stats=("att",)):
     """Running MAD with the group's debut MAD on each first row."""
     s = _layer(spark, sf, list(stats))
     debut = priors.debut_mad(s, list(stats), "grp", DATE, FIT, [DATE, "contest_id"])
-    out = win.contest_no(hst.running_order_stats(s, list(stats), KEY, DATE, TIE), KEY, DATE, TIE)
+    out = hst.running_order_stats(win.contest_no(s, KEY, DATE, TIE), list(stats), KEY, DATE, TIE)
     out = small_join(out, debut, ["grp"], "left")
     return out.withColumns({
         f"{c}_mad": F.when(F.col("contest_no") == 1, F.coalesce(f"{c}_wc_mad", F.lit(0.0))).otherwise(F.col(f"{c}_mad")) for c in stats})
@@ -203,7 +203,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = _layer(spark, sf, ["att"])
     debut = priors.debut_mad(s, ["att"], "grp", DATE, FIT, [DATE, "contest_id"])
-    out = win.contest_no(hst.running_order_stats(s, ["att"], KEY, DATE, TIE, rate=RATE), KEY, DATE, TIE)
+    out = hst.running_order_stats(win.contest_no(s, KEY, DATE, TIE), ["att"], KEY, DATE, TIE, rate=RATE)
     out = small_join(out, debut, ["grp"], "left")
     v = F.when(F.col("contest_no") <= 1, F.coalesce("att_wc_mad", F.lit(0.0))).otherwise(F.coalesce("att_dmad", F.lit(0.0)))
     return rounded(out.withColumn("att_dec_mad", v), ["att_dec_mad"])

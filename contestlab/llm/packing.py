@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import null_ids, set_ids, texts
+from .ragged import WordIds
 
 CAPACITY = 4096
 END_ID = 2
@@ -18,7 +19,6 @@ END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens that are packed together at most; a block holds one document more than fits.
 BLOCK_TOKENS = 4_000_000
-CACHE_WORDS = 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -30,53 +30,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Token ids of texts by a tokenizer that drops white space and never joins across it.
+def word_encoder(path: str) -> WordIds:
+    """For a tokenizer that drops white space and never joins across it: a text's ids are those
+    of its runs between blanks or line ends, one after the other."""
+    from tokenizers import Tokenizer
 
-    Each distinct run between blanks or line ends is encoded once by the library and then looked
-    up; the ids of a text are those of its runs one after the other.
-    """
-
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tok, self.limit = Tokenizer.from_file(path), cache_words
-        self.clear()
+    tok = Tokenizer.from_file(path)
 
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lens, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tok.encode_batch(words, add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, m = len(self.known), int(lens.sum())
-        while n + len(words) > len(self.lens):
-            self.starts, self.lens = np.resize(self.starts, 2 * len(self.lens)), np.resize(self.lens, 2 * len(self.lens))
-        while self.used + m > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.lens[n : n + len(words)] = lens
-        self.starts[n : n + len(words)] = self.used + np.cumsum(lens) - lens
-        self.flat[self.used : self.used + m] = np.fromiter((x for y in ids for x in y), np.uint32, m)
-        self.used += m
-        self.known.update(zip(words, range(n, n + len(words))))
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        at = [known.get(w, -1) for w in words]
-        if -1 in at:
-            new = list(dict.fromkeys(w for w, i in zip(words, at) if i < 0))
-            if len(known) + len(new) > self.limit and known:
-                self.clear()
-                known, new = self.known, list(dict.fromkeys(words))
-            self._learn(new)
-            at = [known[w] for w in words]
-        which = np.array(at, np.int64)
-        lens = self.lens[which]
-        ends = np.cumsum(lens)
-        total = int(ends[-1])
-        return self.flat[np.repeat(self.starts[which] - (ends - lens), lens) + np.arange(total)]
+        return np.fromiter((x for y in ids for x in y), np.uint32, int(lens.sum())), lens
+
+    return WordIds(encode)
 
 
 def sequence_sizes(total: int, capacity: int) -> list[int]:
@@ -132,7 +98,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, quad
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer or vocabulary(VOCABULARY))
+        encoder = word_encoder(tokenizer or vocabulary(VOCABULARY))
         base, used = TaskContext.get().partitionId() << 32, 0
         names: list = []
         ids: list[np.ndarray] = []
@@ -155,7 +121,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, quad
 
         for b in batches:
             for name, text in zip(b["doc_id"].tolist(), b["text"]):
-                x = np.append(encoder.encode(text), np.uint32(end_id))
+                x = np.append(encoder.ids(text.replace("\n", " ").split(" ")), np.uint32(end_id))
                 names.append(name)
                 ids.append(x)
                 held += len(x)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, quality, rules, search, sharding
+from . import language, packing, pieces, quality, rules, search, sharding
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op5_sharding": op5_sharding, "op7_quality_classifier": op7_quality_classifier, "op8_sentencepiece": op8_sentencepiece, "op9_quality_rules": op9_quality_rules, "op10_top_k": op10_top_k}
+    return {"op3_packing": op3_packing, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_quality_classifier": op7_quality_classifier, "op8_sentencepiece": op8_sentencepiece, "op9_quality_rules": op9_quality_rules, "op10_top_k": op10_top_k}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import null_ids, set_ids, texts
-from .ragged import WordIds
+from .ragged import WordIds, spread_ranges
 
 CAPACITY = 4096
 END_ID = 2
@@ -30,19 +31,31 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_ENCODERS: dict[str, WordIds] = {}
+
+
 def word_encoder(path: str) -> WordIds:
-    """For a tokenizer that drops white space and never joins across it: a text's ids are those
-    of its runs between blanks or line ends, one after the other."""
+    """For a lower-casing tokenizer that drops white space and never joins across it, kept by a worker
+    from task to task. A text's ids are those of its runs between blanks or line ends, one after the other."""
+    if path in _ENCODERS:
+        return _ENCODERS[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tok.encode_batch(words, add_special_tokens=False)]
+        # words that differ in the case of common letters have the same ids and are encoded once
+        cores = [w.lower() if w.isascii() or max(w) < "\u0250" else w for w in words]
+        number = {c: i for i, c in enumerate(dict.fromkeys(cores))}
+        ids = [e.ids for e in tok.encode_batch_fast(list(number), add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for y in ids for x in y), np.uint32, int(lens.sum())), lens
+        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lens.sum()))
+        which = np.fromiter((number[c] for c in cores), np.int64, len(cores))
+        return flat[spread_ranges((np.cumsum(lens) - lens)[which], lens[which])], lens[which]
 
-    return WordIds(encode)
+    _ENCODERS[path] = WordIds(encode)
+    return _ENCODERS[path]
 
 
 def sequence_sizes(total: int, capacity: int) -> list[int]:
@@ -120,8 +133,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, quad
             return out
 
         for b in batches:
-            for name, text in zip(b["doc_id"].tolist(), b["text"]):
-                x = np.append(encoder.ids(text.replace("\n", " ").split(" ")), np.uint32(end_id))
+            runs = [t.replace("\n", " ").split(" ") for t in b["text"]]
+            for i, (name, words) in enumerate(zip(b["doc_id"].tolist(), runs)):
+                if i % 256 == 0:
+                    encoder.offer({w for r in runs[i : i + 256] for w in r})
+                x = np.append(encoder.ids(words), np.uint32(end_id))
                 names.append(name)
                 ids.append(x)
                 held += len(x)

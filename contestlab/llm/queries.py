@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, pieces, private, quality, rules, search, sharding
+from . import language, minhash, packing, pieces, private, quality, rules, search, sharding
 from .common import table
 
 
@@ -25,6 +25,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.personal_data(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_quality_classifier": op7_quality_classifier, "op8_sentencepiece": op8_sentencepiece, "op9_quality_rules": op9_quality_rules, "op10_top_k": op10_top_k}
+    return {"op1_near_duplicates": op1_near_duplicates, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_quality_classifier": op7_quality_classifier, "op8_sentencepiece": op8_sentencepiece, "op9_quality_rules": op9_quality_rules, "op10_top_k": op10_top_k}
 
 
 def oracle_sql() -> dict[str, str]:

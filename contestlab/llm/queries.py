@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, packing, pieces, private, quality, rules, search, sharding
+from . import language, minhash, packing, pieces, private, quality, repeats, rules, search, sharding
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_duplicates": op1_near_duplicates, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_quality_classifier": op7_quality_classifier, "op8_sentencepiece": op8_sentencepiece, "op9_quality_rules": op9_quality_rules, "op10_top_k": op10_top_k}
+    return {"op1_near_duplicates": op1_near_duplicates, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op4_suffix_dedup": op4_suffix_dedup, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_quality_classifier": op7_quality_classifier, "op8_sentencepiece": op8_sentencepiece, "op9_quality_rules": op9_quality_rules, "op10_top_k": op10_top_k}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -181,4 +181,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", te
     found = learned(docs, labels, stratum=stratum, text_col=text_col, **options)[1]
     own = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"), stratum_of(stratum))
     rows = measured(own).withColumn("base_failed", base_failed())
-    return judged(rows, found, options.get("rules", RULES)).filter("kept").select("doc.*")
+    # one condition over both sides of the join: parts of it must not move below, where each use would measure anew
+    return judged(rows, found, options.get("rules", RULES)).filter("rejected_by = ''").select("doc.*")

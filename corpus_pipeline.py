@@ -1,18 +1,60 @@
-"""Corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""From raw documents to packed training sequences: five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the
+last return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and
+reads them again, so a lost executor costs a stage's tasks at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contestlab.llm import packing
+from contestlab.llm import minhash, packing, private, repeats, rules
 from contestlab.llm.common import table, written
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """Columns of ``documents``, the length that of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the risk-controlled rules keep."""
+    return rules.kept_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the smallest id."""
+    return minhash.distinct_documents(docs.select(*COLUMNS))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without strings of 100 bytes that start earlier too."""
+    return sized(repeats.without_repeats(docs.select(*COLUMNS)))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return sized(private.redacted(docs.select(*COLUMNS)))
+
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("personal_data", personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Consistent sampling, boosted trees and a tokenizer have no SQL form; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import bets, ticks
-from ..sample import contest_headers, contest_sides, table
+from ..sample import PAIRS, contest_headers, contest_sides, table
 from ..session import cut
 from .fitted import rnd
 from .registry import over_sides, query
@@ -33,8 +33,8 @@ def _named(spark, sf):
 
 def _ticks(spark, sf, h):
     """Prices per side and contest, up to twelve days before the event; some contests are priced from one side only."""
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("contest_id"), "l_suppkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-    j = h.join(li, "contest_id").filter("(l_suppkey = entity1_id AND l_returnflag <> 'R') OR (l_suppkey = entity2_id AND l_returnflag <> 'N')")
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_suppkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    j = h.withColumn("order_id", F.expr(f"contest_id div {PAIRS}")).join(li, "order_id").filter("(l_suppkey = entity1_id AND l_returnflag <> 'R') OR (l_suppkey = entity2_id AND l_returnflag <> 'N')")
     one = F.col("l_suppkey") == F.col("entity1_id")
     at = F.to_timestamp(F.col("event_date")) + F.make_dt_interval(days=F.lit(2), hours=-(F.col("l_linenumber") * 47), mins=-(F.col("l_partkey") % 60).cast("int"))
     return j.select(F.when(one, F.col("name1")).otherwise(F.col("name2")).alias("fighter"), F.when(one, F.col("name2")).otherwise(F.col("name1")).alias("opponent"),
@@ -46,7 +46,7 @@ _NAMED = """nm AS (SELECT s_suppkey AS id, concat(upper(n_name[1]), lower(n_name
 _TICKS = f"""{_NAMED},
   tk AS (SELECT DISTINCT ON (fighter, opponent, ts) * FROM (SELECT CASE WHEN l_suppkey = entity1_id THEN name1 ELSE name2 END AS fighter, CASE WHEN l_suppkey = entity1_id THEN name2 ELSE name1 END AS opponent,
     CAST(event_date AS TIMESTAMP) + INTERVAL 2 DAY - to_hours(CAST(l_linenumber * 47 AS BIGINT)) - to_minutes(CAST(l_partkey % 60 AS BIGINT)) AS ts, 1.05 + l_quantity / 16 AS odds
-    FROM hn JOIN lineitem ON l_orderkey = contest_id WHERE (l_suppkey = entity1_id AND l_returnflag <> 'R') OR (l_suppkey = entity2_id AND l_returnflag <> 'N')) ORDER BY fighter, opponent, ts, odds),
+    FROM hn JOIN lineitem ON l_orderkey = contest_id // 1009 WHERE (l_suppkey = entity1_id AND l_returnflag <> 'R') OR (l_suppkey = entity2_id AND l_returnflag <> 'N')) ORDER BY fighter, opponent, ts, odds),
   tm AS (SELECT *, strftime(ts, '%Y-%m') AS month FROM tk),
   c0 AS (SELECT fighter, opponent, month, min_by(odds, ts) AS opening, max_by(odds, ts) AS closing, max(ts) AS closing_ts FROM tm GROUP BY 1, 2, 3),
   w0 AS (SELECT tm.fighter, tm.opponent, tm.month, tm.odds AS week, row_number() OVER (PARTITION BY tm.fighter, tm.opponent, tm.month ORDER BY abs(epoch_us(ts) - (epoch_us(closing_ts) - 604800000000)), ts DESC) AS rn
@@ -254,9 +254,9 @@ def _risk_sql() -> str:
     def scaled(n, mean, sd):
         return f"CASE WHEN {n} > 1 THEN CASE WHEN {sd} > 1e-12 THEN {mean} / {sd} * coalesce(sqrt({n} / yrs), 1) WHEN {mean} > 0 THEN CAST('Infinity' AS DOUBLE) WHEN {mean} < 0 THEN CAST('-Infinity' AS DOUBLE) ELSE 0 END END"
 
-    return over_sides(f"""WITH ev AS (SELECT strategy, odds_type, event_date, sum(profit) AS p, count(*) * 7.35 AS w FROM single GROUP BY 1, 2, 3),
-      r0 AS (SELECT *, 1000 + sum(p) OVER (PARTITION BY strategy, odds_type ORDER BY event_date) AS e FROM ev),
-      r1 AS (SELECT *, CASE WHEN e - p > 0 THEN p / (e - p) END AS r, p / w AS roi, greatest(1000.0, max(e) OVER (PARTITION BY strategy, odds_type ORDER BY event_date)) AS peak FROM r0),
+    return over_sides(f"""WITH ev AS (SELECT strategy, odds_type, event_date, CAST(sum(CAST(round(profit * 100) AS BIGINT)) AS BIGINT) AS c, count(*) * 7.35 AS w FROM single GROUP BY 1, 2, 3),
+      r0 AS (SELECT *, CAST(100000 + sum(c) OVER (PARTITION BY strategy, odds_type ORDER BY event_date) AS BIGINT) AS ec FROM ev),
+      r1 AS (SELECT *, c / 100.0 AS p, ec / 100.0 AS e, CASE WHEN ec - c > 0 THEN CAST(c AS DOUBLE) / (ec - c) END AS r, c / 100.0 / w AS roi, greatest(100000, max(ec) OVER (PARTITION BY strategy, odds_type ORDER BY event_date)) / 100.0 AS peak FROM r0),
       a AS (SELECT strategy, odds_type, count(r) AS n, avg(r) AS m, stddev_samp(r) AS s, count(*) AS nr, avg(roi) AS mr, stddev_samp(roi) AS sr, count(r) FILTER (WHERE r < 0) AS nn, stddev_samp(r) FILTER (WHERE r < 0) AS sn0,
         max_by(e, event_date) AS last, max((peak - e) / peak) AS dd, CASE WHEN max(event_date) > min(event_date) THEN (max(event_date) - min(event_date)) / 365.25 END AS yrs, coalesce(sum(p) FILTER (WHERE p > 0), 0) AS g, -coalesce(sum(p) FILTER (WHERE p < 0), 0) AS l FROM r1 GROUP BY 1, 2),
       b AS (SELECT *, CASE WHEN nn >= 2 THEN sn0 ELSE 0 END AS sn, CASE WHEN last > 0 AND yrs IS NOT NULL THEN (pow(last / 1000.0, 1 / yrs) - 1) * 100 ELSE 0 END AS cagr FROM a)

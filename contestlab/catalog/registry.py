@@ -17,7 +17,7 @@ _STAT_SQL = ", ".join(
 )
 
 SIDES = f"""
-raw AS (SELECT l_orderkey AS contest_id, l_suppkey AS entity_id,
+raw AS (SELECT l_orderkey AS order_id, l_suppkey AS entity_id,
   CAST(sum(q) AS BIGINT) AS att,
   CAST(sum(CASE WHEN l_returnflag = 'R' THEN q ELSE 0 END) AS BIGINT) AS land,
   CAST(sum(CASE WHEN l_linestatus = 'O' THEN q ELSE 0 END) AS BIGINT) AS ctrl,
@@ -26,19 +26,20 @@ raw AS (SELECT l_orderkey AS contest_id, l_suppkey AS entity_id,
   CAST(sum(60) AS BIGINT) AS secs,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, {_STAT_SQL}
   FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q, (l_linenumber - 1) % 3 + 1 AS rd FROM lineitem) GROUP BY 1, 2),
-sided AS (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY entity_id) AS side FROM raw),
-head0 AS (SELECT a.contest_id, a.entity_id AS entity1_id, b.entity_id AS entity2_id,
+sided AS (SELECT * EXCLUDE (rn), order_id * 1009 + (rn - 1) // 2 AS contest_id, (rn - 1) % 2 + 1 AS side
+  FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY entity_id) AS rn FROM raw)),
+head0 AS (SELECT a.order_id, a.contest_id, a.entity_id AS entity1_id, b.entity_id AS entity2_id,
   CASE WHEN a.cents > b.cents THEN 1 WHEN a.cents < b.cents THEN 0 ELSE 2 END AS result
   FROM sided a JOIN sided b ON a.contest_id = b.contest_id AND a.side = 1 AND b.side = 2),
-headers AS (SELECT h.*, CAST(o_orderdate AS DATE) AS event_date,
+headers AS (SELECT h.* EXCLUDE (order_id), CAST(o_orderdate AS DATE) AS event_date,
   CAST(((CAST(o_orderdate AS DATE) - DATE '1990-01-01') * 2 + o_custkey % 2) * 7919 % 100003 AS BIGINT) AS event_id,
   o_orderpriority AS grp,
   CASE o_orderstatus WHEN 'F' THEN 'KO/TKO' WHEN 'P' THEN 'Submission' ELSE 'Decision - Unanimous' END AS method,
   CAST(o_custkey % 3 + 1 AS INTEGER) AS end_round, CAST(o_custkey % 270 + 30 AS INTEGER) AS end_time
-  FROM head0 h JOIN orders ON o_orderkey = contest_id),
+  FROM head0 h JOIN orders ON o_orderkey = order_id),
 sides AS MATERIALIZED (SELECT h.event_id, h.event_date, h.grp, h.method, h.end_round, h.end_time, h.result,
-  CASE WHEN r.side = 1 THEN h.entity2_id ELSE h.entity1_id END AS opponent_id, r.*
-  FROM sided r JOIN headers h ON h.contest_id = r.contest_id WHERE r.side <= 2)
+  CASE WHEN r.side = 1 THEN h.entity2_id ELSE h.entity1_id END AS opponent_id, r.* EXCLUDE (order_id)
+  FROM sided r JOIN headers h ON h.contest_id = r.contest_id)
 """
 
 ENTITIES = """

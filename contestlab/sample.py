@@ -1,8 +1,9 @@
-"""The contest view over the star-schema tables (two suppliers sharing an order).
+"""The contest view over the star-schema tables (suppliers of an order meet two by two).
 
-contest = order, entity = supplier, group = order priority, event = order date
-and customer parity. Everything is derived with two shuffles of the line items:
-the side aggregate and the pairing by order.
+The suppliers of an order, by key, form pairs: the first with the second, the third with the fourth
+and so on; only the last of an odd number has no opponent. contest = pair, entity = supplier,
+group = order priority, event = order date and customer parity. Everything is derived with two
+shuffles of the line items: the side aggregate and the pairing by order.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROUNDS = (1, 2, 3)
+#: contest id = order key * PAIRS + number of the pair; an order has fewer pairs than this.
+PAIRS = 1009
 STATS = ["att", "land", "ctrl", "kd", "sub_att", "secs"]
 ROUND_STATS = [f"{s}_rd{r}" for s in ("att", "land", "secs") for r in ROUNDS]
 
@@ -49,7 +52,7 @@ def _stat_exprs() -> dict:
 def _side_totals(spark: SparkSession, sf_dir: str, stats: list[str]) -> DataFrame:
     exprs = _stat_exprs()
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_orderkey").alias("contest_id"), F.col("l_suppkey").alias("entity_id")).agg(
+    return li.groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("entity_id")).agg(
         *[exprs[s].alias(s) for s in dict.fromkeys(["cents", *stats])]
     )
 
@@ -57,19 +60,18 @@ def _side_totals(spark: SparkSession, sf_dir: str, stats: list[str]) -> DataFram
 def contest_pairs(spark: SparkSession, sf_dir: str, stats: list[str] = ALL_STATS) -> DataFrame:
     """One row per contest: header columns and the structs ``a`` (side 1) and ``b`` (side 2)."""
     sides = _side_totals(spark, sf_dir, stats)
-    w = Window.partitionBy("contest_id").orderBy("entity_id")
-    first_two = sides.withColumn("rn", F.row_number().over(w)).filter("rn <= 2").drop("rn")
-    body = F.struct(*[c for c in first_two.columns if c != "contest_id"])
-    pairs = (
-        first_two.groupBy("contest_id")
-        .agg(F.min_by(body, "entity_id").alias("a"), F.max_by(body, "entity_id").alias("b"), F.count(F.lit(1)).alias("n"))
-        .filter("n = 2")
-        .drop("n")
-    )
+    nth = F.row_number().over(Window.partitionBy("order_id").orderBy("entity_id")) - 1
+    body = [c for c in sides.columns if c != "order_id"]
+    sides = sides.withColumn("__n", nth).withColumns({"__pair": F.expr("__n div 2"), "__side": F.col("__n") % 2})
+    # a conditional maximum per column and side hashes; a struct per side would have to be sorted
+    pick = [F.max(F.when(F.col("__side") == i, F.col(c))).alias(f"__{i}_{c}") for i in (0, 1) for c in body]
+    pairs = sides.groupBy("order_id", "__pair").agg(F.count(F.lit(1)).alias("__sides"), *pick).filter("__sides = 2")
+    a, b = (F.struct(*[F.col(f"__{i}_{c}").alias(c) for c in body]) for i in (0, 1))
+    pairs = pairs.select("order_id", (F.col("order_id") * PAIRS + F.col("__pair")).alias("contest_id"), a.alias("a"), b.alias("b"))
     o = table(spark, sf_dir, "orders")
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))
     head = o.select(
-        F.col("o_orderkey").alias("contest_id"),
+        F.col("o_orderkey").alias("order_id"),
         F.to_date("o_orderdate").alias("event_date"),
         (((day * 2 + F.col("o_custkey") % 2) * 7919) % 100003).cast("bigint").alias("event_id"),
         F.col("o_orderpriority").alias("grp"),
@@ -78,7 +80,7 @@ def contest_pairs(spark: SparkSession, sf_dir: str, stats: list[str] = ALL_STATS
         (F.col("o_custkey") % 270 + 30).cast("int").alias("end_time"),
     )
     res = F.when(F.col("a.cents") > F.col("b.cents"), 1).when(F.col("a.cents") < F.col("b.cents"), 0).otherwise(2)
-    return pairs.join(head, "contest_id").withColumn("result", res)
+    return pairs.join(head, "order_id").drop("order_id").withColumn("result", res)
 
 
 def contest_headers(spark: SparkSession, sf_dir: str) -> DataFrame:

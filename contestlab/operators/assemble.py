@@ -9,7 +9,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, small_join
+from ..session import cut
+from .ranking import ranked
 from .sides import pair_sides
 from .windows import contest_no
 
@@ -166,8 +167,7 @@ def swap_roles(df: DataFrame, when: Column, pairs: list[tuple[str, str]], label:
 def balance(df: DataFrame, key: str, label: str, pairs: list[tuple[str, str]], target: float = 0.5, seed: int = 42) -> DataFrame:
     """Swap sides of a seeded random subset of the majority class until the target rate holds.
 
-    The subset is the k smallest key hashes. The first three hex digits place rows
-    in 4096 buckets, so only one bucket needs an order.
+    The subset is the k smallest key hashes, by the ranks of the majority's keys alone.
     """
     rows = cut(df.filter(F.col(label).isin(0, 1)))
     n, ones = rows.agg(F.count(F.lit(1)), F.count_if(F.col(label) == 1)).first()
@@ -175,20 +175,11 @@ def balance(df: DataFrame, key: str, label: str, pairs: list[tuple[str, str]], t
         return rows
     want = int(n * target)
     majority, k = (1, ones - want) if ones > want else (0, want - ones)
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    marked = rows.withColumn("__h", h).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
-    sizes = dict(marked.filter(F.col(label) == majority).groupBy("__b").count().collect())
-    taken, edge = 0, 4096
-    for b in range(4096):
-        if taken + sizes.get(b, 0) > k:
-            edge = b
-            break
-        taken += sizes.get(b, 0)
-    w = Window.partitionBy("__b").orderBy("__h", key)
-    last = marked.filter((F.col("__b") == edge) & (F.col(label) == majority)).withColumn("__r", F.row_number().over(w))
-    last = last.filter(F.col("__r") <= k - taken).select(key, F.lit(True).alias("__in"))
-    marked = small_join(marked, last, [key], "left")
-    when = (F.col(label) == majority) & ((F.col("__b") < edge) | F.coalesce("__in", F.lit(False)))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("__h")
+    chosen = ranked(rows.filter(F.col(label) == majority).select(key, h), ["__h", key], "__r")[0]
+    chosen = chosen.filter(F.col("__r") <= k).select(key, F.lit(True).alias("__in"))
+    marked = rows.join(chosen, key, "left")
+    when = (F.col(label) == majority) & F.coalesce("__in", F.lit(False))
     diffs = [c for c in df.columns if c.endswith("_diff")]
     return swap_roles(marked, when, pairs, label, diffs).select(*df.columns)
 

@@ -1,68 +1,57 @@
 """Global order without a single-task window.
 
-Rows are placed in range buckets whose boundaries come from a bounded sample (the
-rows with the smallest key hashes). Bucket sizes give offsets; the order inside a
-bucket is a window over that bucket. Boundaries only steer the balance: ranks are
-exact whatever the sample holds.
+Rows are range-partitioned by the whole order key, so the number of pieces is that of the
+session's shuffles and grows with the cluster's settings. Sizes per piece give exact offsets; the
+order inside a piece is a window over that piece. The placed rows are checkpointed, since range
+bounds are sampled anew whenever a plan runs again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-SAMPLE = 8192
-PARTS = 128
 
+def placed(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``__b``, the number of its range piece; ``parts`` pieces, or as many as shuffles have."""
+    ranges = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return cut(ranges.withColumn("__b", F.spark_partition_id()))
 
-def _bucket(df: DataFrame, order: list[str], parts: int) -> Column:
-    """Ordered bucket number of a row as an expression."""
-    seen = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLE).collect()
-    edges = sorted({tuple(r) for r in seen if None not in tuple(r)})
-    step = max(1, len(edges) // parts)
-    kinds = dict(df.dtypes)
-    bounds = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, e)]) for e in edges[step::step]]
-    if not bounds or len(edges) < 2 * parts:
-        return F.pmod(F.xxhash64(*order), F.lit(1)).cast("int")  # one bucket, not a literal: joins on it stay equi-joins
-    me = F.struct(*[F.col(c) for c in order])
-    return F.size(F.filter(F.array(*bounds), lambda b: b <= me))
 
-
-def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int = PARTS) -> tuple[DataFrame, int]:
+def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int | None = None) -> tuple[DataFrame, int]:
     """Number the rows 1.. in the given ascending order, which should be unique; also the row count."""
-    df = cut(df)
-    placed = df.withColumn("__b", _bucket(df, order, parts))
-    sizes = {r["__b"]: r["count"] for r in placed.groupBy("__b").count().collect()}
-    before, total = [], 0
-    for b in range(max(sizes, default=0) + 1):
-        before.append(F.lit(total).cast("bigint"))
-        total += sizes.get(b, 0)
-    w = Window.partitionBy("__b").orderBy(*order)
-    rank = F.element_at(F.array(*before), F.col("__b") + 1) + F.row_number().over(w)
-    return placed.withColumn(name, rank.cast("bigint")).drop("__b"), total
-
-
-def global_rank(df: DataFrame, order: list[str], name: str = "rank", parts: int = PARTS) -> DataFrame:
+    rows = placed(df, order, parts)
+    sizes = {r["__b"]: r["count"] for r in rows.groupBy("__b").count().collect()}  # one row a piece
+    before, total = [(-1, 0)], 0
+    for b in sorted(sizes):
+        before.append((b, total))
+        total += sizes[b]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "__b int, __before bigint"))
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy(*order))
+    return rows.join(offsets, "__b").withColumn(name, rank.cast("bigint")).drop("__b", "__before"), total
+
+
+def global_rank(df: DataFrame, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
     return ranked(df, order, name, parts)[0]
 
 
-def cumulate(dist: DataFrame, keys: list[str], value: str, sums: list[str], parts: int = PARTS) -> DataFrame:
+def cumulate(dist: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
     """Add ``<s>_before`` (sum over smaller values) and ``<s>_all`` per key to a table of distinct values.
 
     ``dist`` has one row per (keys, value), so ties are already merged.
     """
-    placed = dist.withColumn("__b", _bucket(dist, [value], parts))
+    rows = placed(dist, [*keys, value])
     upto = Window.partitionBy(*keys, F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys, F.lit(0))
-    per = placed.groupBy(*keys, "__b").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    per = rows.groupBy(*keys, "__b").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     per = per.select(
         *keys, "__b", *[F.coalesce(F.sum(f"__t_{s}").over(upto), F.lit(0)).alias(f"__o_{s}") for s in sums],
         *[F.sum(f"__t_{s}").over(whole).alias(f"{s}_all") for s in sums],
     )
     w = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(per, [*keys, "__b"])
+    out = rows.join(per, [*keys, "__b"])
     return out.withColumns({f"{s}_before": F.col(f"__o_{s}") + F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums}).drop(
         "__b", *[f"__o_{s}" for s in sums])
 

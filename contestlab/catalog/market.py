@@ -110,7 +110,7 @@ _SIM = "100.0 * (1 - levenshtein({0}, {1}) / CAST(greatest(length({0}), length({
 
 @query("fuzzy_pair_match", over_sides(f"""WITH l AS (SELECT contest_id AS line_id, event_date AS day, CASE WHEN contest_id % 2 = 0 THEN name1 ELSE name2 END || 'x' AS fighter, replace(CASE WHEN contest_id % 2 = 0 THEN name2 ELSE name1 END, 'an', 'on') AS opponent FROM hn),
   s AS (SELECT l.*, hn.contest_id, {_SIM.format('lower(fighter)', 'lower(name1)')} + {_SIM.format('lower(opponent)', 'lower(name2)')} AS s1, {_SIM.format('lower(fighter)', 'lower(name2)')} + {_SIM.format('lower(opponent)', 'lower(name1)')} AS s2
-    FROM l JOIN hn ON hn.event_date = l.day AND least(lower(fighter)[1], lower(opponent)[1]) = least(lower(name1)[1], lower(name2)[1]) AND greatest(lower(fighter)[1], lower(opponent)[1]) = greatest(lower(name1)[1], lower(name2)[1])),
+    FROM l JOIN hn ON abs(hn.event_date - l.day) <= 1),
   r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY greatest(s1, s2) DESC, contest_id) AS rn FROM s WHERE greatest(s1, s2) >= 140)
   SELECT line_id, contest_id, CASE WHEN s1 >= s2 THEN 1 ELSE 2 END AS orientation, round(greatest(s1, s2), 6) AS score FROM r WHERE rn = 1""", _NAMED))
 def _(spark, sf):
@@ -122,14 +122,10 @@ def _(spark, sf):
     return rnd(out.select("line_id", "contest_id", "orientation", "score"), [])
 
 
-def _gram_sql(c):
-    return f"list_distinct(list_transform(range(1, greatest(length({c}) - 2, 1) + 1), lambda i: substr({c}, i, 3)))"
-
-
 @query("fuzzy_name_map", f"""WITH s AS (SELECT concat(lower(n_name), ' ', s_suppkey * 37) AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
   l AS (SELECT name AS left_name, name AS k FROM (SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN concat(s_suppkey * 37, ' ', lower(n_name)) ELSE concat(replace(lower(n_name), 'a', 'aa'), ' ', s_suppkey * 37) END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)),
   lk AS (SELECT left_name, array_to_string(list_sort(string_split_regex(trim(lower(k)), '\\s+')), ' ') AS lk FROM l), rk AS (SELECT DISTINCT name AS right_name, array_to_string(list_sort(string_split_regex(trim(lower(name)), '\\s+')), ' ') AS rk FROM s),
-  p AS (SELECT *, {_SIM.format('lk', 'rk')} AS score FROM lk JOIN rk ON list_has_any({_gram_sql('lk')}, {_gram_sql('rk')})),
+  p AS (SELECT *, {_SIM.format('lk', 'rk')} AS score FROM lk CROSS JOIN rk),
   r AS (SELECT *, row_number() OVER (PARTITION BY left_name ORDER BY score DESC, right_name) AS rn FROM p WHERE score >= 65) SELECT left_name, right_name, round(score, 6) AS score FROM r WHERE rn = 1""")
 def _(spark, sf):
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.odds import complement_odds, implied_prob
@@ -119,45 +119,78 @@ def token_key(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(F.trim(F.lower(c)), r"\s+")), " ")
 
 
-def fuzzy_pairs(lines: DataFrame, contests: DataFrame, date: str, threshold: float = 70.0) -> DataFrame:
-    """Pairs of names matched to contests of the same date by the better of two orientations.
+def blocks(names: DataFrame, threshold: float) -> DataFrame:
+    """(k, g) of distinct strings ``k``: any two of at least ``threshold`` similarity share a ``g``.
 
-    The score is the sum of both names' similarities and must reach twice the
-    threshold; ties go to orientation 1. Candidates share the date and the first
-    letters of the names in one orientation, which blocks the comparison.
+    With L the longer length, such strings differ by at most (1 - t) L edits and so have (2t - 1) L - 1
+    two-letter runs and t L letters in common, each counted as often as it occurs. Of strings that
+    have c members in common, the rarest (size - c + 1) members of each have one in common, in any
+    order that is the same for all; only these are kept, so frequent runs bring few strings
+    together. Letters alone are needed where runs are too few, for strings that can meet a short one.
     """
-    def initials(x: str, y: str) -> Column:
-        i, j = (F.substring(F.lower(F.col(c)), 1, 1) for c in (x, y))
-        return F.concat(F.least(i, j), F.greatest(i, j))
+    t, length = threshold / 100.0, F.length("k")
+    if t <= 0.5:
+        raise ValueError("a threshold over 50 is needed")
+    least = int(1 / (2 * t - 1)) + 1
+
+    def members(q: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), length - q + 1), lambda i: F.substring(F.col("k"), i, F.lit(q)))
+        return F.transform(runs, lambda g, i: F.concat_ws(":", g, F.size(F.filter(F.slice(runs, F.lit(1), i), lambda x: x == g)).cast("string")))
+
+    none = F.array().cast("array<string>")
+    two, one = (length >= least) & (length >= 2), (length > 0) & (length < least / t)
+    keep_two = length - F.ceil((2 * t - 1) * length - 1 - 1e-9)
+    keep_one = length - F.ceil(t * length - 1e-9) + 1
+    kinds = [(2, two, keep_two, members(2)), (1, one, keep_one, members(1))]
+    each = F.array(*[F.struct(F.lit(q).alias("q"), keep.cast("int").alias("keep"), F.when(ok, m).otherwise(none).alias("m")) for q, ok, keep, m in kinds])
+    rows = names.select("k", F.explode(each).alias("x")).select("k", "x.q", "x.keep", F.explode("x.m").alias("m"))
+    often = rows.groupBy("q", "m").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("k", "q").orderBy("n", "m"))  # a name's own letters
+    kept = rows.join(often, ["q", "m"]).withColumn("r", rank).filter("r <= keep")
+    return kept.select("k", F.concat_ws("/", "q", "m").alias("g")).unionByName(names.filter(length == 0).select("k", F.lit("").alias("g")))
+
+
+def alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) of all strings ``k`` of two tables with at least ``threshold`` similarity, none lost."""
+    left, right = left.select("k").distinct(), right.select("k").distinct()
+    g = cut(blocks(cut(left.unionByName(right).distinct()), threshold))
+    lg, rg = left.join(g, "k").withColumnRenamed("k", "a"), right.join(g, "k").withColumnRenamed("k", "b")
+    size = F.least(F.length("a"), F.length("b")) >= F.greatest(F.length("a"), F.length("b")) * (threshold / 100.0) - 1e-9
+    pairs = lg.join(rg, "g").filter(size).select("a", "b").distinct()
+    return pairs.withColumn("score", similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
+
+
+def fuzzy_pairs(lines: DataFrame, contests: DataFrame, date: str, threshold: float = 70.0, days: int = 1, every: bool = False) -> DataFrame:
+    """Pairs of names matched to contests up to ``days`` away by the better of two orientations.
 
-    left = lines.withColumn("__b", initials("fighter", "opponent"))
-    right = contests.select("contest_id", F.col("event_date").alias(date), "name1", "name2", initials("name1", "name2").alias("__b"))
+    The score is the sum of both names' similarities and must reach twice the
+    threshold; ties go to orientation 1. ``every`` returns all such contests, otherwise
+    the best one, the smallest id on ties. One of the two names must reach the threshold by itself, so
+    candidates are the names that do (see ``alike``) on neighbouring days; no pair is lost.
+    """
     f, o, n1, n2 = (F.lower(F.col(c)) for c in ("fighter", "opponent", "name1", "name2"))
-    scored = left.join(right, [date, "__b"]).withColumns({"s1": similarity(f, n1) + similarity(o, n2), "s2": similarity(f, n2) + similarity(o, n1)})
-    scored = scored.withColumns({"score": F.greatest("s1", "s2"), "orientation": F.when(F.col("s1") >= F.col("s2"), 1).otherwise(2)})
+    lines = cut(lines.withColumn("__id", F.monotonically_increasing_id()))
+    right = cut(contests.select("contest_id", F.col("event_date").alias("__day"), "name1", "name2"))
+    names = alike(lines.select(F.explode(F.array(f, o)).alias("k")), right.select(F.explode(F.array(n1, n2)).alias("k")), threshold).select("a", "b")
+    near = lines.select("__id", date, F.explode(F.array_distinct(F.array(f, o))).alias("a"))
+    near = near.withColumn("__day", F.explode(F.array([F.date_add(date, d) for d in range(-days, days + 1)]))).drop(date)
+    there = right.select("contest_id", "__day", F.explode(F.array_distinct(F.array(n1, n2))).alias("b"))
+    cands = near.join(names, "a").join(there, ["__day", "b"]).select("__id", "contest_id").distinct()
+    scored = cands.join(lines, "__id").join(right, "contest_id").withColumns({"s1": similarity(f, n1) + similarity(o, n2), "s2": similarity(f, n2) + similarity(o, n1)})
+    scored = scored.withColumns({"score": F.greatest("s1", "s2"), "orientation": F.when(F.col("s1") >= F.col("s2"), 1).otherwise(2)}).filter(F.col("score") >= 2 * threshold)
+    kept = [c for c in lines.columns if c != "__id"]
+    if every:
+        return scored.select(*kept, "contest_id", "orientation", "score")
     best = F.max_by(F.struct("contest_id", "orientation", "score"), F.struct("score", -F.col("contest_id")))
-    return scored.filter(F.col("score") >= 2 * threshold).groupBy(*lines.columns).agg(best.alias("m")).select(*lines.columns, "m.*")
-
+    return scored.groupBy("__id", *kept).agg(best.alias("m")).select(*kept, "m.*")
 
-def name_map(left: DataFrame, right: DataFrame, threshold: float = 65.0, gram: int = 3) -> DataFrame:
-    """Best right name per left name by similarity of the token-sorted forms.
 
-    Equal keys match first. The rest are blocked on shared character n-grams of the
-    key: every candidate pair shares at least one, so names without a common
-    n-gram are never compared.
-    """
-    l = left.select(F.col("name").alias("left_name"), token_key(F.col("name")).alias("lk")).distinct()
-    r = right.select(F.col("name").alias("right_name"), token_key(F.col("name")).alias("rk")).distinct()
-    exact = l.join(r, F.col("lk") == F.col("rk")).groupBy("left_name").agg(F.min("right_name").alias("right_name")).withColumn("score", F.lit(100.0))
+def name_map(left: DataFrame, right: DataFrame, threshold: float = 65.0) -> DataFrame:
+    """Best right name per left name by similarity of the token-sorted forms; equal forms match first."""
+    l = left.select(F.col("name").alias("left_name"), token_key(F.col("name")).alias("k")).distinct()
+    r = right.select(F.col("name").alias("right_name"), token_key(F.col("name")).alias("k")).distinct()
+    exact = l.join(r, "k").groupBy("left_name").agg(F.min("right_name").alias("right_name")).withColumn("score", F.lit(100.0))
     rest = l.join(exact, "left_name", "left_anti")
-
-    def grams(c: str) -> Column:
-        n = F.greatest(F.length(c) - gram + 1, F.lit(1))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(c), i, F.lit(gram))))
-
-    rg = r.withColumn("g", F.explode(grams("rk")))
-    lg = rest.withColumn("g", F.explode(grams("lk")))
-    cand = lg.join(rg, "g").select("left_name", "lk", "right_name", "rk").distinct()
-    scored = cand.withColumn("score", similarity(F.col("lk"), F.col("rk"))).filter(F.col("score") >= threshold)
+    scored = rest.join(alike(rest, r, threshold).withColumnRenamed("a", "k"), "k").join(r.select("right_name", F.col("k").alias("b")), "b")
     best = scored.groupBy("left_name").agg(F.min_by(F.struct("right_name", "score"), F.struct(-F.col("score"), F.col("right_name"))).alias("m"))
     return exact.select("left_name", "right_name", "score").unionByName(best.select("left_name", "m.right_name", "m.score"))

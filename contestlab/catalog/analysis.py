@@ -15,28 +15,29 @@ from .registry import over_sides, query
 
 def _raw_contests(spark, sf):
     """Contest rows as raw text, the way they are scraped."""
-    s = contest_sides(spark, sf, ["land_rd1", "att_rd1", "land_rd2", "att_rd2", "secs_rd1"])
+    s = contest_sides(spark, sf, [f"{c}_rd{r}" for c in ("land", "att", "secs") for r in (1, 2, 3)])
     cells = {}
     for p in (1, 2):
-        for r in (1, 2):
+        for r in (1, 2, 3):
             cells[f"p{p}_rd{r}_Sig_str"] = F.max(F.when(F.col("side") == p, F.concat_ws(" of ", F.col(f"land_rd{r}").cast("string"), F.col(f"att_rd{r}").cast("string"))))
-        cells[f"p{p}_rd1_Ctrl"] = F.max(F.when(F.col("side") == p, F.format_string("%d:%02d", F.floor(F.col("secs_rd1") / 60).cast("int"), (F.col("secs_rd1") % 60).cast("int"))))
+            cells[f"p{p}_rd{r}_Ctrl"] = F.max(F.when(F.col("side") == p, F.format_string("%d:%02d", F.floor(F.col(f"secs_rd{r}") / 60).cast("int"), (F.col(f"secs_rd{r}") % 60).cast("int"))))
     out = s.groupBy(F.col("contest_id").cast("string").alias("event_url"), F.col("event_date").cast("string").alias("event_date"), "method").agg(*[c.alias(n) for n, c in cells.items()])
-    schema = src.contest_schema(2)
+    schema = src.contest_schema()
     have = set(out.columns)
     return out.select(*[(F.col(f.name) if f.name in have else F.lit(None).cast("string")).alias(f.name) for f in schema.fields])
 
 
-@query("scan_contests", over_sides("""SELECT CAST(a.contest_id AS VARCHAR) AS event_url, a.event_date, a.method, CAST(a.land_rd1 AS INTEGER) AS land_1, CAST(b.att_rd2 AS INTEGER) AS att_2, CAST(b.secs_rd1 AS INTEGER) AS ctrl_2
+@query("scan_contests", over_sides("""SELECT CAST(a.contest_id AS VARCHAR) AS event_url, a.event_date, a.method, CAST(a.land_rd1 AS INTEGER) AS land_1, CAST(b.att_rd2 AS INTEGER) AS att_2, CAST(b.secs_rd1 AS INTEGER) AS ctrl_2, CAST(a.land_rd3 AS INTEGER) AS land_3, CAST(b.secs_rd3 AS INTEGER) AS ctrl_3
   FROM sides a JOIN sides b ON a.contest_id = b.contest_id AND a.side = 1 AND b.side = 2"""))
 def _(spark, sf):
     from ..functions.parse import clock_to_sec, split_of
 
     path = scratch(spark, "contests")
     _raw_contests(spark, sf).write.option("header", True).csv(path)
-    raw = src.read_contests(spark, path, 2)
+    raw = src.read_contests(spark, path)
     return raw.select("event_url", F.to_date("event_date").alias("event_date"), "method", split_of(F.col("p1_rd1_Sig_str"))[0].alias("land_1"),
-                      split_of(F.col("p2_rd2_Sig_str"))[1].alias("att_2"), clock_to_sec(F.col("p2_rd1_Ctrl")).alias("ctrl_2"))
+                      split_of(F.col("p2_rd2_Sig_str"))[1].alias("att_2"), clock_to_sec(F.col("p2_rd1_Ctrl")).alias("ctrl_2"),
+                      split_of(F.col("p1_rd3_Sig_str"))[0].alias("land_3"), clock_to_sec(F.col("p2_rd3_Ctrl")).alias("ctrl_3"))
 
 
 @query("merge_incremental", """WITH u AS (SELECT c_nationkey AS k, c_custkey AS seq, c_name AS name, 0 AS s FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey <> 3
@@ -49,12 +50,13 @@ def _(spark, sf):
     return src.merge_incremental(old, new, ["k"], "seq")
 
 
-@query("write_feature_table", over_sides("SELECT contest_id, entity_id, land, att FROM sides"))
+@query("write_feature_table", over_sides("SELECT half, contest_id, entity_id, land, att FROM sides, (VALUES ('parquet'), ('csv')) h(half)"))
 def _(spark, sf):
     base = scratch(spark, "publish")
     s = contest_sides(spark, sf, ["land", "att"]).select(*ID, "land", "att")
     src.publish(spark, {"training_data": s, "prediction_data": s}, base, {"prediction_data": "csv"})
-    return src.read_published(spark, base, "training_data")
+    halves = [src.read_published(spark, base, n).select(F.lit(kind).alias("half"), *ID, "land", "att") for kind, n in (("parquet", "training_data"), ("csv", "prediction_data"))]
+    return halves[0].unionByName(halves[1])
 
 
 # --- parameter search -------------------------------------------------------------------

@@ -42,7 +42,7 @@ def walk_forward(df: DataFrame, key: str, date: str, initial_years: int, test_ye
     every row is then placed by comparison, one narrow pass per fold set.
     """
     per_year = {r["y"]: r for r in df.groupBy(F.year(date).alias("y")).agg(F.min(date).alias("lo"), F.max(date).alias("hi")).collect()}
-    first, last = min(per_year), max(per_year)
+    first, last = min(per_year, default=0), max(per_year, default=-1)
     folds, train_end = [], first + initial_years - 1
     while train_end + test_years <= last and len(folds) < max_folds:
         start = max(first, train_end - rolling_years + 1) if rolling_years else first
@@ -51,6 +51,8 @@ def walk_forward(df: DataFrame, key: str, date: str, initial_years: int, test_ye
         if test:
             folds.append((start, train_end, min(r["lo"] for r in test), max(r["hi"] for r in test), max((r["hi"] for r in train), default=None)))
         train_end += 1
+    if not folds:
+        return df.select(F.lit(0).alias("fold"), F.lit("train").alias("role"), key).filter("false")
     y = F.year(date)
     roles = []
     for i, (start, end, lo, hi, train_hi) in enumerate(folds):

@@ -273,23 +273,40 @@ def _(spark, sf):
     return out.select("legs", "odds_type", "event_date", F.array_join(F.transform("contests", lambda c: c.cast("string")), "+").alias("contests"), "odds", "won", "profit")
 
 
+STAKE_KEYS = ["strategy", "odds_type"]
+_STAKED = f"""{_bet_sql()}, sz AS (SELECT * FROM (VALUES ('fixed10', 'fixed', 10.0, 1.0), ('percent1', 'percent', 1.0, 1.0), ('kelly10', 'kelly', 0.1, 0.05)) v(strategy, method, amount, most)),
+  s0 AS (SELECT strategy, odds_type, event_date, contest_id, method, CAST(amount AS DOUBLE) AS amount, CASE method WHEN 'percent' THEN CAST(amount AS DOUBLE) / 100 WHEN 'kelly' THEN least(((po - 1) * p - (1 - p)) / (po - 1) * CAST(amount AS DOUBLE), CAST(most AS DOUBLE)) END AS f,
+    CASE WHEN (pick = 1 AND y = 1) OR (pick = 2 AND y = 0) THEN po - 1 ELSE -1 END AS r FROM bt, sz WHERE po > 1),
+  s1 AS (SELECT *, CASE WHEN method = 'fixed' THEN 1000 + coalesce(sum(amount * r) OVER w, 0) ELSE 1000 * exp(coalesce(sum(ln(1 + f * r)) OVER w, 0)) END AS before FROM s0 WHERE method = 'fixed' OR f > 0
+    WINDOW w AS (PARTITION BY strategy, odds_type ORDER BY event_date, contest_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  s2 AS (SELECT *, min(before) OVER (PARTITION BY strategy, odds_type ORDER BY event_date, contest_id ROWS UNBOUNDED PRECEDING) AS low, CASE WHEN method = 'fixed' THEN amount ELSE f * before END AS stake FROM s1),
+  sl AS (SELECT strategy, odds_type, event_date, contest_id, stake, stake * r AS profit, before + stake * r AS bankroll FROM s2 WHERE method <> 'fixed' OR low >= amount)"""
+
+
 def _staked(spark, sf):
-    rows = bets.with_sides(bet_rows(spark, sf)).filter("odds_type = 'closing' AND pick IS NOT NULL")
+    rows = bets.with_sides(bet_rows(spark, sf)).filter("pick IS NOT NULL")
     one = F.col("pick") == 1
-    base = rows.select("event_date", "contest_id", F.when(one, F.col("p1")).otherwise(F.col("p2")).alias("p"), F.when(one, F.col("o1")).otherwise(F.col("o2")).alias("odds"), bets.won(F.col("pick")).alias("won"))
+    base = rows.select("odds_type", "event_date", "contest_id", F.when(one, F.col("p1")).otherwise(F.col("p2")).alias("p"), F.when(one, F.col("o1")).otherwise(F.col("o2")).alias("odds"), bets.won(F.col("pick")).alias("won"))
     base = base.withColumn("strategy", F.explode(F.array(F.lit("fixed10"), F.lit("percent1"), F.lit("kelly10"))))
     sizing = spark.createDataFrame([("fixed10", "fixed", 10.0, 1.0), ("percent1", "percent", 1.0, 1.0), ("kelly10", "kelly", 0.1, 0.05)], "strategy string, method string, amount double, most double")
-    return bets.staked_backtest(base, sizing, 1000.0), base
+    return bets.compounded_backtest(base, sizing, 1000.0, STAKE_KEYS), base
 
 
-@query("fixed_and_percent_stakes")
+@query("fixed_and_percent_stakes", over_sides("SELECT strategy, odds_type, contest_id, event_date, round(ln(stake), 5) AS log_stake, round(profit / stake, 5) AS gain, round(ln(CASE WHEN bankroll > 0 THEN bankroll END), 5) AS log_bankroll FROM sl", _STAKED))
 def _(spark, sf):
     log, _ = _staked(spark, sf)
-    return log.select("strategy", "contest_id", "event_date", "stake", "profit", "bankroll")
+    # a Kelly bankroll grows over many powers of ten, so money is reported by its logarithm
+    return log.select(*STAKE_KEYS, "contest_id", "event_date", F.round(F.log("stake"), 5).alias("log_stake"), F.round(F.col("profit") / F.col("stake"), 5).alias("gain"), F.round(F.log(F.when(F.col("bankroll") > 0, F.col("bankroll"))), 5).alias("log_bankroll"))
 
 
-@query("daily_states")
+@query("daily_states", over_sides("""WITH dd AS (SELECT DISTINCT strategy, odds_type, event_date FROM sl UNION SELECT DISTINCT strategy, odds_type, event_date FROM s0),
+  dp AS (SELECT strategy, odds_type, event_date, sum(profit) AS p FROM sl GROUP BY 1, 2, 3),
+  db AS (SELECT dd.*, 1000 + sum(coalesce(p, 0)) OVER (PARTITION BY dd.strategy, dd.odds_type ORDER BY dd.event_date) AS b FROM dd LEFT JOIN dp ON dp.strategy = dd.strategy AND dp.odds_type = dd.odds_type AND dp.event_date = dd.event_date),
+  dr AS (SELECT *, coalesce(lag(b) OVER w, 1000) AS prev, greatest(1000, max(b) OVER w) AS peak FROM db WINDOW w AS (PARTITION BY strategy, odds_type ORDER BY event_date))
+  SELECT strategy, odds_type, event_date, round(ln(CASE WHEN b > 0 THEN b END), 5) AS log_bankroll, round(CASE WHEN prev > 0 THEN b / prev - 1 ELSE 0 END + 1e-9, 5) AS day_return, round(CASE WHEN peak > 0 THEN (peak - b) / peak ELSE 0 END + 1e-9, 5) AS drawdown FROM dr""", _STAKED))
 def _(spark, sf):
     log, base = _staked(spark, sf)
-    days = base.select("strategy", "event_date").distinct()
-    return rnd(bets.daily_states(log, days, 1000.0), [])
+    days = base.filter("odds > 1").select(*STAKE_KEYS, "event_date").distinct()
+    out = bets.daily_states(log, days, 1000.0, STAKE_KEYS)
+    # shares of cents end in a 5 often; the nudge keeps their rounding off the edge
+    return out.select(*STAKE_KEYS, "event_date", F.round(F.log(F.when(F.col("bankroll") > 0, F.col("bankroll"))), 5).alias("log_bankroll"), F.round(F.col("day_return") + 1e-9, 5).alias("day_return"), F.round(F.col("drawdown") + 1e-9, 5).alias("drawdown"))

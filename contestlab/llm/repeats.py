@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, null_ids, row_key, texts, written
+from .ragged import spread_ranges
 
 LENGTH, GRAM = 100, 32
 #: Starts that are parsed together in one text.
@@ -102,28 +104,45 @@ def window_hashes(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     return out
 
 
+#: Bits that a phrase's number of starts takes beside its context, and a text's hash beside the start.
+COUNT_BITS, TEXT_BITS = 12, 31
+
+
 def parsed(rows: DataFrame, length: int, gram: int, hot=None, want_hot: bool = False) -> DataFrame:
-    """The dictionary entries of each text, once a text: (key, context, rid, rth, start, count)."""
+    """The dictionary entries of each text, once a text: (key, entry, rid, place).
+
+    ``entry`` holds the context and the number of starts, ``place`` the first start and the text's
+    hash; four numbers a phrase are all that is shuffled of the parse.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = None if hot is None else hot.value
         for b in batches:
             for lo in range(0, len(b), 512):
                 own, parts = b.iloc[lo : lo + 512], []
-                for raw in own["raw"]:
-                    key, context, start, count = phrases(np.frombuffer(raw, np.uint8), length, gram)
-                    if known is not None and len(known):
-                        keep = (known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key) == want_hot
-                        key, context, start, count = key[keep], context[keep], start[keep], count[keep]
-                    elif known is not None and want_hot:
-                        key, context, start, count = (x[:0] for x in (key, context, start, count))
-                    keep = firsts(key, context)
-                    parts.append((key[keep], context[keep], start[keep], count[keep]))
+                for raw, rth in zip(own["raw"], own["rth"]):
+                    key, start, count, entry = local_phrases(np.frombuffer(raw, np.uint8), length, gram)
+                    keep = firsts(key, entry)
+                    if known is not None:
+                        keep &= among(known, key) == want_hot
+                    parts.append((key[keep], entry[keep], start[keep] << TEXT_BITS | int(rth)))
                 n = [len(p[0]) for p in parts]
-                key, context, start, count = (np.concatenate(x) for x in zip(*parts))
-                yield pd.DataFrame({"key": key.view(np.int64), "context": context.view(np.int64), "rid": np.repeat(own["rid"].to_numpy(), n), "rth": np.repeat(own["rth"].to_numpy(), n), "start": start, "count": count.astype(np.int32)})
+                key, entry, place = (np.concatenate(x) for x in zip(*parts))
+                yield pd.DataFrame({"key": key.view(np.int64), "entry": entry.view(np.int64), "rid": np.repeat(own["rid"].to_numpy(), n), "place": place})
+
+    return rows.select("rid", "rth", "raw").mapInPandas(run, "key bigint, entry bigint, rid bigint, place bigint")
+
+
+def local_phrases(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, count, entry) of a text's phrases."""
+    key, context, start, count = phrases(raw, length, gram)
+    return key, start, count, context >> np.uint64(COUNT_BITS) << np.uint64(COUNT_BITS) | count.astype(np.uint64)
+
 
-    return rows.select("rid", "rth", "raw").mapInPandas(run, "key bigint, context bigint, rid bigint, rth int, start bigint, count int")
+def among(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(key), bool)
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
 
 
 def hot_keys(rows: DataFrame, n_rows: int, length: int, gram: int, sample: int = HOT_SAMPLE, count: int = HOT_COUNT) -> np.ndarray:
@@ -139,18 +158,101 @@ def compared(rows: DataFrame, hot, length: int, gram: int) -> DataFrame:
     """(rid, rth, start, count, open) of phrases that occur in an earlier text whole (not open), or
     that share their trigger with other phrases and must be compared string by string (open)."""
     usual = parsed(rows, length, gram, hot)
-    by_key, by_phrase = Window.partitionBy("key"), Window.partitionBy("key", "context")
-    usual = usual.withColumns({"n": F.count(F.lit(1)).over(by_key), "lo": F.min("context").over(by_key), "hi": F.max("context").over(by_key)}).filter("n > 1")
+    by_key, by_phrase = Window.partitionBy("key"), Window.partitionBy("key", "entry")
+    usual = usual.withColumns({"n": F.count(F.lit(1)).over(by_key), "lo": F.min("entry").over(by_key), "hi": F.max("entry").over(by_key)}).filter("n > 1")
     usual = usual.withColumn("first", F.min("rid").over(by_phrase)).withColumn("many", F.col("lo") != F.col("hi"))
     common = parsed(rows, length, gram, hot, want_hot=True)
-    entries = written(common.groupBy("key", "context").agg(F.min("rid").alias("first")), "entries")
+    entries = written(common.groupBy("key", "entry").agg(F.min("rid").alias("first")), "entries")
     many = entries.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("many"))
-    common = common.join(entries.join(many, "key"), ["key", "context"])
-    columns = ["rid", "rth", "start", "count", (F.col("rid") == F.col("first")).alias("open")]
+    common = common.join(entries.join(many, "key"), ["key", "entry"])
+    columns = ["rid", F.col("place").bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).cast("int").alias("rth"), F.shiftright("place", TEXT_BITS).alias("start"), F.col("entry").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("count"), (F.col("rid") == F.col("first")).alias("open")]
     chosen = F.col("many") | (F.col("rid") > F.col("first"))
     return usual.filter(chosen).select(*columns).unionByName(common.filter(chosen).select(*columns))
 
 
+def repeated(key: np.ndarray, content: np.ndarray, rid: np.ndarray, rth: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which strings have an equal one in a smaller id, or earlier in the same text; equal: key and content."""
+    by = np.lexsort((start, rth, rid, content, key))
+    k, c, i, t = key[by], content[by], rid[by], rth[by]
+    same = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1])])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
+    out = np.zeros(len(by), bool)
+    out[by] = (i > i[head]) | (same & np.concatenate([[False], (i[1:] == i[:-1]) & (t[1:] == t[:-1])]))
+    return out
+
+
+def runs(rid: np.ndarray, rth: np.ndarray, start: np.ndarray) -> pd.DataFrame:
+    """Neighbouring starts of a text as (rid, rth, start, count)."""
+    by = np.lexsort((start, rth, rid))
+    rid, rth, start = rid[by], rth[by], start[by]
+    new = np.concatenate([[True], (rid[1:] != rid[:-1]) | (rth[1:] != rth[:-1]) | (start[1:] != start[:-1] + 1)]) if len(by) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    return pd.DataFrame({"rid": rid[at], "rth": rth[at], "start": start[at], "count": np.diff(np.append(at, len(by))).astype(np.int32)})
+
+
+SPAN = "rid bigint, rth int, start bigint, count int"
+
+
+def resolved(packed: DataFrame, open_: DataFrame, hot, length: int, gram: int) -> DataFrame:
+    """(rid, rth, start, count) of strings of open phrases that occur earlier."""
+    per = open_.groupBy("rid", "rth").agg(F.collect_list("start").alias("s"), F.collect_list("count").alias("c"))
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = {"key": np.int64, "hash": np.int64, "rid": np.int64, "rth": np.int32, "start": np.int64, "count": np.int32}
+        for b in batches:
+            usual, hot_parts = [], []
+            for rid, rth, z, s, c in zip(b["rid"], b["rth"], b["z"], b["s"], b["c"]):
+                raw, s, c = unpacked(z), np.asarray(s, np.int64), np.asarray(c, np.int64)
+                by = np.argsort(s)
+                s, c = s[by], c[by]
+                key, start, _, _ = local_phrases(raw, length, gram)
+                k = key[np.searchsorted(start, s)]
+                is_hot = among(hot.value, k)
+                usual += [(x, None, rid, rth, a, n, raw[a : a + n + length - 1].tobytes()) for x, a, n in zip(k[~is_hot].view(np.int64).tolist(), s[~is_hot].tolist(), c[~is_hot].tolist())]
+                if is_hot.any():
+                    s, c, k = s[is_hot], c[is_hot], k[is_hot]
+                    at = spread_ranges(s, c)
+                    hot_parts.append((np.repeat(k, c), window_hashes(raw, at, length), np.full(len(at), rid), np.full(len(at), rth), at))
+            if usual:
+                yield pd.DataFrame(usual, columns=[*columns, "content"]).astype({"key": np.int64, "count": np.int32, "rth": np.int32})
+            if hot_parts:
+                key, h, rid, rth, at = (np.concatenate(x) for x in zip(*hot_parts))
+                gone = repeated(key, h, rid, rth, at)  # already within this batch
+                known = runs(rid[gone], rth[gone], at[gone])
+                yield pd.DataFrame({"key": None, "hash": None, **known, "content": None})[[*columns, "content"]]
+                left = ~gone
+                yield pd.DataFrame({"key": key[left].view(np.int64), "hash": h[left].view(np.int64), "rid": rid[left], "rth": rth[left].astype(np.int32), "start": at[left], "count": np.int32(1), "content": None})
+
+    def strings(rows: pd.DataFrame) -> pd.DataFrame:
+        size = rows["content"].map(len).to_numpy() - length + 1
+        raw = np.frombuffer(b"".join(rows["content"]), np.uint8)
+        first = np.cumsum(size + length - 1) - (size + length - 1)
+        at = spread_ranges(first, size)
+        h = window_hashes(raw, at, length)
+        key, rid, rth = (np.repeat(rows[c].to_numpy(), size) for c in ("key", "rid", "rth"))
+        start = spread_ranges(rows["start"].to_numpy(), size)
+        gone = repeated(key, h, rid, rth, start)
+        return runs(rid[gone], rth[gone], start[gone])
+
+    def by_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the rows of the last key, which may go on in the next batch
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            last = b["key"].to_numpy() == b["key"].iloc[-1]
+            held = b[last]
+            if not last.all():
+                yield strings(b[~last])
+        if held is not None:
+            yield strings(held)
+
+    found = packed.join(per, ["rid", "rth"]).mapInPandas(contents, f"key bigint, hash bigint, {SPAN}, content binary")
+    found = written(found, "strings")
+    usual = found.filter("content is not null").select("key", "rid", "rth", "start", "content").repartition("key").sortWithinPartitions("key")
+    common = found.filter("hash is not null").withColumn("first", F.min("rid").over(Window.partitionBy("key", "hash"))).filter("rid > first")
+    spans = ["rid", "rth", "start", "count"]
+    return usual.mapInPandas(by_key, SPAN).unionByName(common.select(spans)).unionByName(found.filter("key is null").select(spans))
+
+
 def marked(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     depth = np.zeros(n + 1, np.int64)
     np.add.at(depth, starts, 1)
@@ -158,80 +260,58 @@ def marked(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<bigint>"
+RESULT = "rid bigint, rth int, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def result(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> dict:
-    gone = marked(len(raw), starts, stops)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    return {"n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": len(edges) // 2, "kept_sha256": hashlib.sha256(raw[~gone].tobytes()).hexdigest(), "removed": edges.astype(np.int64)}
+def unpacked(z: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
 
 
-def local_repeats(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The phrases' (key, start, count) and whether each is the text's first of its kind."""
-    key, context, start, count = phrases(raw, length, gram)
-    return key, start, count, firsts(key, context)
+def packed_rows(rows: DataFrame) -> DataFrame:
+    """(rid, rth, z): texts compressed before they are shuffled."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pd.DataFrame({"rid": b["rid"], "rth": b["rth"], "z": [c.compress(x) for x in b["raw"]]})
 
-def removed_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``rows`` (rid, rth int, raw) to (rid, rth, raw, n_bytes, n_removed, n_spans, kept_sha256, removed) of every row.
+    return rows.select("rid", "rth", "raw").mapInPandas(run, "rid bigint, rth int, z binary")
 
-    ``removed`` has the start and end of each removed run in turn. ``raw`` is kept for callers that
-    cut the text; Spark drops it from the plan where it isn't asked for.
-    """
-    spark = rows.sparkSession
-    hot = spark.sparkContext.broadcast(hot_keys(rows, rows.count(), length, gram))
-    found = compared(rows, hot, length, gram)
-    per = found.groupBy("rid", "rth").agg(F.collect_list("start").alias("s"), F.collect_list("count").alias("c"), F.collect_list("open").alias("o"))
 
-    def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def kept_text(raw: np.ndarray, gone: np.ndarray) -> str:
+    """The text without the characters all of whose bytes are gone."""
+    lead = np.flatnonzero((raw & 0xC0) != 0x80)  # first bytes of characters
+    if not len(lead):
+        return ""
+    whole = np.logical_and.reduceat(gone, lead)
+    return raw[~np.repeat(whole, np.diff(np.append(lead, len(raw))))].tobytes().decode("utf-8", "replace")
+
+
+def removed_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """``rows`` (rid, rth int, raw) to (rid, rth, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
+    hot = rows.sparkSession.sparkContext.broadcast(hot_keys(rows, rows.count(), length, gram))
+    packed = packed_rows(rows)
+    found = written(compared(rows, hot, length, gram), "phrases")
+    spans = found.filter("not open").drop("open").unionByName(resolved(packed, found.filter("open"), hot, length, gram))
+    per = spans.groupBy("rid", "rth").agg(F.collect_list("start").alias("s"), F.collect_list("count").alias("c"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 256):
+            for lo in range(0, len(b), 512):
                 out = []
-                for r in b.iloc[lo : lo + 256].itertuples():
-                    raw = np.frombuffer(r.raw, np.uint8)
-                    key, start, count, is_first = local_repeats(raw, length, gram)
-                    starts, stops = start[~is_first], (start + count + length - 1)[~is_first]
-                    row = {"rid": r.rid, "rth": r.rth, "raw": r.raw, "keys": None, "hashes": None, "at": None}
+                for r in b.iloc[lo : lo + 512].itertuples():
+                    raw = unpacked(r.z)
+                    key, start, count, entry = local_phrases(raw, length, gram)
+                    again = ~firsts(key, entry)  # in the same text
+                    starts, counts = start[again], count[again]
                     if r.s is not None:
-                        s, c, o = np.asarray(r.s, np.int64), np.asarray(r.c, np.int64), np.asarray(r.o, bool)
-                        starts, stops = np.concatenate([starts, s[~o]]), np.concatenate([stops, (s + c + length - 1)[~o]])
-                        if o.any():
-                            s, c = s[o], c[o]
-                            by = np.argsort(s)
-                            s, c = s[by], c[by]
-                            at = np.repeat(s - (np.cumsum(c) - c), c) + np.arange(c.sum())
-                            k, h = np.repeat(key[np.searchsorted(start, s)], c), window_hashes(raw, at, length)
-                            again = ~firsts(k, h)
-                            starts, stops = np.concatenate([starts, at[again]]), np.concatenate([stops, at[again] + length])
-                            row |= {"keys": k[~again].view(np.int64), "hashes": h[~again].view(np.int64), "at": at[~again]}
-                    if row["at"] is None:
-                        row |= result(raw, starts, stops)
-                    else:  # the runs found so far
-                        row |= result(raw, starts, stops) | {"kept_sha256": None}
-                    out.append(row)
-                yield pd.DataFrame(out)
-
-    joined = rows.join(per, ["rid", "rth"], "left")
-    judged = joined.mapInPandas(first_pass, f"rid bigint, rth int, raw binary, keys array<bigint>, hashes array<bigint>, at array<bigint>, {RESULT}")
-    judged = written(judged, "judged")
-    strings = judged.filter("at is not null").select("rid", "rth", F.explode(F.arrays_zip("keys", "hashes", "at")).alias("w")).select("rid", "rth", "w.keys", "w.hashes", "w.at")
-    earliest = strings.groupBy("keys", "hashes").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).filter("first < last").select("keys", "hashes", "first")
-    repeated = strings.join(earliest, ["keys", "hashes"]).filter("rid > first").groupBy("rid", "rth").agg(F.collect_list("at").alias("more"))
-
-    def second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                raw, edges = np.frombuffer(r.raw, np.uint8), np.asarray(r.removed, np.int64)
-                more = np.zeros(0, np.int64) if r.more is None else np.asarray(r.more, np.int64)
-                out.append({"rid": r.rid, "rth": r.rth, "raw": r.raw} | result(raw, np.concatenate([edges[::2], more]), np.concatenate([edges[1::2], more + length])))
-            yield pd.DataFrame(out)
+                        starts, counts = np.concatenate([starts, np.asarray(r.s, np.int64)]), np.concatenate([counts, np.asarray(r.c, np.int64)])
+                    gone = marked(len(raw), starts, starts + counts + length - 1)
+                    edges = np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) > 0)
+                    out.append((r.rid, r.rth, len(raw), int(gone.sum()), edges, hashlib.sha256(raw[~gone].tobytes()).hexdigest()) + ((kept_text(raw, gone),) if with_text else ()))
+                yield pd.DataFrame(out, columns=["rid", "rth", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
-    columns = ["rid", "rth", "raw", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
-    pending = judged.filter("at is not null").select("rid", "rth", "raw", "removed").join(repeated, ["rid", "rth"], "left")
-    pending = pending.mapInPandas(second_pass, f"rid bigint, rth int, raw binary, {RESULT}")
-    return judged.filter("at is null").select(*columns).unionByName(pending.select(*columns))
+    return packed.join(per, ["rid", "rth"], "left").mapInPandas(run, RESULT + (", kept string" if with_text else ""))
 
 
 def byte_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,21 +344,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
 
     A character goes only if all its bytes do. Null texts stay null.
     """
-    spans = removed_spans(byte_rows(docs, id_col, text_col), length, gram).filter("n_removed > 0").dropDuplicates(["rid", "rth"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kept = []
-            for raw, edges in zip(b["raw"], b["removed"]):
-                raw, edges = np.frombuffer(raw, np.uint8), np.asarray(edges, np.int64)
-                gone = marked(len(raw), edges[::2], edges[1::2])
-                lead = np.flatnonzero((raw & 0xC0) != 0x80)  # first bytes of characters
-                whole = np.logical_and.reduceat(gone, lead)
-                kept.append(raw[~np.repeat(whole, np.diff(np.append(lead, len(raw))))].tobytes().decode("utf-8", "replace"))
-            yield pd.DataFrame({"rid": b["rid"], "rth": b["rth"], "kept": kept})
-
-    cut = spans.select("rid", "rth", "raw", "removed").mapInPandas(run, "rid bigint, rth int, kept string")
+    cut = removed_spans(byte_rows(docs, id_col, text_col), length, gram, with_text=True).select("rid", "rth", "kept").dropDuplicates(["rid", "rth"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("rid"), (F.xxhash64(text).bitwiseAND(F.lit(2147483647))).cast("int").alias("rth")]
-    rows = docs.select(*key, F.struct("*").alias("doc")).join(cut, ["rid", "rth"], "left")
-    return rows.select("doc.*", F.coalesce("kept", F.col(f"doc.{text_col}")).alias("__text")).withColumn(text_col, F.col("__text")).drop("__text")
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*key, F.col(text_col).isNull().alias("no_text"), F.struct(*others).alias("doc")).join(cut, ["rid", "rth"])
+    return rows.select("doc.*", F.when(~F.col("no_text"), F.col("kept")).alias(text_col)).select(*docs.columns)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from string import ascii_letters
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from .common import null_ids, set_ids, texts
 from .packing import vocabulary
-from .ragged import WordIds, spread_ranges
+from .ragged import WordIds, slices, spread_ranges
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -21,7 +23,7 @@ INDEX_CHARS = 1 << 19
 #: Longer words are relaxed one by one, not side by side.
 LONG_WORD = 256
 #: Pairs of pieces whose fit a worker remembers.
-KNOWN_PAIRS = 2_000_000
+KNOWN_PAIRS = 600_000
 
 SCHEMA = "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean, ids array<int>"
 
@@ -42,6 +44,10 @@ class Pieces:
         self.width = max(len(self.text[i]) for i in plain)
         if any(MARK in self.text[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece goes on after the next word's mark")
+        inside = {self.text[i][k : k + 2] for i in plain for k in range(len(self.text[i]) - 1)}
+        apart = [p for p in ".,;:!?" if not any(c + p in inside for c in ascii_letters)]
+        #: between a letter and these marks no piece reaches over
+        self.border = re.compile(f"(?<=[A-Za-z])([{''.join(map(re.escape, apart))}])") if apart else re.compile("(?!)()")
         raw = [b"" if i not in set(plain) else self.text[i].replace(MARK, " ").encode() for i in range(n)]
         for b, i in self.bytes.items():
             raw[i] = bytes([b])
@@ -137,7 +143,9 @@ class Pieces:
             if not len(e):
                 continue
             pairs, which = np.unique(last[start[e]] << 20 | piece[e], return_inverse=True)
-            ok = e[np.array([self.fits(p) for p in pairs.tolist()])[which]]
+            pairs = pairs.tolist()
+            known = [self.follows.get(p) for p in pairs]
+            ok = e[np.array([self.fits(p) if k is None else k for p, k in zip(pairs, known)])[which]]
             last[end[ok]], back[end[ok]] = piece[ok], start[ok]
         for e in np.flatnonzero(long).tolist():  # already by end
             s = start[e]
@@ -161,10 +169,12 @@ class Pieces:
             at, floor = at[on], floor[on]
         ends = np.sort(np.concatenate(ends))
         ids, whose = last[ends], np.searchsorted(first, ends, "left") - 1
-        for k in np.flatnonzero(ids == self.unknown)[::-1].tolist():  # rare: characters that fall back to bytes
-            raw = [self.bytes[b] for b in text[ends[k] - 1].encode("utf-8", "replace")]
-            ids = np.concatenate([ids[:k], raw, ids[k + 1 :]])
-            whose = np.concatenate([whose[:k], [whose[k]] * len(raw), whose[k + 1 :]])
+        lone = np.flatnonzero(ids == self.unknown)  # characters that fall back to bytes
+        raw = [text[e].encode("utf-8", "replace") for e in (ends[lone] - 1).tolist()]
+        each = np.ones(len(ids), np.int64)
+        each[lone] = list(map(len, raw))
+        ids, whose = np.repeat(ids, each), np.repeat(whose, each)
+        ids[spread_ranges((np.cumsum(each) - each)[lone], each[lone])] = [self.bytes[x] for r in raw for x in r]
         return ids.astype(np.uint32), np.bincount(whose, minlength=len(words))
 
     def decode(self, ids: np.ndarray) -> str:
@@ -172,12 +182,15 @@ class Pieces:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def split_words(text: str) -> list[str]:
-    """The marked text's words; no piece reaches over their borders."""
+CUT = "\x01"
+
+
+def split_words(text: str, border: re.Pattern) -> list[str]:
+    """The marked text in runs; no piece reaches over their borders."""
     if not text:
         return []
-    if "  " not in text and MARK not in text and text[-1] != " " and text[0] != " ":
-        return [MARK + w for w in text.split(" ")]
+    if "  " not in text and MARK not in text and CUT not in text and text[-1] != " " and text[0] != " ":
+        return (MARK + border.sub(CUT + r"\1", text).replace(" ", CUT + MARK)).split(CUT)
     out, marks = [], 0
     for w in text.replace(MARK, " ").split(" "):
         marks += 1
@@ -215,12 +228,12 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, cache = loaded(model or vocabulary(MODEL))
         for b in batches:
-            split = [split_words(t) for t in b["text"]]
-            for lo in range(0, len(split), 256):
-                cache.offer({w for words in split[lo : lo + 256] for w in words})
-                found = [cache.ids(words) if words else np.zeros(0, np.uint32) for words in split[lo : lo + 256]]
+            for lo, hi in slices(b["text"]):
+                own = b.iloc[lo:hi]
+                split = [split_words(t, pieces.border) for t in own["text"]]
+                cache.offer(set().union(*split))
+                found = [cache.ids(words) if words else np.zeros(0, np.uint32) for words in split]
                 back = [pieces.decode(x) for x in found]
-                own = b.iloc[lo : lo + 256]
                 yield pd.DataFrame({
                     "doc_id": own["doc_id"], "n_ids": [len(x) for x in found], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in found],
                     "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back], "round_trip": [t == s for t, s in zip(back, own["text"])],

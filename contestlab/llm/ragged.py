@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+
+
+#: Characters of texts that are split into words together.
+SLICE_CHARS = 1 << 22
+
+
+def slices(texts, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``chars`` characters."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 def spread_ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -33,8 +49,6 @@ class WordIds:
 
     def learn(self, words: list[str]) -> None:
         """Add words, each given once and not known yet."""
-        if len(self.known) + len(words) > self.limit and self.known:
-            self.clear()
         ids, lens = self.encode(words)
         n, m = len(self.known), len(ids)
         while n + len(words) > len(self.lens):
@@ -48,21 +62,19 @@ class WordIds:
         self.known.update(zip(words, range(n, n + len(words))))
 
     def ids(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        at = [known.get(w, -1) for w in words]
-        if -1 in at:
-            self.learn(list(dict.fromkeys(w for w, i in zip(words, at) if i < 0)))
-            known = self.known
-            if missing := list(dict.fromkeys(w for w in words if w not in known)):  # the cache has just started anew
-                self.clear()
-                self.learn(list(dict.fromkeys(words)) if missing else [])
-                known = self.known
-            at = [known[w] for w in words]
-        which = np.array(at, np.int64)
-        lens = self.lens[which]
-        return self.flat[spread_ranges(self.starts[which], lens)]
-
-    def offer(self, words: set[str]) -> None:
-        """Learn the new ones of many texts' words together."""
-        if new := [w for w in words if w not in self.known]:
+        try:
+            which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            self.offer(words)
+            which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.flat[spread_ranges(self.starts[which], self.lens[which])]
+
+    def offer(self, words: Iterable[str]) -> None:
+        """Learn the new ones of many texts' words together; afterwards all the given words are known."""
+        words = list(dict.fromkeys(words))
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.limit and self.known:
+            self.clear()
+            new = words
+        if new:
             self.learn(new)

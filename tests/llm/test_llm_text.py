@@ -119,7 +119,7 @@ def test_random_strings_and_small_cache():
     cache = ragged.WordIds(model.encode, limit=40)
     for _ in range(300):
         t = "".join(rng.choice("ab  \n\té😀-=*/x1.,①the") for _ in range(rng.randrange(1, 80)))
-        words = pieces.split_words(t)
+        words = pieces.split_words(t, model.border)
         assert cache.ids(words).tolist() == sp.encode(t)
         assert model.decode(cache.ids(words)) == t
 

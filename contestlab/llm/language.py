@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -109,11 +111,16 @@ class Model:
     lexicon_weight: np.ndarray
     step: np.ndarray  # exp of the transition scores
 
-    def score(self, word: str) -> np.ndarray:
-        found = [i for i in map(self.index.get, parts(word)) if i is not None]
-        out = self.weights[found].sum(0) if found else np.zeros(len(self.labels))
-        if (known := self.lexicon.get(word.strip(EDGES))) is not None:
-            out = out + self.lexicon_weight[known]
+    def scores(self, words: list[str]) -> np.ndarray:
+        """words x labels."""
+        get = self.index.get
+        found = [[i for i in map(get, parts(w)) if i is not None] for w in words]
+        owner, flat = np.repeat(np.arange(len(words)), list(map(len, found))), np.fromiter(chain.from_iterable(found), np.int64)
+        out = np.zeros((len(words), len(self.labels)))
+        for c in range(len(self.labels)):
+            out[:, c] = np.bincount(owner, self.weights[flat, c], minlength=len(words))
+        known = np.array([self.lexicon.get(w.strip(EDGES), -1) for w in words], np.int64)
+        out[known >= 0] += self.lexicon_weight[known[known >= 0]]
         return out
 
 
@@ -189,9 +196,12 @@ def fit(sample: list[tuple[str, str]], labels: list[str], steps: int = STEPS, ra
 def sampled(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: int = SAMPLE_WORDS, limit: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
     """(words, label) of documents (doc_id, text, lang) that hashes of their ids choose, as many of each language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT) & (F.length("text") > 0))
-    counts = known.groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a label
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.join(counts, "lang").filter(draw < per_language / F.col("count"))
+    chosen = known.filter(draw < F.element_at(share, F.col("lang")))
     parts_ = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     chosen = chosen.select("lang", "doc_id", parts_.alias("w")).filter(F.size("w") > 0)
     place = 1 + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.size("w") - words, F.lit(0)) + 1).cast("int")
@@ -208,21 +218,27 @@ class Words:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.pot = np.ones((1 << 16, len(self.model.labels)))
+        self.pot, self.letter = np.ones((1 << 16, len(self.model.labels))), np.zeros(1 << 16)
+
+    def at(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words; they hold until the next call."""
+        try:
+            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            if len(self.known) > self.limit:
+                self.clear()
+            known, new = self.known, sorted(set(words).difference(self.known))
+            lo, hi = len(known), len(known) + len(new)
+            known.update(zip(new, range(lo, hi)))
+            while hi > len(self.pot):
+                self.pot, self.letter = np.concatenate([self.pot, np.ones_like(self.pot)]), np.concatenate([self.letter, np.zeros_like(self.letter)])
+            score = self.model.scores(new)
+            self.pot[lo:hi] = np.exp(np.clip(score - score.max(1, keepdims=True), -30, 0))
+            self.letter[lo:hi] = [LETTER.search(w) is not None for w in new]
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.limit:
-            self.clear()
-        at = [self.known.get(w, -1) for w in words]
-        if -1 in at:
-            for w in dict.fromkeys(w for w, i in zip(words, at) if i < 0):
-                n = self.known[w] = len(self.known)
-                if n >= len(self.pot):
-                    self.pot = np.concatenate([self.pot, np.ones_like(self.pot)])
-                s = self.model.score(w)
-                self.pot[n] = np.exp(np.clip(s - s.max(), -30, 0))
-            at = [self.known[w] for w in words]
-        return self.pot[np.array(at, np.int64)]
+        return self.pot[self.at(words)]
 
 
 _SCORED: dict[str, Words] = {}
@@ -245,7 +261,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     sample = sampled(rows)
     model = fit(sample, sorted({y for _, y in sample}), **options)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
-    token = f"{spark.sparkContext.applicationId}-{shared.id if hasattr(shared, 'id') else id(shared)}-{id(shared)}"
+    token = uuid.uuid4().hex  # names this model's scores among those a worker keeps
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if token not in _SCORED:
@@ -262,8 +278,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 which = [i for i, ok in enumerate(judged) if ok]
                 if which:
                     lens = np.array([len(split[i]) for i in which], np.int64)
-                    post = marginals(potentials([w for i in which for w in split[i]]), lens, potentials.model.step)
-                    lettered = np.array([LETTER.search(w) is not None for i in which for w in split[i]], float)
+                    at = potentials.at([w for i in which for w in split[i]])
+                    post, lettered = marginals(potentials.pot[at], lens, potentials.model.step), potentials.letter[at]
                     first = np.cumsum(lens) - lens
                     mean = np.add.reduceat(post * lettered[:, None], first, axis=0) / np.add.reduceat(lettered, first)[:, None]
                     best, likely = mean.argmax(1), post.argmax(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,9 @@ TABLE_BITS = 16
 #: Shingles that are sampled together.
 CHUNK = 1 << 15
 #: Hubs a bucket compares its members with in a round, and how many members are left for pairs.
-HUBS, LAST = 8, 64
+HUBS, LAST = 32, 256
+#: Least number of equal samples, of all, for a pair to be verified; a pair of similarity 0.8 has fewer once in 10**8 cases.
+AGREE = 28
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 _WORDS: dict[str, int] = {}
@@ -118,7 +121,8 @@ class Sampler:
 
 
 def signed(rows: DataFrame, weight, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(rid, rth, node binary, total double, bands array<bigint>) of every text; ``node`` hashes its words."""
+    """(rid, rth, node, total, digest, bands) of every text: ``node`` hashes its words, ``total`` is the
+    sum of its weights, ``digest`` has 16 bits of each sample."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler(weight.value, bands * band_rows)
@@ -128,12 +132,13 @@ def signed(rows: DataFrame, weight, bands: int = BANDS, band_rows: int = BAND_RO
             some = lens > 0
             shingle, tf = (np.concatenate(x) for x in zip(*parts))
             keys = np.zeros((len(parts), bands), np.int64)
-            total = np.zeros(len(parts))
+            total, digest = np.zeros(len(parts)), np.zeros((len(parts), bands * band_rows), np.uint16)
             if some.any():
                 w = sampler.weights(shingle, tf)
                 first = (np.cumsum(lens) - lens)[some]
                 total[some] = np.add.reduceat(w, first)
                 bits = sampler.signatures(shingle, np.log(w), first).view(np.uint64)
+                digest[some] = ((bits * _PRIMES[0]) >> np.uint64(48)).astype(np.uint16).T
                 for b in range(bands):
                     h = np.full(len(first), b + 1, np.uint64)
                     for j in range(band_rows):
@@ -141,7 +146,7 @@ def signed(rows: DataFrame, weight, bands: int = BANDS, band_rows: int = BAND_RO
                         h ^= h >> np.uint64(31)
                     keys[some, b] = h.view(np.int64)
             rid, rth, node = zip(*own)
-            return pd.DataFrame({"rid": rid, "rth": rth, "node": node, "total": total, "bands": [k if s else k[:0] for k, s in zip(keys, some)]})
+            return pd.DataFrame({"rid": rid, "rth": rth, "node": node, "total": total, "digest": [x.tobytes() for x in digest], "bands": [k if s else k[:0] for k, s in zip(keys, some)]})
 
         for b in batches:
             own, parts, n = [], [], 0
@@ -157,7 +162,7 @@ def signed(rows: DataFrame, weight, bands: int = BANDS, band_rows: int = BAND_RO
             if own:
                 yield group(own, parts)
 
-    return rows.mapInPandas(run, "rid bigint, rth bigint, node binary, total double, bands array<bigint>")
+    return rows.mapInPandas(run, "rid bigint, rth bigint, node binary, total double, digest binary, bands array<bigint>")
 
 
 def weighted_jaccard(sampler: Sampler, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -170,10 +175,19 @@ def weighted_jaccard(sampler: Sampler, a: tuple[np.ndarray, np.ndarray], b: tupl
 
 
 def verified(pairs: DataFrame, node_texts: DataFrame, weight) -> DataFrame:
-    """(a, b, sim) of distinct pairs of nodes by their texts."""
+    """(a, b, sim) of distinct pairs of nodes by their texts, where the samples leave it possible that they are similar."""
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), -1) for c in ("da", "db"))
+            yield batch.loc[(x == y).sum(1) >= AGREE, ["a", "b"]]
+
+    marks = node_texts.select("node", "digest")
+    pairs = pairs.select("a", "b").distinct().join(marks.toDF("b", "db"), "b").join(marks.toDF("a", "da"), "a")
+    pairs = written(pairs.mapInPandas(alike, "a binary, b binary"), "alike")
     left = node_texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = node_texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").distinct().join(right, "b").join(left, "a")
+    both = pairs.join(right, "b").join(left, "a")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler(weight.value, 1)
@@ -195,14 +209,14 @@ def links(buckets: DataFrame, node_texts: DataFrame, weight, similarity: float =
     Members of a bucket are compared with its smallest node, the hub. One minus weighted Jaccard
     is a metric: members near the hub need no comparison with each other, as they are connected,
     and two members can only be similar if their distances to the hub differ by no more than
-    the limit. Pairs that this and the sums of weights leave, of members not yet connected, are
+    the limit (a distance is not known where the samples rule similarity out). Pairs that this and the sums of weights leave, of members not yet connected, are
     compared, in buckets with more than ``last`` such members first with ``hubs`` of them at a time.
     """
     far = 1 - similarity + 1e-9
     least = buckets.groupBy("key").agg(F.min("node").alias("a"))
     star = buckets.join(least, "key").filter("node <> a").select("key", "a", F.col("node").alias("b"), "total")
     known = written(verified(star, node_texts, weight), "hub-pairs")
-    members = written(star.join(known, ["a", "b"]).select("key", "a", F.col("b").alias("node"), "total", (1 - F.col("sim")).alias("d")), "members")
+    members = written(star.join(known, ["a", "b"], "left").select("key", "a", F.col("b").alias("node"), "total", (1 - F.col("sim")).alias("d")), "members")
     while True:
         good = known.filter(F.col("sim") >= similarity).select("a", "b")
         roots = written(components(good), "roots")
@@ -217,7 +231,7 @@ def links(buckets: DataFrame, node_texts: DataFrame, weight, similarity: float =
         few, many = (left.join(counts.filter(c).select("key"), "key") for c in (F.col("n") <= last, F.col("n") > last))
         some = many.groupBy("key", F.pmod(F.xxhash64("x.u"), F.lit(hubs)).alias("part")).agg(F.min("x").alias("x")).select("key", "x")
         asked = written(few.unionByName(some).select("key", "x.*"), "asked").select("key", "u", F.col("d").alias("du"), F.col("total").alias("wu"), F.col("root").alias("ru"))
-        pairs = asked.join(placed, "key").filter((F.col("ru") != F.col("root")) & (F.abs(F.col("du") - F.col("d")) <= far) & (F.least("wu", "total") >= (similarity - 1e-9) * F.greatest("wu", "total")))
+        pairs = asked.join(placed, "key").filter((F.col("ru") != F.col("root")) & F.coalesce(F.abs(F.col("du") - F.col("d")) <= far, F.lit(True)) & (F.least("wu", "total") >= (similarity - 1e-9) * F.greatest("wu", "total")))
         pairs = pairs.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         known = written(known.unionByName(verified(pairs, node_texts, weight)), "known")
         if most <= last:
@@ -232,12 +246,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     rows = texts(docs, id_col, text_col).select(*row_key(), "text")
     weight = spark.sparkContext.broadcast(idf(document_frequencies(rows), rows.count()))  # 2**SKETCH_BITS numbers
     sig = written(signed(rows, weight, bands, band_rows), "signatures")
-    reps = written(sig.groupBy("node").agg(F.min(F.struct("rid", "rth", "total", "bands")).alias("x")).select("node", "x.*"), "texts")
-    each = reps.select("node", "total", F.explode("bands").alias("key"))
+    reps = written(sig.groupBy("node").agg(F.min(F.struct("rid", "rth", "total", "digest", "bands")).alias("x")).select("node", "x.*"), "texts")
+    # texts of similar weight only: a class of weights and the next one up hold all partners of a text
+    step = F.floor(F.log("total") / math.log(1 / (similarity - 1e-6))).cast("bigint")
+    each = reps.select("node", "total", F.explode("bands").alias("band")).withColumn("step", F.explode(F.array(step, step + 1)))
+    each = each.select("node", "total", F.xxhash64("band", "step").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     buckets = written(each.join(shared, "key").select("key", "node", "total"), "buckets")
-    wanted = buckets.select("node").distinct().join(reps.select("node", "rid", "rth"), "node")
-    node_texts = written(rows.join(wanted, ["rid", "rth"]).dropDuplicates(["node"]).select("node", "text"), "node-texts")
+    wanted = buckets.select("node").distinct().join(reps.select("node", "rid", "rth", "digest"), "node")
+    node_texts = written(rows.join(wanted, ["rid", "rth"]).dropDuplicates(["node"]).select("node", "text", "digest"), "node-texts")
     roots = written(components(links(buckets, node_texts, weight, similarity)), "roots")
     placed = written(sig.select("rid", "rth", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     first = placed.groupBy("root").agg(F.min(F.struct("rid", "rth")).alias("x"), F.count(F.lit(1)).alias("class_size"))

@@ -26,12 +26,16 @@ WIDE = {
     "number": r"[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+",
 }
 CUE = r"(?i)(?:phone|tel|call|mobile|fax|card|visa|credit|iban|account|mail|contact|write|address|host|server|login|\bip\b)"
+#: Contexts and forms that no personal data has: names and signs right before a number, calendar dates, four short groups between dots.
+OTHER = r"(?i)(?:\b(?:ref|reference|order|ticket|invoice|isbn|issn|sku|serial|version|build|commit|hash)\b[\W_]{0,3}|[$€£¥#=/&_%])$"
+DATE = r"^(?:(?:19|20)[0-9]{2}([-./ ])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])([-./ ])(?:0?[1-9]|[12][0-9]|3[01])\2(?:19|20)[0-9]{2})(?:[^0-9]|$)"
+QUAD = r"^[0-9]+(?:\.[0-9]{1,3}){3}$"
 LEFT, RIGHT = 24, 4
-#: Candidates the trees are fitted to at most, about; the other candidates' share of personal data above the threshold.
+#: Candidates the trees are fitted to at most, about, before their forms; least share of personal data among as many labelled candidates of either kind above the threshold.
 FIT_ROWS, PRECISION, LEAST_ROWS = 20_000, 0.95, 200
 TREES, DEPTH, STEPS, SEED = 12, 3, 50, 5
 
-FEATURES = ["digits", "chars", "dots", "dashes", "blanks", "parens", "at", "letters", "kinds_of_digits", "first_zero", "first_group", "after_letter", "after_mark", "after_blank", "before_letter", "before_mark", "before_blank", "cue", "spelled", "check_digit"]
+FEATURES = ["digits", "groups", "first_group", "last_group", "longest_group", "kinds_of_digits", "first_zero", "check_digit", "address", "named", "domain", "top", "cue"]
 
 
 def found(text: Column, pattern: str, gate: Column) -> Column:
@@ -82,20 +86,74 @@ def candidates(docs: DataFrame) -> DataFrame:
     return each.select("rid", "rth", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "left", "right", F.coalesce(valid(), F.lit(False)).alias("base"))
 
 
+def plain(value: str = "value") -> Column:
+    """A value with its spelling marks as the signs they stand for."""
+    v = F.regexp_replace(value, r"\x20?(?:@|[(\[]at[)\]])\x20?", "@")
+    return F.when(F.contains(v, F.lit("@")), F.regexp_replace(v, r"\x20?(?:\.|[(\[]dot[)\]])\x20?", ".")).otherwise(v)
+
+
 def described(spans: DataFrame) -> DataFrame:
-    """Format and context features."""
-    v, count = F.col("value"), lambda p: F.regexp_count(F.col("value"), F.lit(p)).cast("double")
+    """Format and context features, the same for a form of the base patterns and its other spellings:
+    marks, separators, a plus sign, lengths of names and the characters around a value are left out."""
     flag = lambda c: c.cast("int").cast("double")
-    last, first = F.right(F.col("left"), F.lit(1)), F.left(F.col("right"), F.lit(1))
+    v, groups = plain(), F.filter(F.split("value", "[^0-9]+"), lambda g: g != "")
+    length = F.transform(groups, F.length)
+    address = F.contains(v, F.lit("@"))
+    size = lambda c: F.when(address, 0).otherwise(F.coalesce(c, F.lit(0))).cast("double")
     return spans.withColumns({
-        "digits": count("[0-9]"), "chars": F.length(v).cast("double"), "dots": count(r"\."), "dashes": count("-"), "blanks": count(" "), "parens": count(r"[()\[\]]"), "at": count("@"), "letters": count("[A-Za-z]"),
-        "kinds_of_digits": F.size(F.array_distinct(F.split(digits_of(), ""))).cast("double"), "first_zero": flag(F.startswith(digits_of(), F.lit("0"))), "first_group": F.length(F.regexp_extract("value", "^[0-9]*", 0)).cast("double"),
-        "after_letter": flag(F.regexp_like(last, F.lit(r"[\p{L}0-9_]"))), "after_mark": flag(F.regexp_like(last, F.lit(r"[=\"':/+#.]"))), "after_blank": flag((last == "") | F.regexp_like(last, F.lit(r"[\s(]"))),
-        "before_letter": flag(F.regexp_like(first, F.lit(r"[\p{L}0-9_]"))), "before_mark": flag(F.regexp_like(first, F.lit(r"[=\"'/%#]"))), "before_blank": flag((first == "") | F.regexp_like(first, F.lit(r"[\s.,;:!?)]"))),
-        "cue": flag(F.regexp_like("left", F.lit(CUE))), "check_digit": flag(F.when(F.length(digits_of()).between(12, 19), luhn(digits_of())).otherwise(False)), "spelled": flag(F.regexp_like(v, F.lit(r"(?i)[(\[](?:at|dot)[)\]]"))),
+        "digits": size(F.length(digits_of())), "groups": size(F.size(groups)), "first_group": size(F.get(length, F.lit(0))), "last_group": size(F.get(length, F.size(length) - 1)), "longest_group": size(F.array_max(length)),
+        "kinds_of_digits": size(F.size(F.array_distinct(F.split(digits_of(), "")))), "first_zero": size(F.startswith(digits_of(), F.lit("0")).cast("int")), "check_digit": size(card_like().cast("int")),
+        "address": flag(address), "named": flag(F.regexp_like(v, F.lit("[A-Za-z][^@]*@"))), "domain": flag(F.regexp_like(v, F.lit(r"@[^.]+\."))), "top": flag(F.regexp_like(v, F.lit(r"\.[A-Za-z]{2,}$"))), "cue": flag(F.regexp_like("left", F.lit(CUE))),
     })
 
 
+def card_like() -> Column:
+    """The digits are those of a card; longer runs are not looked at."""
+    digits = digits_of()
+    return F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)
+
+
+def unrelated() -> Column:
+    """Clearly no personal data: part of a longer name, of a kind named before it, a date, a number
+    too long for a phone that is no card, a quadruple that is no address, an address without a domain."""
+    left, right = F.col("left"), F.col("right")
+    address = F.col("kind").isin("email", "address")
+    inside = (F.regexp_like(left, F.lit(r"[\p{L}0-9_]$")) & ~F.regexp_like(left, F.lit(CUE + "$"))) | F.regexp_like(right, F.lit(r"^(?!(?i:x|ext)\.?[0-9])[\p{L}0-9_]"))
+    named = F.regexp_like(left, F.lit(OTHER)) & ~F.regexp_like(left, F.lit(CUE))
+    long = (F.length(digits_of()) > 15) & ~card_like()
+    number = inside | named | long | F.startswith(right, F.lit("%")) | F.regexp_like("value", F.lit(DATE)) | F.regexp_like("value", F.lit(QUAD)) | (F.col("kind") == "ip")
+    return F.when(address, ~F.regexp_like(plain(), F.lit(r"@[^.]+\."))).otherwise(number)
+
+
+def labelled(spans: DataFrame) -> DataFrame:
+    """Add ``label``: 1 on base spans, 0 where a candidate is clearly no personal data, null where
+    nothing is known, which is no evidence against it. No generator looks for other forms of IP
+    addresses, so they are no example."""
+    ip = (F.col("kind") == "ip") | F.regexp_like("value", F.lit(QUAD))
+    return spans.withColumn("label", F.when(F.col("covered"), F.when(~ip, 1.0)).when(unrelated(), 0.0))
+
+
+def forms(rows: DataFrame) -> DataFrame:
+    """Labelled candidates with further forms of those on base spans: without the country's digits, after
+    a cue in one run, cards in groups of four (all 1); in one run with a wrong last digit and
+    without a cue, or an address without its domain (all 0)."""
+    form = lambda value, left=F.col("left"), label=1.0: F.struct(value.alias("value"), left.alias("left"), F.lit(label).alias("label"))
+    number = ~F.col("kind").isin("email", "address")
+    short = F.regexp_replace("value", r"^\+?[0-9]{1,3}[^0-9]+(?=[0-9])", "")
+    run = digits_of()
+    wrong = F.concat(F.expr("left(regexp_replace(value, '[^0-9]', ''), length(regexp_replace(value, '[^0-9]', '')) - 1)"), F.translate(F.right(run, F.lit(1)), "0123456789", "1234567890"))
+    one, card, none = F.col("label") == 1, card_like(), F.lit("")
+    more = F.array(
+        F.struct("value", "left", "label"),
+        F.when(one & number & ~card & (F.length(F.regexp_replace(short, "[^0-9]", "")) >= 7), form(short)),
+        F.when(one & number & ~card & F.regexp_like("left", F.lit(CUE)), form(F.regexp_replace(short, "[^0-9]", ""))),
+        F.when(one & card, form(F.regexp_replace(run, "([0-9]{4})(?=[0-9])", "$1-"))),
+        F.when(one & number, form(wrong, none, 0.0)),
+        F.when(one & ~number, form(F.regexp_replace(plain(), r"(@[^.]*)\..*$", "$1"), none, 0.0)),
+    )
+    return rows.select("rid", "rth", "kind", F.explode(F.array_compact(more)).alias("f")).select("rid", "rth", "kind", "f.*")
+
+
 def overlapping(spans: DataFrame) -> DataFrame:
     """Add ``covered``: the span shares a character with a base span of its row."""
     base_end, base_start = F.when(F.col("base"), F.col("end")), F.when(F.col("base"), F.col("start"))
@@ -106,38 +164,42 @@ def overlapping(spans: DataFrame) -> DataFrame:
 
 
 def fitted(spans: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION) -> tuple[GBTClassificationModel, float] | None:
-    """Trees for "covered by a base span" and the least score at which candidates of another half
-    were so in ``precision`` of the cases; None where there is too little to learn from."""
+    """Trees for "personal data" from labelled candidates and their forms, and the least score above
+    which ``precision`` of those of another half are so, both labels weighing the same; None
+    where there is too little to learn from. Candidates without a label count for nothing."""
     half = F.pmod(F.xxhash64("rid", "rth", F.lit("half")), F.lit(2))
-    sizes = {(r["half"], r["covered"]): r["count"] for r in spans.groupBy(half.alias("half"), "covered").count().collect()}
-    if min((sizes.get((h, c), 0) for h in (0, 1) for c in (True, False)), default=0) < LEAST_ROWS // 10 or sum(sizes.values()) < LEAST_ROWS:
+    sizes = {(r["half"], r["label"]): r["count"] for r in spans.groupBy(half.alias("half"), "label").count().collect()}
+    if min(sizes.get((h, 1.0), 0) for h in (0, 1)) < LEAST_ROWS // 10 or sum(sizes.values()) < LEAST_ROWS:
         return None
-    share = min(1.0, fit_rows / (sizes[0, True] + sizes[0, False]))
+    share = min(1.0, fit_rows / (sizes[0, 1.0] + sizes.get((0, 0.0), 0)))
     draw = F.pmod(F.xxhash64("rid", "rth", "start", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(spans.withColumn("label", F.col("covered").cast("int").cast("double")))
+    ready = lambda rows: VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(forms(rows)))
+    known = spans.filter("label IS NOT NULL")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=SEED, checkpointInterval=-1)
-    model = trees.fit(written(rows.filter((half == 0) & (draw < share)).select("features", "label"), "fit"))
-    scored = model.transform(rows.filter(half == 1)).select(F.floor(vector_to_array("probability")[1] * STEPS).cast("int").alias("bin"), "label")
-    bins = scored.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).orderBy(F.desc("bin")).collect()  # STEPS + 1 rows at most
-    least = None
-    for b in bins:  # from the top, as long as each step keeps the precision
-        if b["hits"] < precision * b["n"]:
-            break
+    model = trees.fit(written(ready(known.filter((half == 0) & (draw < share))).select("features", "label"), "fit"))
+    scored = model.transform(ready(known.filter(half == 1))).select(F.floor(vector_to_array("probability")[1] * STEPS).cast("int").alias("bin"), "label")
+    bins = scored.groupBy("bin").agg(F.sum("label").alias("hits"), F.sum(1 - F.col("label")).alias("misses")).orderBy(F.desc("bin")).collect()  # STEPS + 1 rows at most
+    hits, misses = sum(b["hits"] for b in bins), max(sum(b["misses"] for b in bins), 1)
+    least, h, m = None, 0.0, 0.0
+    for b in bins:  # from the top: just above the first score that costs the precision, and never below one half
+        h, m = h + b["hits"] / hits, m + b["misses"] / misses
+        if h < precision * (h + m):
+            return (model, max(0.5, (b["bin"] + 1) / STEPS)) if least is not None else None
         least = b["bin"] / STEPS
-    return (model, least) if least is not None else None
+    return model, max(0.5, least)
 
 
 def spans_of(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """``docs`` (doc_id, text) to (rid, rth, doc_id) of every row, and (rid, rth, kind, start, end, base) of every chosen span."""
     keyed = docs.select(*row_key(), "doc_id", "text")
     names = keyed.select("rid", "rth", "doc_id")
-    spans = written(overlapping(described(candidates(keyed))), "spans")
+    spans = written(labelled(overlapping(candidates(keyed))), "spans")
     chosen = spans.filter("base")
     if learned := fitted(spans, **options):
         model, least = learned
-        rest = spans.filter(~F.col("base") & ~F.col("covered"))
+        rest = described(spans.filter("NOT base AND NOT covered AND label IS NULL"))
         rest = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rest)).filter(vector_to_array("probability")[1] >= least)
-        kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).when(F.col("kind") == "address", "email").when(F.col("digits") >= 13, "card").otherwise("phone")
+        kind = F.when(F.col("kind").isin("email", "address"), "email").when(F.col("check_digit") == 1, "card").otherwise("phone")
         rest = rest.withColumn("kind", kind).dropDuplicates(["rid", "rth", "kind", "start", "end"])
         chosen = chosen.unionByName(rest.select(chosen.columns))
     return names, chosen.select("rid", "rth", "kind", "start", "end", "base")
@@ -151,10 +213,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added).
 
     The base spans are those of the fixed patterns and checks; generators with a higher recall
-    propose further, overlapping ones. Boosted trees on format and context learn which candidates
-    lie on base spans, on a bounded sample of one half of the documents; the other half sets the
-    threshold at which candidates look like personal data with the wanted precision. Candidates
-    outside base spans that reach it are added. Offsets count code points, the end is exclusive.
+    propose further, overlapping ones. Boosted trees on format and context learn to tell candidates
+    on base spans, and their spellings without the base marks, from those that are clearly no
+    personal data, on a bounded sample of one half of the documents; the other half sets the
+    threshold with the wanted precision. All other candidates outside base spans, however many,
+    have no label; those that reach the threshold are added. Offsets count code points, the end is
+    exclusive.
 
     A null or empty text has no spans; rows with equal id and text have the same; where candidates
     are too few to learn from, only base spans are returned; an empty table gives no rows; other

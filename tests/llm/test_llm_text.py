@@ -220,6 +220,35 @@ def test_trees_add_spans_like_base_ones(spark):
     assert by[5001]["n_added"] >= 0
 
 
+@pytest.mark.parametrize("decoys", [True, False])
+def test_trees_add_forms_that_only_the_generators_find(spark, decoys):
+    rng = random.Random(9)
+    rows, planted = [], {}
+    for i in range(1200):
+        d = "".join(rng.choice("0123456789") for _ in range(10))
+        if i % 6 > 3:  # frequent, so that a spelling cannot be told from a rare error
+            kind, value = ("email", f"joe{i} (at) mail{i % 9} (dot) com") if i % 6 == 4 else ("phone", f"{d[:3]}) {d[3:6]}-{d[6:]}")
+            planted[i] = (kind, value)
+            text = f"write to {value} today" if kind == "email" else f"reach us ({value} soon"
+        else:
+            text = [f"reach us +1 ({d[:3]}) {d[3:6]}-{d[6:]} now", f"to ab{i}@mail.example.com now", f"ref {d[:8]}xyz" if decoys else "none", f"on 2024-0{1 + i % 9}-1{i % 10} at noon" if decoys else "none"][i % 6]
+        rows.append((i, prose(rng, 8) + " " + text + " " + prose(rng, 8)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = collected(private.personal_data(df))
+    check_personal(out, rows)
+    texts = dict(rows)
+    for r in out:
+        i = r["doc_id"]
+        if i in planted:
+            kind, value = planted[i]
+            a = texts[i].index(value)
+            assert (r["spans"], r["n_added"]) == (f"{kind}:{a}:{a + len(value)}", 1)
+        else:
+            assert r["n_added"] == 0
+    if decoys:
+        assert {r["doc_id"] for r in private.redacted(df).collect() if planted.get(r["doc_id"], ("", "\0"))[1] in r["text"]} == set()
+
+
 def test_redaction(spark):
     df = odd_docs(spark)
     out = private.redacted(df)

@@ -6,7 +6,7 @@ from ..operators import history as hst
 from ..operators import percentiles as pct
 from ..operators import priors, quality, rates, select, sides, smooth
 from ..operators import windows as win
-from ..sample import PAIRS, contest_headers, contest_sides, entities
+from ..sample import contest_headers, contest_sides, entities
 from ..session import constants, cut, small_join
 from .history import DATE, ID, KEY, RATE, TIE, rounded
 from .registry import ENTITIES, over_sides, query
@@ -83,7 +83,7 @@ def _(spark, sf):
     from ..sample import table
 
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("contest_id"))
-    h = contest_headers(spark, sf).select(F.expr(f"contest_id div {PAIRS}").alias("contest_id"))
+    h = contest_headers(spark, sf, "order_id").select(F.col("order_id").alias("contest_id"))
     return select.exists_semi(o, h, ["contest_id"])
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import bets, ticks
-from ..sample import PAIRS, contest_headers, contest_sides, table
+from ..sample import contest_headers, contest_sides, table
 from ..session import cut
 from .fitted import rnd
 from .registry import over_sides, query
@@ -25,7 +25,7 @@ def _named(spark, sf):
     """Contests with both names; names combine nation and key."""
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     names = s.select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", F.initcap("n_name"), F.col("s_suppkey").cast("string")).alias("name"))
-    h = contest_headers(spark, sf).select("contest_id", "event_id", "event_date", "entity1_id", "entity2_id")
+    h = contest_headers(spark, sf, "order_id").select("order_id", "contest_id", "event_id", "event_date", "entity1_id", "entity2_id")
     for i in (1, 2):
         h = h.join(names.select(F.col("id").alias(f"entity{i}_id"), F.col("name").alias(f"name{i}")), f"entity{i}_id")
     return h
@@ -34,11 +34,11 @@ def _named(spark, sf):
 def _ticks(spark, sf, h):
     """Prices per side and contest, up to twelve days before the event; some contests are priced from one side only."""
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_suppkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-    j = h.withColumn("order_id", F.expr(f"contest_id div {PAIRS}")).join(li, "order_id").filter("(l_suppkey = entity1_id AND l_returnflag <> 'R') OR (l_suppkey = entity2_id AND l_returnflag <> 'N')")
-    one = F.col("l_suppkey") == F.col("entity1_id")
+    side = lambda i, j, flag: F.struct(F.col(f"entity{i}_id").alias("l_suppkey"), F.col(f"name{i}").alias("fighter"), F.col(f"name{j}").alias("opponent"), F.lit(flag).alias("unpriced"))
+    sides = h.select("order_id", "event_date", F.explode(F.array(side(1, 2, "R"), side(2, 1, "N"))).alias("s")).select("order_id", "event_date", "s.*")
+    j = sides.join(li, ["order_id", "l_suppkey"]).filter("l_returnflag <> unpriced")
     at = F.to_timestamp(F.col("event_date")) + F.make_dt_interval(days=F.lit(2), hours=-(F.col("l_linenumber") * 47), mins=-(F.col("l_partkey") % 60).cast("int"))
-    return j.select(F.when(one, F.col("name1")).otherwise(F.col("name2")).alias("fighter"), F.when(one, F.col("name2")).otherwise(F.col("name1")).alias("opponent"),
-                    at.cast("timestamp_ntz").alias("ts"), (1.05 + F.col("l_quantity") / 16).alias("odds"))
+    return j.select("fighter", "opponent", at.cast("timestamp_ntz").alias("ts"), (1.05 + F.col("l_quantity") / 16).alias("odds"))
 
 
 _NAMED = """nm AS (SELECT s_suppkey AS id, concat(upper(n_name[1]), lower(n_name[2:]), ' ', s_suppkey) AS name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),

@@ -8,12 +8,12 @@ shuffles of the line items: the side aggregate and the pairing by order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROUNDS = (1, 2, 3)
-#: contest id = order key * PAIRS + number of the pair; an order has fewer pairs than this.
-PAIRS = 1009
+#: contest id = order key * PAIRS + number of the pair; further pairs of an order have ids of their own above all these.
+PAIRS, FURTHER, BITS = 1009, 1 << 62, 24
 STATS = ["att", "land", "ctrl", "kd", "sub_att", "secs"]
 ROUND_STATS = [f"{s}_rd{r}" for s in ("att", "land", "secs") for r in ROUNDS]
 
@@ -57,8 +57,17 @@ def _side_totals(spark: SparkSession, sf_dir: str, stats: list[str]) -> DataFram
     )
 
 
+def contest_ids() -> Column:
+    """A different id for every (order_id, __pair); what has no room in a bigint is an error, never another pair's id."""
+    order, pair = F.col("order_id"), F.col("__pair") - PAIRS
+    further = F.lit(FURTHER) + F.shiftleft(order.cast("bigint"), BITS) + pair
+    fits = order.between(0, (1 << (62 - BITS)) - 1) & (pair < 1 << BITS)
+    ids = F.when(F.col("__pair") < PAIRS, order * PAIRS + F.col("__pair")).when(fits, further)
+    return ids.otherwise(F.raise_error(F.lit("contest id does not fit: order key or number of pairs"))).cast("bigint")
+
+
 def contest_pairs(spark: SparkSession, sf_dir: str, stats: list[str] = ALL_STATS) -> DataFrame:
-    """One row per contest: header columns and the structs ``a`` (side 1) and ``b`` (side 2)."""
+    """One row per contest: its order, header columns and the structs ``a`` (side 1) and ``b`` (side 2)."""
     sides = _side_totals(spark, sf_dir, stats)
     nth = F.row_number().over(Window.partitionBy("order_id").orderBy("entity_id")) - 1
     body = [c for c in sides.columns if c != "order_id"]
@@ -67,7 +76,7 @@ def contest_pairs(spark: SparkSession, sf_dir: str, stats: list[str] = ALL_STATS
     pick = [F.max(F.when(F.col("__side") == i, F.col(c))).alias(f"__{i}_{c}") for i in (0, 1) for c in body]
     pairs = sides.groupBy("order_id", "__pair").agg(F.count(F.lit(1)).alias("__sides"), *pick).filter("__sides = 2")
     a, b = (F.struct(*[F.col(f"__{i}_{c}").alias(c) for c in body]) for i in (0, 1))
-    pairs = pairs.select("order_id", (F.col("order_id") * PAIRS + F.col("__pair")).alias("contest_id"), a.alias("a"), b.alias("b"))
+    pairs = pairs.select("order_id", contest_ids().alias("contest_id"), a.alias("a"), b.alias("b"))
     o = table(spark, sf_dir, "orders")
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))
     head = o.select(
@@ -80,12 +89,13 @@ def contest_pairs(spark: SparkSession, sf_dir: str, stats: list[str] = ALL_STATS
         (F.col("o_custkey") % 270 + 30).cast("int").alias("end_time"),
     )
     res = F.when(F.col("a.cents") > F.col("b.cents"), 1).when(F.col("a.cents") < F.col("b.cents"), 0).otherwise(2)
-    return pairs.join(head, "order_id").drop("order_id").withColumn("result", res)
+    return pairs.join(head, "order_id").withColumn("result", res)
 
 
-def contest_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per contest: ids of both sides, date, group, method, result."""
+def contest_headers(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One row per contest: ids of both sides, date, group, method, result; ``order_id`` if asked for."""
     return contest_pairs(spark, sf_dir, []).select(
+        *more,
         "contest_id", F.col("a.entity_id").alias("entity1_id"), F.col("b.entity_id").alias("entity2_id"),
         "event_id", "event_date", "grp", "method", "end_round", "end_time", "result",
     )

@@ -37,10 +37,10 @@ def row_key() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(NULL_ID)).alias("rid"), F.xxhash64("text").alias("rth")]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write to a new table in the shared folder and read it again; cuts lineage, and columns stay compressed."""
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

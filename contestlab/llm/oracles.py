@@ -78,3 +78,33 @@ WITH t AS MATERIALIZED (
 )
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
+
+
+#: All phrases of up to five words counted one by one; cuts and containments by joins on their texts.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS MATERIALIZED (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang
+), starts AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) r(k) WHERE len(w) >= k
+), f AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= 100
+), c AS MATERIALIZED (
+  SELECT *, string_split(phrase, ' ') AS p FROM f WHERE k > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.a, h.a AS l, t.a AS r, n, h.k AS cut, CAST(1000 * CAST(c.a AS HUGEINT) * n // (CAST(h.a AS HUGEINT) * t.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.p[1:j], ' ')
+  JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.p[j + 1:], ' ') JOIN totals ON totals.lang = c.lang
+), worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, a AS longer, array_to_string(p[i : j], ' ') AS phrase FROM c, range(1, 6) x(i), range(1, 6) y(j) WHERE i < j AND j <= k AND j - i + 1 < k) u
+  JOIN c s ON s.lang = u.lang AND s.phrase = u.phrase AND 100 * longer >= 100 * s.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM worst ANTI JOIN inside USING (lang, phrase)
+)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
+"""

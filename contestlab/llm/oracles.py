@@ -108,3 +108,33 @@ WITH pieces AS (
 )
 SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
 """
+
+#: Every document walks every order: a step removes what fails its filter and none before it.
+FILTER_AUDIT = r"""
+WITH d AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, coalesce(doc_id, -9223372036854775808) AS rid,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN min(rid) OVER (PARTITION BY t) < rid THEN 'E' ELSE '' END AS f
+  FROM d LEFT JOIN l USING (doc_id)
+), cells AS MATERIALIZED (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), steps AS MATERIALIZED (
+  SELECT o AS filter_order, s AS step, o[s] AS letter, o[1 : s - 1] AS before, o[1 : s] AS upto
+  FROM (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e), range(1, 6) r(s)
+  WHERE contains(o, 'A') AND contains(o, 'B') AND contains(o, 'C') AND contains(o, 'D') AND contains(o, 'E')
+), walked AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (translate(f, upto, '') = f), 0) AS kept, coalesce(sum(n) FILTER (contains(f, letter) AND translate(f, before, '') = f), 0) AS removed,
+    coalesce(sum(n) FILTER (contains(f, letter) AND translate(f, before, '') <> f), 0) AS redundant, coalesce(sum(n) FILTER (f = letter), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (contains(f, letter) AND translate(f, before, '') = f), 0) AS good_lost, coalesce(sum(toxic) FILTER (contains(f, letter) AND translate(f, before, '') = f), 0) AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM walked
+"""

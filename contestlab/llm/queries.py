@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, language, minhash, oracles, packing, pieces, private, quality, repeats, rules, search, sharding
+from . import audit, collocations, credentials, language, minhash, oracles, packing, pieces, private, quality, repeats, rules, search, sharding
 from .common import table
 
 
@@ -50,13 +50,21 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.secret_digests(credentials.secrets(table(spark, sf_dir, "documents")))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_duplicates": op1_near_duplicates, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op4_suffix_dedup": op4_suffix_dedup, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_quality_classifier": op7_quality_classifier, "op8_sentencepiece": op8_sentencepiece, "op9_quality_rules": op9_quality_rules, "op10_top_k": op10_top_k, "op13_collocations": op13_collocations}
+    return {"op1_near_duplicates": op1_near_duplicates, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op4_suffix_dedup": op4_suffix_dedup, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_quality_classifier": op7_quality_classifier, "op8_sentencepiece": op8_sentencepiece, "op9_quality_rules": op9_quality_rules, "op10_top_k": op10_top_k, "op11_filter_audit": op11_filter_audit, "op12_secrets": op12_secrets, "op13_collocations": op13_collocations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": oracles.SHARDS, "op9_quality_rules": oracles.quality_rules(), "op10_top_k": oracles.TOP_K, "op13_collocations": oracles.COLLOCATIONS}
+    return {"op5_sharding": oracles.SHARDS, "op9_quality_rules": oracles.quality_rules(), "op10_top_k": oracles.TOP_K, "op11_filter_audit": oracles.FILTER_AUDIT, "op13_collocations": oracles.COLLOCATIONS}

@@ -125,14 +125,38 @@ def _(spark, sf):
     return rnd(metrics.fit_temperature(metrics.temperature_losses(predictions(spark, sf), 0.5, 3.0, 0.25, 0.01)), [], 8)
 
 
-@query("isotonic_fit")
+def _minmax(points: str, keys: str = "") -> str:
+    """CTEs from ``points`` (p, w, s and keys) to ``iso`` (p, v): the largest, over starts, of the smallest mean up to a later end."""
+    by = f"PARTITION BY {keys}" if keys else ""
+    k, same = (f"{keys}, ", f"a.{keys} = b.{keys} AND ") if keys else ("", "TRUE AND ")
+    return f"""pts AS (SELECT {k}p, w, s, row_number() OVER ({by} ORDER BY p) AS i, sum(w) OVER ({by} ORDER BY p) AS cw, sum(s) OVER ({by} ORDER BY p) AS cs FROM ({points})),
+  means AS (SELECT {'a.' + k if keys else ''}a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS v FROM pts a JOIN pts b ON {same}b.i >= a.i),
+  lows AS (SELECT {k}a, b AS i, min(v) OVER (PARTITION BY {k}a ORDER BY b DESC) AS v FROM means),
+  iso AS (SELECT {k}p, v FROM (SELECT {k}i, max(v) AS v FROM lows GROUP BY ALL) JOIN pts USING ({k}i))"""
+
+
+def _line(x: str, keys: str = "") -> str:
+    """Value at ``x`` on the line through the neighbouring points of ``iso``, its end values outside."""
+    own = f"iso.{keys} = q.{keys} AND " if keys else ""
+    lo, hi = (f"(SELECT arg_{f}(struct_pack(p := p, v := v), p) FROM iso WHERE {own}p {op} {x})" for f, op in (("max", "<="), ("min", ">=")))
+    return f"(SELECT CASE WHEN lo IS NULL THEN hi.v WHEN hi IS NULL OR hi.p = lo.p THEN lo.v ELSE lo.v + (hi.v - lo.v) * ({x} - lo.p) / (hi.p - lo.p) END FROM (SELECT {lo} AS lo, {hi} AS hi))"
+
+
+@query("isotonic_fit", over_sides(f"""WITH {PRED}, {_minmax("SELECT p, count(*) AS w, sum(y) AS s FROM pred WHERE event_date < DATE '1998-01-01' GROUP BY 1")},
+  q AS (SELECT DISTINCT p FROM pred WHERE event_date >= DATE '1998-01-01'), f AS (SELECT p AS x, {_line('q.p')} AS v FROM q)
+  SELECT contest_id, round(0.3 * p + 0.7 * v, 6) AS p, y FROM pred JOIN f ON x = p WHERE event_date >= DATE '1998-01-01'"""))
 def _(spark, sf):
     d = cut(predictions(spark, sf))
-    model, _why = metrics.fit_isotonic(d.filter("event_date < DATE '1998-01-01'").select("p", "y"), 100, 20, 10)
-    return rnd(metrics.apply_isotonic(d.filter("event_date >= DATE '1998-01-01'").select("contest_id", "p", "y"), model, 0.7), [])
+    blocks, _why = metrics.fit_isotonic(d.filter("event_date < DATE '1998-01-01'").select("p", "y"), 100, 20, 10)
+    return rnd(metrics.apply_isotonic(d.filter("event_date >= DATE '1998-01-01'").select("contest_id", "p", "y"), blocks, 0.7), [])
+
+
+_FOLD = "CAST(CAST('0x' || substr(md5('42:' || contest_id), 1, 8) AS BIGINT) % 5 AS INTEGER)"
 
 
-@query("isotonic_ensemble")
+@query("isotonic_ensemble", over_sides(f"""WITH {PRED}, {_minmax(f"SELECT fold, p, count(*) AS w, sum(y) AS s FROM pred JOIN range(5) r(fold) ON fold <> {_FOLD} GROUP BY 1, 2", "fold")},
+  q AS (SELECT DISTINCT fold, p FROM pred, range(5) r(fold)), f AS (SELECT p AS x, avg(greatest(least({_line('q.p', 'fold')}, 0.99), 0.01)) AS v FROM q GROUP BY 1)
+  SELECT contest_id, round(p, 6) AS p, y, round(v, 6) AS calibrated FROM pred JOIN f ON x = p"""))
 def _(spark, sf):
     d = predictions(spark, sf).select("contest_id", "p", "y")
     return rnd(metrics.isotonic_ensemble(d, "contest_id", 5, 42), [])

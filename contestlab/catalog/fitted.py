@@ -148,6 +148,20 @@ def _(spark, sf):
     return rounded(running_mads(spark, sf), ["att_mad"])
 
 
+_LONG = "ORDER BY o_orderdate, o_orderkey"
+
+
+@query("running_mad_long", f"""WITH x AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_custkey % 3 = 0 THEN round(o_totalprice) ELSE 0 END AS price FROM orders)
+  SELECT o_orderkey, round(quantile_cont(price, 0.5) OVER w, 6) AS price_median, round(mad(price) OVER w, 6) AS price_mad FROM x WINDOW w AS ({_LONG} ROWS UNBOUNDED PRECEDING)""")
+def _(spark, sf):
+    # all orders are one history, two thirds of it zeros, cut into blocks of 4,096 rows
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    price = F.when(F.col("o_custkey") % 3 == 0, F.round("o_totalprice")).otherwise(0.0)
+    x = o.select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.lit("all").alias("history"), price.alias("price"))
+    out = hst.running_order_stats(x, ["price"], ["history"], "day", ["o_orderkey"], block=4096)
+    return rnd(out.select("o_orderkey", "price_median", "price_mad"), [])
+
+
 @query("min_mad_floor", over_sides(f"""WITH {_RUNMAD} SELECT grp, round(quantile_cont(CASE WHEN att_mad > 0 THEN att_mad END, 0.005), 6) AS att_min_mad
   FROM mads WHERE {IN_FIT} GROUP BY 1"""))
 def _(spark, sf):

@@ -1,221 +1,250 @@
-"""Running median and median absolute deviation over a growing history, exact.
-
-Spark has no running order statistic that avoids copying the history for every
-row, so the per-history step is a small numpy/bisect helper fed by Arrow.
-
-* A history of at most ``max_history`` rows is one group.
-* A longer one is cut into consecutive chunks of that size, each its own task.
-  For a chunk, earlier rows matter only near the three places a median or a MAD
-  can move to while the chunk is read: the centre and the two edges. Value bins
-  (approximate quantiles) with exact cumulative counts tell which bins can
-  matter; their values travel exactly, the rest as counts. The result is the
-  same as from one long pass, and no task sees more than a few chunks of values.
+"""Running median, median absolute deviation and clipped location over a growing history, exact, on one path.
+
+Rows are shuffled once by (history, block) and stand there in time order; ``ordertree`` answers for
+all rows of a batch of histories at once, in a number of steps that grows with the logarithm of a
+history. Nearly every history is one block.
+
+A history of more than BLOCK rows is cut into consecutive blocks, each its own group. For a block,
+earlier rows matter only near the places its results can come from: the centre and the two edges of
+a median and a deviation, or the two clip limits. Value bins with exact cumulative counts tell which
+bins can matter; their values travel as cells (value, count, weight), one cell however often a value
+occurs, and each other bin as one cell. The results are those of one long pass, and no task sees more than
+a few blocks of cells.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from math import inf
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, spread
-from .windows import DAYS_PER_YEAR, running
-
-MAX_HISTORY = 100_000
-MAX_BINS = 4096
-MOMENTS = ("n", "s", "sx", "sxx")
-
-
-def _nearest(seq: list[float], mid: float, k: int) -> tuple[float, float]:
-    """k-th and next smallest (from 0) of |x - mid| for a sorted list."""
-    p = bisect_left(seq, mid)
-    left, right = p, len(seq) - p
-    lo, hi = max(0, k + 1 - right), min(k + 1, left)
-    while lo < hi:  # how many of the k+1 nearest lie left of mid
-        i = (lo + hi) // 2
-        if mid - seq[p - 1 - i] < seq[p + k - i] - mid:
-            lo = i + 1
-        else:
-            hi = i
-    took = k + 1 - lo
-    last = max(mid - seq[p - lo] if lo else -1.0, seq[p + took - 1] - mid if took else -1.0)
-    return last, min(mid - seq[p - 1 - lo] if lo < left else inf, seq[p + took] - mid if took < right else inf)
-
-
-class _Gaps:
-    """Counts of earlier values that are known not to be hit by a query of this chunk."""
-
-    def __init__(self, rows: list[tuple]):
-        self.rows = sorted(rows)  # (lo, hi, n, weight, weighted sum, weighted square sum, inside)
-        self.total = sum(r[2] for r in rows)
-        self.inside = sum(r[2] for r in rows if r[6])
-
-    def kth(self, seq: list[float], k: int) -> float:
-        below = 0
-        for lo, _, n, *_ in self.rows:
-            if k < below + bisect_left(seq, lo):
-                break
-            below += n
-        i = k - below
-        if not 0 <= i < len(seq):
-            raise AssertionError("order statistic fell into a counted gap")
-        return seq[i]
-
-    def mad(self, seq: list[float], mid: float, n: int) -> float:
-        i = (n - 1) // 2 - self.inside
-        if not 0 <= i < len(seq):
-            raise AssertionError("deviation fell into a counted gap")
-        r, after = _nearest(seq, mid, i)
-        top = r if n % 2 else after
-        for lo, hi, *_, inside in self.rows:
-            near, far = max(lo - mid, mid - hi, 0.0), max(abs(lo - mid), abs(hi - mid))
-            if (inside and far > r) or (not inside and near < top):
-                raise AssertionError("deviation fell into a counted gap")
-        return r if n % 2 else (r + after) / 2
-
-    def median(self, seq: list[float], n: int) -> float:
-        if not self.rows:
-            return seq[n // 2] if n % 2 else (seq[n // 2 - 1] + seq[n // 2]) / 2
-        return self.kth(seq, n // 2) if n % 2 else (self.kth(seq, n // 2 - 1) + self.kth(seq, n // 2)) / 2
-
-    def spread(self, mid: float) -> float:
-        return sum(abs(sx - mid * s) for _, _, _, s, sx, _, _ in self.rows)
-
-
-def _scan(x: np.ndarray, g: np.ndarray | None, strict: bool, base: np.ndarray, base_g: np.ndarray, gaps: _Gaps) -> dict:
-    """Median, MAD and weighted mean deviation after (or before, when strict) each value."""
-    out: dict = {k: [] for k in ["median", "mad"] + (["dmad"] if g is not None else [])}
-    seq = sorted(base.tolist())
-    vals, wts = np.concatenate([base, x]), np.concatenate([base_g, g if g is not None else np.ones(len(x))])
-    used = np.concatenate([np.ones(len(base), bool), ~np.isnan(x)])
-    vals, wts = np.where(used, vals, 0.0), np.where(used, wts, 0.0)
-    gap_w = sum(r[3] for r in gaps.rows)
-    for t in range(len(x)):
-        if not strict and not np.isnan(x[t]):
-            insort(seq, float(x[t]))
-        n = len(seq) + gaps.total
-        if n:
-            mid = gaps.median(seq, n)
-            out["median"].append(mid)
-            out["mad"].append(gaps.mad(seq, mid, n))
-            if g is not None:
-                upto = len(base) + t + (0 if strict else 1)
-                w = wts[:upto]
-                out["dmad"].append((float(np.abs(vals[:upto] - mid) @ w) + gaps.spread(mid)) / (float(w.sum()) + gap_w))
-        else:
-            for k in out:
-                out[k].append(None)
-        if strict and not np.isnan(x[t]):
-            insort(seq, float(x[t]))
-    return out
-
+from ..session import cut, spread, stored
+from . import ordertree as ot
+from .windows import DAYS_PER_YEAR, years
 
+#: Rows of a history in one block, and the growth exponent of decay weights within it.
+BLOCK, SPAN, MOST_GROWTH = 1 << 16, 16.0, 600.0
+#: Bins of the values of a history of several blocks, and rows that are answered together.
+BINS, BATCH = 256, 1 << 16
 LOW, HIGH = 0.1, 0.9
+MOMENTS = ("n", "s", "sx", "sxx")
 
 
-def _scan_clipped(x: np.ndarray, g: np.ndarray, day: np.ndarray, base: np.ndarray, base_g: np.ndarray, gaps: _Gaps) -> dict:
-    """Weighted mean and variance of the values on earlier days, clipped to their 10 and 90 percent elements.
-
-    ``weight`` is the total weight as seen from the current day.
-    """
-    out: dict = {k: [] for k in ("mean", "variance", "weight")}
-    seq = sorted(base.tolist())
-    ok = ~np.isnan(x)
-    vals, wts = np.concatenate([base, np.where(ok, x, 0.0)]), np.concatenate([base_g, np.where(ok, g, 0.0)])
-    starts = np.nonzero(np.concatenate([[True], day[1:] != day[:-1]]))[0]
-    for a, b in zip(starts, [*starts[1:], len(x)]):
-        n = len(seq) + gaps.total
-        if n:
-            lo, hi = (gaps.kth(seq, int((n - 1) * q)) for q in (LOW, HIGH))
-            v, w = np.clip(vals[:len(base) + a], lo, hi), wts[:len(base) + a]
-            s0, s1, s2 = float(w.sum()), float(v @ w), float((v * v) @ w)
-            for glo, ghi, _, gs, gsx, gsxx, _ in gaps.rows:
-                edge = lo if ghi <= lo else hi if glo >= hi else None
-                if edge is None and (glo < lo or ghi > hi):
-                    raise AssertionError("clip limit fell into a counted gap")
-                s0, s1, s2 = s0 + gs, s1 + (gsx if edge is None else edge * gs), s2 + (gsxx if edge is None else edge * edge * gs)
-            mean = s1 / s0
-            now = [mean, max(s2 / s0 - mean * mean, 0.0), s0 / float(g[a])]
-        else:
-            now = [None, None, 0.0]
-        for k, val in zip(out, now):
-            out[k] += [val] * (b - a)
-        for t in range(a, b):
-            if ok[t]:
-                insort(seq, float(x[t]))
-    return out
-
-
-def _growth(dates: pd.Series, anchor, rate: float | None) -> np.ndarray | None:
-    """Weight of each row on a scale anchored at the history's last date."""
-    if rate is None:
-        return None
-    days = (pd.to_datetime(dates) - pd.Timestamp(anchor)).dt.days.to_numpy(dtype=float)
-    return np.exp(rate * days / DAYS_PER_YEAR)
-
-
-def running_order_stats(
-    df: DataFrame, cols: list[str], key: list[str], date: str, tie: list[str],
-    strict: bool = False, rate: float | None = None, max_history: int = MAX_HISTORY,
-) -> DataFrame:
+def running_order_stats(df: DataFrame, cols: list[str], key: list[str], date: str, tie: list[str], strict: bool = False, rate: float | None = None, block: int = BLOCK) -> DataFrame:
     """Add ``<c>_median`` and ``<c>_mad`` (and ``<c>_dmad``, the decay-weighted mean deviation) per row.
 
-    Order is (date, tie); ``strict`` leaves the current row out. Nulls are skipped.
+    Order is (date, tie); ``strict`` leaves the current row out. Null values are skipped. Rows with a
+    null key, date or tie keep their place, nulls first, and their results; a null date has no weight.
     """
     kinds = ["median", "mad"] + (["dmad"] if rate is not None else [])
 
-    def scan(x, g, day, base, base_g, gaps):
-        return _scan(x, g, strict, base, base_g, gaps)
+    def solve(s: ot.Stretches, centre: np.ndarray, growth: np.ndarray) -> dict[str, np.ndarray]:
+        median, mad, upper = ot.median_and_mad(s)
+        out = {"median": median, "mad": mad}
+        return out | {"dmad": ot.weighted_deviation(s, median, upper, centre)} if rate is not None else out
 
-    return _run(df, cols, key, date, tie, scan, _regions, kinds, rate, max_history, False)
+    return _solved(df, cols, key, date, tie, kinds, solve, _regions, strict, rate, 2, block)
 
 
-def clipped_location(
-    df: DataFrame, cols: list[str], key: list[str], date: str, tie: list[str], rate: float, max_history: int = MAX_HISTORY,
-) -> DataFrame:
+def clipped_location(df: DataFrame, cols: list[str], key: list[str], date: str, rate: float, block: int = BLOCK) -> DataFrame:
     """Add ``<c>_mean``, ``<c>_variance`` and ``<c>_weight``: the decayed location of all rows on earlier dates.
 
-    Values are clipped to the elements at 10 and 90 percent of the sorted history.
+    Values are clipped to the elements at 10 and 90 percent of the sorted history. The result is one of
+    the (key, date), so equal values of a date are one element; only the first element of a date is answered.
     """
-    return _run(df, cols, key, date, tie, _scan_clipped, _clip_regions, ["mean", "variance", "weight"], rate, max_history, True)
+    kinds = ["mean", "variance", "weight"]
+
+    def solve(s: ot.Stretches, centre: np.ndarray, growth: np.ndarray) -> dict[str, np.ndarray]:
+        mean, variance, weight = ot.clipped_moments(s, LOW, HIGH, centre)
+        return {"mean": mean, "variance": variance, "weight": weight / growth}
+
+    cells = F.array(*[F.struct(F.lit(c).alias("__column"), F.col(c).cast("double").alias("__x")) for c in cols])
+    days = df.select(*key, date, F.explode(cells).alias("__v")).groupBy(*key, date, "__v.__column", "__v.__x").agg(F.count(F.lit(1)).alias("__c"))
+    made = _solved(days, ["__x"], [*key, "__column"], date, ["__x"], kinds, solve, _clip_regions, True, rate, 3, block, "__c")
+    at = [F.col(c).alias(f"__at_{c}") for c in [*key, date]]
+    wide = made.groupBy(*at).agg(*[F.max(F.when(F.col("__column") == c, F.col(f"__x_{k}"))).alias(f"{c}_{k}") for c in cols for k in kinds])
+    wide = wide.withColumns({f"{c}_weight": F.coalesce(f"{c}_weight", F.lit(0.0)) for c in cols})
+    return df.join(wide, _same([*key, date], "__at_"), "left").select(*df.columns, *[f"{c}_{k}" for c in cols for k in kinds])
+
+
+def _same(names: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in names])
 
 
-def _run(df, cols, key, date, tie, scan, regions, kinds, rate, max_history, by_date) -> DataFrame:
-    """One group per history when all are short enough, chunks otherwise."""
-    longest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    if longest > max_history:
-        return _chunked(df, cols, key, date, tie, scan, regions, rate, max_history, kinds, by_date)
+def _solved(df, cols, key, date, tie, kinds, solve, regions, strict, rate, sums, block, count=None) -> DataFrame:
+    """``df`` with ``<c>_<kind>``. With ``count``, a row stands for so many and only the first of a date is answered."""
+    rows, blocks = _blocks(df, cols, key, date, tie, rate, block, count)
+    own = [f.name for f in df.schema.fields]
+    order = [*key, "__block", "__kind", date, *tie]
+    both = rows.unionByName(_cells(blocks, cols, key, regions, rate), allowMissingColumns=True)
+    both = spread(both.withColumn("__history", F.xxhash64(*key, "__block")), *key, "__block").sortWithinPartitions(*order)
     schema = T.StructType([*df.schema.fields, *[T.StructField(f"{c}_{k}", T.DoubleType()) for c in cols for k in kinds]])
-    order = [date, *tie]
-    none = np.empty(0)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        day = pd.to_datetime(pdf[date]).to_numpy()
-        g = _growth(pdf[date], pdf[date].iloc[-1], rate)
-        for c in cols:
-            out = scan(pdf[c].to_numpy(dtype=float), g, day, none, none, _Gaps([]))
+    answer = _answers(own, cols, kinds, solve, strict, rate, sums, count is not None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BATCH:
+                table = pa.Table.from_batches(held)
+                history = table["__history"].to_numpy()
+                ends = np.flatnonzero(history[1:] != history[:-1])
+                if len(ends):  # the last history may go on in the next batch
+                    yield from answer(table.slice(0, ends[-1] + 1))
+                    table = table.slice(ends[-1] + 1)
+                held, size = table.to_batches(), table.num_rows
+        if size:
+            yield from answer(pa.Table.from_batches(held))
+
+    return both.mapInArrow(run, schema)
+
+
+def _blocks(df, cols, key, date, tie, rate, block, count) -> tuple[DataFrame, DataFrame]:
+    """All rows with the number of their block, and those of histories of several blocks alone.
+
+    The long histories' dates come from one aggregate by (key, date) and are written, so that the
+    join's planner knows how few they are; usually there are none.
+    """
+    rows = cut(df)
+    days = rows.groupBy(*key, date).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*key)
+    before = whole.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    growth = (rate or 0.0) * years(F.datediff(F.max(date).over(whole), F.min(date).over(whole)))
+    days = days.select(
+        *[F.col(c).alias(f"__at_{c}") for c in [*key, date]], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__all"),
+        F.min(date).over(whole).alias("__start"), F.max(date).over(whole).alias("__end"), F.coalesce(growth, F.lit(0.0)).alias("__growth"))
+    long = stored(days.filter((F.col("__all") > block) | (F.col("__growth") > SPAN)), "long")
+    x = {f"__x{i}": F.col(c).cast("double") for i, c in enumerate(cols)}
+    more = x | {"__day": F.datediff(F.col(date), F.lit("1970-01-01").cast("date")), "__count": (F.col(count) if count else F.lit(1)).cast("bigint"), "__kind": F.lit(1)}
+    placed = rows.join(long, _same([*key, date], "__at_"), "left").withColumns(more)
+    own = [*df.columns, *more, "__block", "__first"]
+    short = placed.filter("__before IS NULL").withColumns({"__block": F.lit(0).cast("bigint"), "__first": F.lit(None).cast("boolean")}).select(*own)
+    nth = F.row_number().over(Window.partitionBy(*key, date).orderBy(*tie))
+    late = F.coalesce(F.floor((rate or 0.0) * years(F.datediff(F.col(date), F.col("__start"))) / SPAN), F.lit(0))
+    deep = placed.filter("__before IS NOT NULL").withColumn("__first", nth == 1)
+    deep = deep.withColumn("__block", (F.floor((F.col("__before") + nth - 1) / block) + late).cast("bigint"))
+    deep = deep.withColumn("__block", F.when(F.col("__growth") > MOST_GROWTH, F.raise_error(F.lit("half-life too short for the length of this history")).cast("bigint")).otherwise(F.col("__block")))
+    return short.unionByName(deep.select(*own)), deep.select(*own, "__end")
+
+
+def _cells(rows, cols, key, regions, rate) -> DataFrame:
+    """(key, __block, __kind 0, __stat, __value, __known, __count, __s, __sx, __sxx, __day): what a block
+    must know of the blocks before it; weights are those of the day ``__day``."""
+    stats = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(f"__x{i}").alias("x")) for i in range(len(cols))]))
+    age = years(F.datediff(F.date_add(F.lit("1970-01-01").cast("date"), F.col("__day")), F.col("__end")))
+    known = rows.select(*key, F.col("__block").alias("block"), "__count", "__end", F.coalesce(F.exp(F.lit(rate or 0.0) * age), F.lit(0.0)).alias("g"), stats.alias("v")).select("*", "v.*").drop("v")
+    known = known.filter("x IS NOT NULL AND NOT isnan(x)")
+    gk = [*key, "stat"]
+    splits = known.groupBy(*gk).agg(F.percentile_approx("x", [i / BINS for i in range(1, BINS)], 10 * BINS).alias("splits"), F.max("block").alias("last"), F.max("__end").alias("end"))
+    hold = splits.select(*[F.col(c).alias(f"__at_{c}") for c in gk], "splits", "last", "end")
+    binned = known.join(hold, _same(gk, "__at_")).withColumn("bin", F.size(F.filter("splits", lambda s: s < F.col("x"))))
+    cells = binned.groupBy(*gk, "bin", "block", "x", "last", "end").agg(F.sum("__count").alias("n"), F.sum(F.col("g") * F.col("__count")).alias("s"))
+    cells = stored(cells.withColumns({"sx": F.col("s") * F.col("x"), "sxx": F.col("s") * F.col("x") * F.col("x")}), "cells")
+    per_bin = cells.groupBy(*gk, "bin").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("last").alias("last"), F.max("end").alias("end"))
+    grid = per_bin.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).drop("last")
+    sums = cells.groupBy(*gk, "bin", "block").agg(*[F.sum(c).alias(c) for c in MOMENTS])
+    before = Window.partitionBy(*gk, "bin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    at = [*gk, "bin", "block"]
+    upto = grid.join(sums.select(*[F.col(c).alias(f"__at_{c}") for c in at], *MOMENTS), _same(at, "__at_"), "left")
+    upto = upto.select(*at, "lo", "hi", "end", *[F.sum(c).over(before).alias(c) for c in MOMENTS]).filter("n > 0")
+    arriving = cells.groupBy(*gk, "block").agg(F.sum("n").alias("m"))
+    upto = upto.join(arriving.select(*[F.col(c).alias(f"__at_{c}") for c in [*gk, "block"]], "m"), _same([*gk, "block"], "__at_"), "left").select(*upto.columns, "m")
+    fields = [f for f in upto.schema.fields if f.name != "m"]
+    schema = T.StructType([*fields, T.StructField("need", T.BooleanType())])
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin").reset_index(drop=True)
+        extra = 0 if pdf["m"].isna().all() else int(pdf["m"].max())
+        return pdf.assign(need=regions(pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["n"].to_numpy(dtype=np.int64), extra))[[f.name for f in schema.fields]]
+
+    planned = stored(upto.groupBy(*gk, "block").applyInPandas(plan, schema), "planned")
+    wanted = planned.filter("need").select(*[F.col(c).alias(f"__at_{c}") for c in [*gk, "bin"]], F.col("block").alias("__for"))
+    exact = cells.join(wanted, _same([*gk, "bin"], "__at_")).filter("block < __for").groupBy(*gk, "__for", "x", "end").agg(*[F.sum(c).alias(c) for c in MOMENTS])
+    exact = exact.select(*gk, F.col("__for").alias("block"), F.col("x").alias("value"), F.lit(True).alias("known"), *MOMENTS, "end")
+    rest = planned.filter("NOT need").select(*gk, "block", F.col("lo").alias("value"), F.lit(False).alias("known"), *MOMENTS, "end")
+    return exact.unionByName(rest).select(
+        *key, F.col("block").alias("__block"), F.lit(0).alias("__kind"), F.col("stat").alias("__stat"), F.col("value").alias("__value"), F.col("known").alias("__known"), F.col("n").alias("__count"),
+        F.col("s").alias("__s"), F.col("sx").alias("__sx"), F.col("sxx").alias("__sxx"), F.datediff("end", F.lit("1970-01-01").cast("date")).alias("__day"))
+
+
+def _numbers(table: pa.Table, name: str, null: float = np.nan) -> np.ndarray:
+    return table[name].cast(pa.float64()).fill_null(null).to_numpy()
+
+
+def _answers(own: list[str], cols: list[str], kinds: list[str], solve: Callable, strict: bool, rate: float | None, sums: int, firsts: bool) -> Callable:
+    """The statistics of a table of whole blocks: (history, kind, date, tie) order, cells before rows."""
+
+    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        seg = table["__history"].to_numpy()
+        change = np.concatenate([[True], seg[1:] != seg[:-1]])
+        history = np.cumsum(change) - 1
+        is_row = table["__kind"].to_numpy() == 1
+        cells = not is_row.all()
+        day = _numbers(table, "__day")
+        count = table["__count"].to_numpy().astype(np.int64) if cells or firsts else None
+        asked = is_row
+        if firsts:
+            new_day = np.concatenate([[True], (day[1:] != day[:-1]) & ~(np.isnan(day[1:]) & np.isnan(day[:-1]))])
+            told = _numbers(table, "__first")
+            asked = is_row & np.where(np.isnan(told), change | new_day, told == 1)
+        last = np.full(int(history[-1]) + 1, -np.inf)
+        dated = is_row & ~np.isnan(day)
+        np.maximum.at(last, history[dated], day[dated])
+        with np.errstate(invalid="ignore", over="ignore"):
+            grown = np.exp((rate or 0.0) * (day - last[history]) / DAYS_PER_YEAR)
+        grown = np.where(np.isfinite(grown), grown, 0.0)
+        out = table.filter(pa.array(is_row)).select(own)
+        for i, c in enumerate(cols):
+            x = _numbers(table, f"__x{i}")
+            known = None
+            if cells:
+                mine = ~is_row & (_numbers(table, "__stat") == i)
+                x = np.where(mine, _numbers(table, "__value"), x)
+                known = np.where(mine, _numbers(table, "__known") == 1, True)
+            used = ~np.isnan(x)
+            taken, centre = (), None
+            if rate is not None:
+                total, n = np.zeros(len(last)), np.zeros(len(last))
+                np.add.at(total, history[used], x[used])
+                np.add.at(n, history[used], 1)
+                centre = (total / np.maximum(n, 1))[history]
+                w = grown * (1 if count is None else count)
+                shifted = np.where(used, x - centre, 0.0)
+                taken = tuple(w * shifted**p for p in range(sums))
+                if cells:
+                    s, sx, sxx = (_numbers(table, k) * grown for k in ("__s", "__sx", "__sxx"))
+                    moved = (s, sx - centre * s, sxx - 2 * centre * sx + centre * centre * s)
+                    taken = tuple(np.where(mine, m, t) for m, t in zip(moved, taken))
+            past = ot.stretches(history, x, used, asked, strict, count, known, taken)
+            places = np.flatnonzero(asked)
+            some = past.n > 0 if rate is None else (past.n > 0) & (past.totals[0] > 0)
+            made = solve(past.only(np.flatnonzero(some)), None if centre is None else centre[places][some], grown[places][some]) if some.any() else {}
             for k in kinds:
-                pdf[f"{c}_{k}"] = pd.Series(out[k], index=pdf.index, dtype=float)
-        return pdf
+                full = np.full(table.num_rows, np.nan)
+                full[places[some]] = made.get(k, np.nan)
+                full = full[is_row]
+                out = out.append_column(f"{c}_{k}", pa.array(full, pa.float64(), mask=np.isnan(full)))
+        yield from out.to_batches()
 
-    return spread(df, *key).groupBy(*key).applyInPandas(one, schema)
+    return answer
 
 
-def _regions(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which bins a median or a MAD can touch while ``extra`` more values arrive, and which lie inside.
+def _regions(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, extra: int) -> np.ndarray:
+    """Which bins a median or a MAD can touch while ``extra`` more values arrive.
 
     ``lo``/``hi``/``n`` describe the ordered, non-empty bins of the earlier values.
     """
     total = int(n.sum())
     cum = np.concatenate([[0], np.cumsum(n)])
     half = total // 2
-    everything = np.ones(len(n), bool), np.zeros(len(n), bool)
+    everything = np.ones(len(n), bool)
     if half - extra - 2 < 0:
         return everything
     m_lo = lo[np.searchsorted(cum, half - extra - 2, "right") - 1]
@@ -236,11 +265,10 @@ def _regions(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, extra: int) -> tuple
     need = np.zeros(len(n), bool)
     for a, b in ((m_lo, m_hi), (m_lo - r_hi, m_hi - r_lo), (m_lo + r_lo, m_hi + r_hi)):
         need |= (hi >= a) & (lo <= b)
-    inside = ~need & (lo > m_lo - r_hi) & (hi < m_hi + r_hi)
-    return need, inside
+    return need
 
 
-def _clip_regions(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
+def _clip_regions(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, extra: int) -> np.ndarray:
     """Bins the 10 and 90 percent elements can fall into while ``extra`` more values arrive."""
     total = int(n.sum())
     cum = np.concatenate([[0], np.cumsum(n)])
@@ -248,86 +276,6 @@ def _clip_regions(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, extra: int) ->
     for q in (LOW, HIGH):
         first, last = int((total - 1) * q) - extra - 1, int((total + extra - 1) * q) + 1
         if first < 0 or last >= total:
-            return np.ones(len(n), bool), np.zeros(len(n), bool)
+            return np.ones(len(n), bool)
         need[np.searchsorted(cum, first, "right") - 1:np.searchsorted(cum, last, "right")] = True
-    return need, np.zeros(len(n), bool)
-
-
-def _positions(df: DataFrame, key: list[str], date: str, tie: list[str], by_date: bool) -> DataFrame:
-    """Rows before each row, or before each row's date, as ``__pos``."""
-    if not by_date:
-        return running(df, key, date, tie, {"__pos": F.lit(1)}, include_current=False)
-    before = Window.partitionBy(*key).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    day = df.groupBy(*key, date).agg(F.count(F.lit(1)).alias("__n"))
-    return df.join(day.select(*key, date, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__pos")), [*key, date])
-
-
-def _chunked(df, cols, key, date, tie, scan, regions, rate, size, kinds, by_date) -> DataFrame:
-    """The same statistics with every long history cut into chunks of about ``size`` rows (whole dates if asked)."""
-    rid = [*key, date, *tie]
-    placed = _positions(df.select(*rid, *cols), key, date, tie, by_date)
-    ends = df.groupBy(*key).agg(F.max(date).alias("__end"))
-    long = placed.select(
-        *rid, F.floor(F.col("__pos") / size).cast("int").alias("chunk"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("x")) for c in cols])).alias("v"),
-    ).select(*rid, "chunk", "v.*").join(ends, key)
-    days = F.datediff(F.col(date), F.col("__end"))
-    long = cut(long.withColumn("g", F.exp(F.lit(rate or 0.0) * days / F.lit(DAYS_PER_YEAR))))
-    gk = [*key, "stat"]
-    chunks = long.groupBy(*gk).agg(F.max("chunk").alias("last"))
-    deep = chunks.filter("last > 0")
-    known = long.join(deep, gk).filter("x IS NOT NULL")
-    bins = min(MAX_BINS, 16 + 4 * (chunks.agg(F.max("last")).first()[0] or 0))
-    splits = known.groupBy(*gk).agg(F.percentile_approx("x", [i / bins for i in range(1, bins)], 10 * bins).alias("splits"))
-    binned = known.join(splits, gk).withColumn("bin", F.size(F.filter("splits", lambda s: s < F.col("x")))).drop("splits")
-    cells = binned.groupBy(*gk, "bin", "chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("g").alias("s"), F.sum(F.col("g") * F.col("x")).alias("sx"), F.sum(F.col("g") * F.col("x") * F.col("x")).alias("sxx"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    per_bin = cells.groupBy(*gk, "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    grid = per_bin.join(deep, gk).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    before = Window.partitionBy(*gk, "bin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = grid.join(cells.drop("lo", "hi"), [*gk, "bin", "chunk"], "left").select(
-        *gk, "chunk", "bin", "lo", "hi", *[F.sum(c).over(before).alias(c) for c in MOMENTS]).filter("n > 0")
-    arriving = known.groupBy(*gk, "chunk").agg(F.count(F.lit(1)).alias("m"))
-    sums = sums.join(arriving, [*gk, "chunk"], "left")
-    gk_fields = [f for f in long.schema.fields if f.name in gk]
-    plan_schema = T.StructType([
-        *gk_fields, T.StructField("chunk", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("need", T.BooleanType()),
-        T.StructField("inside", T.BooleanType()), *[T.StructField(c, T.DoubleType()) for c in ("lo", "hi", *MOMENTS)]])
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin").reset_index(drop=True)
-        extra = 0 if pdf["m"].isna().all() else int(pdf["m"].max())
-        need, inside = regions(pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["n"].to_numpy(dtype=np.int64), extra)
-        return pdf.assign(need=need, inside=inside)[[f.name for f in plan_schema.fields]]
-
-    planned = cut(sums.groupBy(*gk, "chunk").applyInPandas(plan, plan_schema))
-    needed = planned.filter("need").select(*gk, "bin", F.col("chunk").alias("__for"))
-    exact = binned.groupBy(*gk, "bin", "chunk", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("s")).join(needed, [*gk, "bin"])
-    exact = exact.filter("chunk < __for").groupBy(*gk, "__for", "x").agg(F.sum("n").cast("double").alias("n"), F.sum("s").alias("s"))
-    none = F.lit(None).cast("double")
-    base = exact.select(*gk, F.col("__for").alias("chunk"), F.col("x").alias("lo"), none.alias("hi"), "n", "s", none.alias("sx"), none.alias("sxx"), F.lit(False).alias("inside"))
-    base = base.unionByName(planned.filter("NOT need").select(*gk, "chunk", "lo", "hi", *MOMENTS, "inside"))
-    out_schema = T.StructType([*[f for f in long.schema.fields if f.name in (*rid, "stat")], *[T.StructField(k, T.DoubleType()) for k in kinds]])
-    order = [date, *tie]
-
-    def chunk_stats(rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        got = old[old["hi"].isna()]
-        times = got["n"].to_numpy(dtype=int)
-        vals = np.repeat(got["lo"].to_numpy(dtype=float), times)
-        wts = np.repeat(got["s"].to_numpy(dtype=float) / np.maximum(times, 1), times)
-        far = old[old["hi"].notna()][["lo", "hi", *MOMENTS, "inside"]].itertuples(index=False)
-        gaps = _Gaps([(lo, hi, int(n), *rest) for lo, hi, n, *rest in far])
-        g = rows["g"].to_numpy(dtype=float) if rate is not None else None
-        day = pd.to_datetime(rows[date]).to_numpy()
-        out = scan(rows["x"].to_numpy(dtype=float), g, day, vals, wts, gaps)
-        for k in kinds:
-            rows[k] = pd.Series(out[k], index=rows.index, dtype=float)
-        return rows[[f.name for f in out_schema.fields]]
-
-    other = base.withColumnsRenamed({c: f"__{c}" for c in [*gk, "chunk"]})
-    at = [f"__{c}" for c in [*gk, "chunk"]]
-    groups = spread(other, *at).groupBy(*at)
-    made = spread(long.drop("__end"), *gk, "chunk").groupBy(*gk, "chunk").cogroup(groups).applyInPandas(chunk_stats, out_schema)
-    wide = made.groupBy(*rid).agg(*[F.max(F.when(F.col("stat") == c, F.col(k))).alias(f"{c}_{k}") for c in cols for k in kinds])
-    return df.join(wide, rid)
+    return need

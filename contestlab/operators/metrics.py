@@ -7,11 +7,11 @@ import math
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
+from .isotonic import PIECE, interpolated, isotonic_blocks
 from .ranking import cumulate
 
 METRICS = ["row_count", "correct_count", "accuracy", "log_loss", "brier"]
@@ -191,39 +191,41 @@ def fit_temperature(losses: DataFrame) -> DataFrame:
     return losses.agg(F.min_by(F.struct("temperature", "objective"), F.struct("objective", "temperature")).alias("r")).select("r.*")
 
 
-def fit_isotonic(df: DataFrame, min_support: int, min_class: int, min_unique: int):
-    """Isotonic model of the label on p, or the reason why support is too thin."""
+def fit_isotonic(df: DataFrame, min_support: int, min_class: int, min_unique: int, piece: int = PIECE) -> tuple[DataFrame | None, str | None]:
+    """Blocks of the isotonic fit of the label on p, or the reason why support is too thin."""
     n, ones, unique = df.agg(F.count(F.lit(1)), F.sum(F.col("y").cast("bigint")), F.approx_count_distinct("p", 0.02)).first()
     if unique < 2 * min_unique:
         unique = df.select("p").distinct().limit(min_unique).count()
     for bad, why in ((n < min_support, "minimum_support"), (min(ones or 0, n - (ones or 0)) < min_class, "minimum_class_support"), (unique < min_unique, "minimum_unique_probabilities")):
         if bad:
             return None, why
-    # ties are merged first, so the model only sees one weighted row per distinct p
-    dist = df.groupBy("p").agg(F.avg(F.col("y").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w", isotonic=True).fit(dist), None
+    # ties are merged first: one weighted point per distinct p
+    return isotonic_blocks(df.groupBy("p").agg(F.sum(F.col("y").cast("double")).alias("s"), F.count(F.lit(1)).alias("w")), piece=piece), None
 
 
-def apply_isotonic(df: DataFrame, model, weight: float) -> DataFrame:
-    """p moved towards the isotonic value by ``weight``; unchanged without a model."""
-    if model is None:
+def apply_isotonic(df: DataFrame, blocks: DataFrame | None, weight: float) -> DataFrame:
+    """p moved towards the isotonic value by ``weight``; unchanged without a fit or a p."""
+    if blocks is None:
         return df
-    return model.transform(df).withColumn("p", (1 - weight) * F.col("p") + weight * F.greatest(F.least("prediction", F.lit(1.0)), F.lit(0.0))).drop("prediction")
+    fit = interpolated(df, blocks).select(F.col("p").alias("__p"), F.greatest(F.least("value", F.lit(1.0)), F.lit(0.0)).alias("__fit"))
+    out = df.join(fit, F.col("p") == F.col("__p"), "left")
+    return out.select(*[F.coalesce((1 - weight) * F.col("p") + weight * F.col("__fit"), F.col("p")).alias("p") if c == "p" else F.col(c) for c in df.columns])
 
 
-def isotonic_ensemble(df: DataFrame, key: str, folds: int, seed: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Mean of isotonic fits, each leaving one hash fold (drawn within a label) out, values kept in [low, high]."""
+def isotonic_ensemble(df: DataFrame, key: str, folds: int, seed: int, low: float = 0.01, high: float = 0.99, piece: int = PIECE) -> DataFrame:
+    """Mean of isotonic fits, each leaving one hash fold out, values kept in [low, high].
+
+    All folds are fitted in one pass: points per (fold, p) are the whole's without the fold's own.
+    """
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
-    rows = cut(df.withColumn("__f", (h % folds).cast("int")))
-    out = rows
-    for f in range(folds):
-        dist = rows.filter(F.col("__f") != f).groupBy("p").agg(F.avg(F.col("y").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-        model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(dist)
-        out = model.transform(out).withColumn(f"__c{f}", F.greatest(F.least("prediction", F.lit(high)), F.lit(low))).drop("prediction")
-    total = F.lit(0.0)
-    for f in range(folds):
-        total = total + F.col(f"__c{f}")
-    return out.withColumn("calibrated", total / folds).select(*df.columns, "calibrated")
+    own = df.groupBy("p", (h % folds).cast("int").alias("fold")).agg(F.sum(F.col("y").cast("double")).alias("s"), F.count(F.lit(1)).alias("w"))
+    whole = own.groupBy("p").agg(F.sum("s").alias("s"), F.sum("w").alias("w"), F.collect_list(F.struct("fold", "s", "w")).alias("parts"))
+    each = whole.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    part = F.get(F.filter("parts", lambda a: a["fold"] == F.col("fold")), F.lit(0))
+    points = stored(each.select("fold", "p", (F.col("s") - F.coalesce(part["s"], F.lit(0.0))).alias("s"), (F.col("w") - F.coalesce(part["w"], F.lit(0))).alias("w")), "points")
+    fits = interpolated(points, isotonic_blocks(points, ["fold"], piece=piece), ["fold"])
+    mean = fits.groupBy(F.col("p").alias("__p")).agg(F.avg(F.greatest(F.least("value", F.lit(high)), F.lit(low))).alias("calibrated"))
+    return df.join(mean, F.col("p") == F.col("__p"), "left").select(*df.columns, "calibrated")
 
 
 def calibration_effect(df: DataFrame, before: str, after: str, bins: int = 10) -> DataFrame:

@@ -41,7 +41,7 @@ def test_adjusted_score_without_history_uses_the_prior(spark, both):
     out = {(r["contest_id"], r["entity_id"]): r for r in adjusted_performance(both, ["x"], prior).collect()}
     first = out[0, 0]
     assert first["x_adjperf"] == pytest.approx((first["x"] - 4.0) / 2.0)
-    chunked = {(r["contest_id"], r["entity_id"]): r["x_adjperf"] for r in adjusted_performance(both, ["x"], prior, max_history=3).collect()}
+    chunked = {(r["contest_id"], r["entity_id"]): r["x_adjperf"] for r in adjusted_performance(both, ["x"], prior, block=3).collect()}
     assert all(chunked[k] == pytest.approx(out[k]["x_adjperf"]) for k in out)
 
 

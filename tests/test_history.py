@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contestlab.operators import history as hst
+from contestlab.operators import ordertree as ot
 from contestlab.operators import percentiles as pct
 from contestlab.operators import ranking
 from contestlab.operators import windows as win
@@ -55,7 +56,7 @@ def test_future_rows_never_change_past_values(skewed):
 @pytest.mark.parametrize("strict", [True, False])
 def test_order_stats_chunked_and_brute_force(skewed, strict):
     one = table(hst.running_order_stats(skewed, ["x", "y"], KEY, DATE, TIE, strict, 0.3))
-    many = table(hst.running_order_stats(skewed, ["x", "y"], KEY, DATE, TIE, strict, 0.3, max_history=30))
+    many = table(hst.running_order_stats(skewed, ["x", "y"], KEY, DATE, TIE, strict, 0.3, block=30))
     for c in ("x", "y"):
         for k in ("median", "mad"):
             np.testing.assert_array_equal(one[f"{c}_{k}"], many[f"{c}_{k}"])
@@ -70,8 +71,8 @@ def test_order_stats_chunked_and_brute_force(skewed, strict):
 
 def test_clipped_location_chunked_and_brute_force(skewed):
     rate = math.log(2) * 365.25 / 365
-    one = table(hst.clipped_location(skewed, ["x"], KEY, DATE, TIE, rate))
-    many = table(hst.clipped_location(skewed, ["x"], KEY, DATE, TIE, rate, max_history=30))
+    one = table(hst.clipped_location(skewed, ["x"], KEY, DATE, rate))
+    many = table(hst.clipped_location(skewed, ["x"], KEY, DATE, rate, block=30))
     for k in ("mean", "variance", "weight"):
         np.testing.assert_allclose(one[f"x_{k}"].astype(float), many[f"x_{k}"].astype(float), atol=1e-8)
     h = one[one.entity_id == 2].sort_values(["event_date", "contest_id"]).reset_index(drop=True)
@@ -85,6 +86,41 @@ def test_clipped_location_chunked_and_brute_force(skewed):
             assert h.x_weight[t] == pytest.approx(w.sum(), abs=1e-9)
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_counting_tree_equals_brute_force(strict):
+    rng = np.random.default_rng(1)
+    history = np.unique(np.sort(rng.integers(0, 9, 500)), return_inverse=True)[1]
+    value = np.where(rng.random(500) < 0.5, rng.integers(-3, 4, 500), rng.normal(size=500) * 5.0)
+    used, asked, w = rng.random(500) < 0.9, rng.random(500) < 0.8, np.exp(-rng.random(500) * 3)
+    shifted = value - 0.7
+    past = ot.stretches(history, value, used, asked, strict, sums=(w, w * shifted, w * shifted**2))
+    two = ot.stretches(history, value, used, asked, strict, sums=(w, w * shifted))
+    for row, t in enumerate(np.flatnonzero(asked)):
+        seen = np.flatnonzero((history == history[t]) & used & (np.arange(500) < (t if strict else t + 1)))
+        assert past.n[row] == len(seen)
+        if not len(seen):
+            continue
+        one, v, g = np.array([row]), value[seen], w[seen]
+        mid, mad, upper = ot.median_and_mad(past.only(one))
+        assert mid[0] == np.median(v) and mad[0] == np.median(np.abs(v - np.median(v)))
+        assert ot.weighted_deviation(two.only(one), mid, upper, np.array([0.7]))[0] == pytest.approx((np.abs(v - mid) * g).sum() / g.sum(), abs=1e-12)
+        s = np.sort(v)
+        c = np.clip(v, s[int((len(s) - 1) * 0.1)], s[int((len(s) - 1) * 0.9)])
+        mean = (c * g).sum() / g.sum()
+        assert [x[0] for x in ot.clipped_moments(past.only(one), 0.1, 0.9, np.array([0.7]))] == pytest.approx([mean, ((c - mean) ** 2 * g).sum() / g.sum(), g.sum()], abs=1e-12)
+
+
+def test_nulls_and_ties_keep_their_rows_in_any_block_size(spark):
+    rows = [(None, 1, "2020-01-01", 3.0), (None, None, "2020-01-01", 5.0), (7, 1, None, 1.0), (7, 2, "2020-01-02", None), (7, 2, "2020-01-02", 4.0), (7, 2, "2020-01-02", 4.0), (7, None, "2020-01-03", 0.0)]
+    df = spark.createDataFrame(rows * 6, "entity_id int, contest_id int, d string, x double").withColumn("event_date", F.to_date("d"))
+    one = hst.running_order_stats(df, ["x"], KEY, DATE, TIE).drop("d")
+    many = hst.running_order_stats(df, ["x"], KEY, DATE, TIE, block=5).drop("d")
+    assert one.count() == many.count() == len(rows) * 6
+    hot = lambda d: sorted(map(repr, d.groupBy("entity_id", "event_date").agg(F.max("x_median"), F.min("x_median")).collect()))
+    assert hot(one.filter("x IS NOT NULL AND entity_id IS NULL")) == hot(many.filter("x IS NOT NULL AND entity_id IS NULL"))
+    assert hst.clipped_location(df, ["x"], KEY, DATE, 0.5).count() == len(rows) * 6
+
+
 def test_percentiles_by_buckets_equal_builtin(skewed):
     qs = [0.0, 0.005, 0.25, 0.5, 0.93, 1.0]
     a = {r["entity_id"]: r for r in pct.group_percentiles(skewed, KEY, ["x", "y"], qs).collect()}

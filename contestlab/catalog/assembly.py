@@ -1,8 +1,10 @@
 """Opponent-adjusted scores, training and scoring rows, splits and weights."""
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..operators import adjust, assemble, priors, quality, sides, splits
+from ..operators import adjust, assemble, priors, quality, sides, splits, standing
 from ..operators import windows as win
 from ..plans import scoring
 from ..sample import contest_headers, contest_sides, entities
@@ -267,6 +269,50 @@ def _(spark, sf):
     return rnd(scoring.inference_rows(hist, plan, 2.0), ID)
 
 
+_STATIC, _CUT = ["age", "days_since_last", "reach", "height", "career_age"], "DATE '1998-06-01'"
+_MEANS = [*_STATIC, *[f"{c}_ratio" for c in _STATIC]]
+_SCORE_RATE = math.log(2) / 1.25
+
+
+def _score_sql() -> str:
+    """History path: every scheduled side meets all of its earlier rows."""
+    new = {"age": "coalesce(round((h.event_date - e.dob) / 365.25, 3), l.age)", "days_since_last": "h.event_date - l.event_date", "reach": "e.reach", "height": "e.height", "career_age": "round((h.event_date - g.f) / 365.25, 3)"}
+    w = f"exp(-{_SCORE_RATE!r} * (n.event_date - p.event_date) / 365.25)"
+    means = ", ".join(f"avg(p.{c}) AS {c}_mean, count(p.{c}) AS {c}_n, sum(p.{c} * {w}) / sum(CASE WHEN p.{c} IS NOT NULL THEN {w} END) AS {c}_dec_avg" for c in _MEANS)
+    avg = lambda c: f"CASE WHEN s.{c} IS NULL THEN m.{c}_mean ELSE (coalesce(m.{c}_mean, 0) * m.{c}_n + s.{c}) / (m.{c}_n + 1) END AS {c}_avg"
+    features = [*_MEANS, *[f"{c}_avg" for c in _MEANS], *[f"{c}_dec_avg" for c in _MEANS], "land", "att"]
+    return over_sides(f"""WITH own AS (SELECT s.contest_id, s.entity_id, s.event_date, s.land, s.att, round((s.event_date - e.dob) / 365.25, 3) AS age, e.reach, e.height,
+      coalesce(s.event_date - lag(s.event_date) OVER w, 120) AS days_since_last, round((s.event_date - min(s.event_date) OVER (PARTITION BY s.entity_id)) / 365.25, 3) AS career_age
+      FROM sides s JOIN entities e ON e.entity_id = s.entity_id WINDOW w AS (PARTITION BY s.entity_id ORDER BY s.event_date, s.contest_id)),
+    past AS MATERIALIZED (SELECT a.*, {', '.join(f'a.{c} / CAST(nullif(a.{c} + b.{c}, 0) AS DOUBLE) AS {c}_ratio' for c in _STATIC)} FROM own a JOIN own b ON b.contest_id = a.contest_id AND b.entity_id <> a.entity_id WHERE a.event_date < {_CUT}),
+    g AS (SELECT entity_id, min(event_date) AS f, count(*) AS total FROM past GROUP BY 1 HAVING count(*) >= 2),
+    l AS (SELECT * FROM past QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_date DESC, contest_id DESC) = 1),
+    plan AS (SELECT contest_id, event_date, entity1_id, entity2_id FROM headers WHERE event_date >= {_CUT}),
+    new0 AS (SELECT h.contest_id, h.event_date, no, g.entity_id, g.total, l.land, l.att, {', '.join(f'{x} AS {c}' for c, x in new.items())}
+      FROM plan h, range(1, 3) r(no) JOIN g ON g.entity_id = CASE no WHEN 1 THEN h.entity1_id ELSE h.entity2_id END JOIN l ON l.entity_id = g.entity_id JOIN entities e ON e.entity_id = g.entity_id),
+    n AS MATERIALIZED (SELECT a.*, {', '.join(f'a.{c} / CAST(nullif(a.{c} + b.{c}, 0) AS DOUBLE) AS {c}_ratio' for c in _STATIC)} FROM new0 a JOIN new0 b ON b.contest_id = a.contest_id AND b.no <> a.no),
+    m AS (SELECT n.contest_id, n.no, {means} FROM n JOIN past p ON p.entity_id = n.entity_id GROUP BY 1, 2),
+    s AS (SELECT s.*, {', '.join(avg(c) for c in _MEANS)}, {', '.join(f'm.{c}_dec_avg' for c in _MEANS)} FROM n s JOIN m ON m.contest_id = s.contest_id AND m.no = s.no)
+    SELECT a.contest_id, a.event_date, round(a.age, 6) AS side1_age, round(b.career_age_dec_avg, 6) AS side2_career_age_dec_avg, {', '.join(f'round(a.{c} - b.{c} + 1e-9, 6) AS {c}_diff' for c in features)},
+      a.total AS side1_total, a.total + b.total AS combined_total, round(CASE a.contest_id % 3 WHEN 0 THEN 0.6 WHEN 1 THEN 100 / 230.0 END, 6) AS implied_prob FROM s a JOIN s b ON b.contest_id = a.contest_id AND a.no = 1 AND b.no = 2""", ENTITIES)
+
+
+@query("score_from_states", _score_sql())
+def _(spark, sf):
+    h = cut(contest_sides(spark, sf, ["land", "att"]).select(*ID, DATE, "land", "att").join(entities(spark, sf).select("entity_id", "dob", "reach", "height"), "entity_id"))
+    h = win.tenure_years(win.gap_days(h, KEY, DATE, TIE), KEY, DATE).withColumn("age", F.round(F.datediff(DATE, "dob") / 365.25, 3))
+    h = cut(sides.opponent(h, _STATIC)).withColumns({f"{c}_ratio": F.try_divide(F.col(c).cast("double"), F.col(c) + F.col(f"{c}_opp")) for c in _STATIC})
+    # two tables of states, as a later refresh would leave them, merged
+    state = lambda rows: standing.entity_states(rows, _MEANS, ["dob", *_STATIC, "land", "att"], _SCORE_RATE, "1995-01-01")
+    states = standing.merge_states([state(h.filter(f"{DATE} < DATE '1996-01-01'")), state(h.filter(f"{DATE} >= DATE '1996-01-01' AND {DATE} < {_CUT}"))])
+    american = F.when(F.col("contest_id") % 3 == 0, -150).when(F.col("contest_id") % 3 == 1, 130)
+    plan = contest_headers(spark, sf).filter(f"{DATE} >= {_CUT}").select("contest_id", DATE, "entity1_id", "entity2_id", american.alias("odds"))
+    features = [*_MEANS, *[f"{c}_avg" for c in _MEANS], *[f"{c}_dec_avg" for c in _MEANS], "land", "att"]
+    wanted = ["age", "side2_career_age_dec_avg", *[f"{c}_diff" for c in features], "side1_total", "combined_total", "implied_prob", "unknown"]
+    out = scoring.score_schedule(states, plan, _STATIC, ["land", "att"], wanted, odds="odds")
+    return rnd(out.withColumns({f"{c}_diff": F.col(f"{c}_diff").cast("double") + 1e-9 for c in features}), [])  # means of whole thousandths tie at six digits
+
+
 # --- splits and weights --------------------------------------------------------------
 
 @query("chrono_split", over_sides("""WITH r AS (SELECT contest_id, row_number() OVER (ORDER BY event_date, contest_id) AS rn, count(*) OVER () AS n FROM headers)

@@ -238,7 +238,7 @@ def test_collocations_equal_plain_counts(spark):
         rows.append((rng.choice(["en", "de", None, "und"]), text))
     rows += [("en", None), (None, ""), ("fr", " . "), ("en", "a b " * 20_000)] + [(r[2], r[1]) for r in odd_rows()] + [("en", "same same same same same same")] * 30
     docs = spark.createDataFrame([(i, *r, "p", "q") for i, r in enumerate(rows)], "doc_id long, lang string, text string, slice string, word string").repartition(5)
-    for options in (dict(min_count=8, top=50, slice_bytes=2000), dict(min_count=20, top=7), dict(min_count=8, top=1000, longest=3, share=60)):
+    for options in (dict(min_count=8, top=50, slice_bytes=2000), dict(min_count=9, top=1000, longest=3, share=60)):
         got = collocations.collocations(docs, **options).collect()
         options.pop("slice_bytes", None)
         want = collocations_plain(rows, **options)

@@ -4,7 +4,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-PARTS = ["history", "cleaning", "fitted", "assembly", "evaluation", "market", "analysis", "states", "stream"]
+PARTS = ["history", "cleaning", "fitted", "assembly", "evaluation", "market", "analysis", "states", "stream", "rebuilt"]
 
 
 def load():

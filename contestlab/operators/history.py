@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, spread, stored
+from ..session import once, spread, stored
 from . import ordertree as ot
 from .windows import DAYS_PER_YEAR, years
 
@@ -82,7 +82,8 @@ def _solved(df, cols, key, date, tie, kinds, solve, regions, strict, rate, sums,
     rows, blocks = _blocks(df, cols, key, date, tie, rate, block, count)
     own = [f.name for f in df.schema.fields]
     order = [*key, "__block", "__kind", date, *tie]
-    both = rows.unionByName(_cells(blocks, cols, key, regions, rate), allowMissingColumns=True)
+    # nothing is cut into blocks where no history is long, which is the rule
+    both = rows if blocks is None else rows.unionByName(_cells(blocks, cols, key, regions, rate), allowMissingColumns=True)
     both = spread(both.withColumn("__history", F.xxhash64(*key, "__block")), *key, "__block").sortWithinPartitions(*order)
     schema = T.StructType([*df.schema.fields, *[T.StructField(f"{c}_{k}", T.DoubleType()) for c in cols for k in kinds]])
     answer = _answers(own, cols, kinds, solve, strict, rate, sums, count is not None)
@@ -106,13 +107,13 @@ def _solved(df, cols, key, date, tie, kinds, solve, regions, strict, rate, sums,
     return both.mapInArrow(run, schema)
 
 
-def _blocks(df, cols, key, date, tie, rate, block, count) -> tuple[DataFrame, DataFrame]:
-    """All rows with the number of their block, and those of histories of several blocks alone.
+def _blocks(df, cols, key, date, tie, rate, block, count) -> tuple[DataFrame, DataFrame | None]:
+    """All rows with the number of their block, and those of histories of several blocks alone, if there are any.
 
     The long histories' dates come from one aggregate by (key, date) and are written, so that the
-    join's planner knows how few they are; usually there are none.
+    join's planner knows how few they are.
     """
-    rows = cut(df)
+    rows = once(df)
     days = rows.groupBy(*key, date).agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(*key)
     before = whole.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
@@ -123,9 +124,11 @@ def _blocks(df, cols, key, date, tie, rate, block, count) -> tuple[DataFrame, Da
     long = stored(days.filter((F.col("__all") > block) | (F.col("__growth") > SPAN)), "long")
     x = {f"__x{i}": F.col(c).cast("double") for i, c in enumerate(cols)}
     more = x | {"__day": F.datediff(F.col(date), F.lit("1970-01-01").cast("date")), "__count": (F.col(count) if count else F.lit(1)).cast("bigint"), "__kind": F.lit(1)}
+    own, whole_history = [*df.columns, *more, "__block", "__first"], {"__block": F.lit(0).cast("bigint"), "__first": F.lit(None).cast("boolean")}
+    if long.isEmpty():
+        return rows.withColumns(more | whole_history), None
     placed = rows.join(long, _same([*key, date], "__at_"), "left").withColumns(more)
-    own = [*df.columns, *more, "__block", "__first"]
-    short = placed.filter("__before IS NULL").withColumns({"__block": F.lit(0).cast("bigint"), "__first": F.lit(None).cast("boolean")}).select(*own)
+    short = placed.filter("__before IS NULL").withColumns(whole_history).select(*own)
     nth = F.row_number().over(Window.partitionBy(*key, date).orderBy(*tie))
     late = F.coalesce(F.floor((rate or 0.0) * years(F.datediff(F.col(date), F.col("__start"))) / SPAN), F.lit(0))
     deep = placed.filter("__before IS NOT NULL").withColumn("__first", nth == 1)
@@ -186,7 +189,7 @@ def _answers(own: list[str], cols: list[str], kinds: list[str], solve: Callable,
         change = np.concatenate([[True], seg[1:] != seg[:-1]])
         history = np.cumsum(change) - 1
         is_row = table["__kind"].to_numpy() == 1
-        cells = not is_row.all()
+        cells = "__stat" in table.column_names
         day = _numbers(table, "__day")
         count = table["__count"].to_numpy().astype(np.int64) if cells or firsts else None
         asked = is_row

@@ -10,7 +10,10 @@ Here each running value is split in two exact parts:
   (entity, date).
 
 Both meet in an equi-join on (entity, date), so a hot entity is spread over its
-dates. Keys, dates and tie columns must not be null.
+dates. The rows are computed once and cut, as both parts read them.
+
+Every row stays. Nulls of a tie column come first. Rows with a null entity or date have no earlier
+dates: they see the rows of their own (entity, date) at most, and values that need a date are null.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import once
+
 DAYS_PER_YEAR = 365.25
 
 
@@ -52,7 +57,7 @@ def running(
     A sum named in ``rates`` decays: each earlier row weighs e^(-rate * years) at the
     current row's date.
     """
-    maxima, rates = maxima or {}, rates or {}
+    maxima, rates, df = maxima or {}, rates or {}, once(df)
     upto = 0 if include_current else -1
     day = df.groupBy(*key, date).agg(
         *[F.sum(e).alias(f"__d_{n}") for n, e in sums.items()], *[F.max(e).alias(f"__d_{n}") for n, e in maxima.items()]
@@ -71,7 +76,7 @@ def running(
         *key, date, *[carried(n).alias(f"__c_{n}") for n in sums], *[F.max(f"__d_{n}").over(before).alias(f"__c_{n}") for n in maxima])
     w = _w_inside(key, date, tie, upto)
     names = [*sums, *maxima]
-    out = df.select("*", *[e.alias(f"__x_{n}") for n, e in {**sums, **maxima}.items()]).join(carry, [*key, date])
+    out = df.select("*", *[e.alias(f"__x_{n}") for n, e in {**sums, **maxima}.items()]).join(carry, [*key, date], "left")
     cols = [(F.coalesce(f"__c_{n}", F.lit(0)) + F.coalesce(F.sum(f"__x_{n}").over(w), F.lit(0))).alias(n) for n in sums]
     cols += [F.greatest(F.col(f"__c_{n}"), F.max(f"__x_{n}").over(w)).alias(n) for n in maxima]
     keep = [c for c in df.columns if c not in names]
@@ -106,7 +111,7 @@ def _moments(df: DataFrame, cols: list[str], key: list[str], date: str, tie: lis
     moment of the shifted value; ``__w`` weight and ``__n`` count of all rows. Weights
     are relative to any common scale, which every user of these sums divides out.
     """
-    wkey = Window.partitionBy(*key).orderBy(date)
+    df, wkey = once(df), Window.partitionBy(*key).orderBy(date)
     before = _w_days(key, date, -1)
     aggs = [F.count(F.lit(1)).alias("__dn")]
     for c in cols:
@@ -124,7 +129,7 @@ def _moments(df: DataFrame, cols: list[str], key: list[str], date: str, tie: lis
             F.sum(n * shift * F.col("__g")).over(before).alias(f"__ca_{c}"),
             F.sum(n * (v + shift * shift) * F.col("__g")).over(before).alias(f"__cb_{c}"),
         ]
-    out = df.join(day.select(*key, date, "__g", *[f"__o_{c}" for c in cols], *carry), [*key, date])
+    out = df.join(day.select(*key, date, "__g", *[f"__o_{c}" for c in cols], *carry), [*key, date], "left")
     w = _w_inside(key, date, tie, 0)
     zero = F.lit(0.0)
     made = [
@@ -160,7 +165,7 @@ def running_sdev(df: DataFrame, cols: list[str], key: list[str], date: str, tie:
 
 def decayed_avg(df: DataFrame, cols: list[str], key: list[str], date: str, half_life_years: float = 2.0) -> DataFrame:
     """Exponentially weighted mean over all rows dated up to the current date (peers count)."""
-    rate = math.log(2) / half_life_years
+    df, rate = once(df), math.log(2) / half_life_years
     day = df.groupBy(*key, date).agg(
         *[F.sum(F.col(c).cast("double")).alias(f"__s_{c}") for c in cols], *[F.count(c).alias(f"__k_{c}") for c in cols]
     ).withColumn("__g", _growth(key, date, rate))
@@ -169,7 +174,7 @@ def decayed_avg(df: DataFrame, cols: list[str], key: list[str], date: str, half_
         F.try_divide(F.sum(F.col(f"__s_{c}") * F.col("__g")).over(w), F.sum(F.col(f"__k_{c}") * F.col("__g")).over(w)).alias(f"{c}_dec_avg")
         for c in cols
     ]
-    return df.join(day.select(*key, date, *dec), [*key, date])
+    return df.join(day.select(*key, date, *dec), [*key, date], "left")
 
 
 def decayed_sdev(df: DataFrame, cols: list[str], key: list[str], date: str, tie: list[str], half_life_years: float = 2.0, first: dict[str, Column] | None = None) -> DataFrame:
@@ -194,31 +199,34 @@ def decayed_sdev(df: DataFrame, cols: list[str], key: list[str], date: str, tie:
 
 def shift_prev(df: DataFrame, cols: list[str], key: list[str], date: str, tie: list[str], suffix: str = "_prev") -> DataFrame:
     """Value of each column in the entity's previous row (null on the first)."""
+    df = once(df)
     body = F.struct(*[F.col(c) for c in cols])
     order = F.struct(*[F.col(c) for c in tie])
     day = df.groupBy(*key, date).agg(F.max_by(body, order).alias("__last"))
     carry = day.select(*key, date, F.lag("__last").over(Window.partitionBy(*key).orderBy(date)).alias("__carry"))
     w = Window.partitionBy(*key, date).orderBy(*tie)
-    out = df.join(carry, [*key, date]).withColumn("__prev", F.when(F.row_number().over(w) == 1, F.col("__carry")).otherwise(F.lag(body).over(w)))
+    out = df.join(carry, [*key, date], "left").withColumn("__prev", F.when(F.row_number().over(w) == 1, F.col("__carry")).otherwise(F.lag(body).over(w)))
     return out.select(*df.columns, *[F.col(f"__prev.{c}").alias(f"{c}{suffix}") for c in cols])
 
 
 def gap_days(df: DataFrame, key: list[str], date: str, tie: list[str], default: int = 120, name: str = "days_since_last") -> DataFrame:
     """Days since the entity's previous row; ``default`` on its first."""
+    df = once(df)
     w = Window.partitionBy(*key, date).orderBy(*tie)
     day = df.groupBy(*key, date).agg(F.count(F.lit(1)).alias("__k"))
     carry = day.select(*key, date, F.lag(date).over(Window.partitionBy(*key).orderBy(date)).alias("__pd"))
-    out = df.join(carry, [*key, date])
-    gap = F.when(F.row_number().over(w) > 1, 0).when(F.col("__pd").isNull(), default).otherwise(F.datediff(F.col(date), F.col("__pd")))
+    out = df.join(carry, [*key, date], "left")
+    gap = F.when(F.col(date).isNull(), None).when(F.row_number().over(w) > 1, 0).when(F.col("__pd").isNull(), default).otherwise(F.datediff(F.col(date), F.col("__pd")))
     return out.select(*df.columns, gap.alias(name))
 
 
 def tenure_years(df: DataFrame, key: list[str], date: str, name: str = "career_age") -> DataFrame:
     """Years since the entity's first date, plain days over 365.25, three decimals."""
+    df = once(df)
     day = df.groupBy(*key, date).agg(F.count(F.lit(1)).alias("__k"))
     first = F.min(date).over(Window.partitionBy(*key))
     made = day.select(*key, date, F.round(years(F.datediff(F.col(date), first)), 3).alias(name))
-    return df.join(made, [*key, date])
+    return df.join(made, [*key, date], "left")
 
 
 def mean_step(df: DataFrame, cols: list[str], key: list[str], date: str, tie: list[str]) -> DataFrame:

@@ -50,7 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out.is_cut = True
+    return out
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` for a step that reads it several times: cut, unless it is the very result of a cut."""
+    return df if getattr(df, "is_cut", False) else cut(df)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -89,6 +89,13 @@ def _(spark, sf):
     return rounded(adjust.adjusted_performance(s, STATS, p.join(limits, "grp", "left"), clip=clip), _ADJ, 8)
 
 
+@query("winsor_share", over_sides(f"""{_adj_ctes()} SELECT 'att_adjperf' AS stat, round(avg(CASE WHEN abs(att_adjperf) >= 7 THEN 1.0 ELSE 0.0 END), 6) AS clipped FROM adj
+  UNION ALL SELECT 'pos_adjperf', round(avg(CASE WHEN abs(pos_adjperf) >= 7 THEN 1.0 ELSE 0.0 END), 6) FROM adj"""))
+def _(spark, sf):
+    s, p = adj_inputs(spark, sf)
+    return rnd(quality.clipped_share(adjust.adjusted_performance(s, STATS, p), _ADJ, 7.0), [])
+
+
 _LW = f"exp(-{RATE!r} * (c.event_date - p.event_date) / 365.25)"
 
 

@@ -63,7 +63,22 @@ def _(spark, sf):
     return rnd(metrics.auc(predictions(spark, sf)), [], 8)
 
 
-@query("calibration_line")
+def _newton(rows: str, penalty: float, start: float, steps: int = 12) -> str:
+    """CTEs ``n0`` .. of (a, b): Newton steps of a logistic fit of y on x with penalty * b^2 / 2, each from five sums."""
+    ctes = [f"n0 AS (SELECT CAST(0 AS DOUBLE) AS a, CAST({start} AS DOUBLE) AS b)"]
+    for i in range(steps):
+        ctes.append(f"""n{i + 1} AS MATERIALIZED (SELECT a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b
+    FROM (SELECT a, b, sum(w) AS h00, sum(w * x) AS h01, sum(w * x * x) + {penalty!r} AS h11, sum(y - p) AS g0, sum((y - p) * x) - {penalty!r} * b AS g1
+    FROM (SELECT a, b, x, y, p, p * (1 - p) AS w FROM (SELECT a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM ({rows}), n{i})) GROUP BY a, b))""")
+    return ", ".join(ctes)
+
+
+def _logit(eps: str) -> str:
+    q = f"greatest(least(p, 1 - {eps}), {eps})"
+    return f"ln({q} / (1 - {q}))"
+
+
+@query("calibration_line", over_sides(f"""WITH {PRED}, {_newton(f"SELECT {_logit('1e-8')} AS x, y FROM pred", 0.0, 1)} SELECT round(a, 6) AS intercept, round(b, 6) AS slope FROM n12"""))
 def _(spark, sf):
     a, b = metrics.calibration_line(predictions(spark, sf))
     return spark.createDataFrame([(round(a, 6), round(b, 6))], "intercept double, slope double")
@@ -105,7 +120,8 @@ def _(spark, sf):
     return rnd(metrics.metric_gap(d.filter("event_date < DATE '1998-01-01'"), d.filter("event_date >= DATE '1998-01-01'")), [], 8)
 
 
-@query("platt_fit")
+@query("platt_fit", over_sides(f"""WITH {PRED}, {_newton(f"SELECT {_logit('1e-6')} AS x, y FROM pred WHERE event_date < DATE '1998-01-01'", 1.0, 0)}
+  SELECT contest_id, p, round(1 / (1 + exp(-(b * {_logit('1e-6')} + a))), 4) AS p_cal FROM pred, n12 WHERE event_date >= DATE '1998-01-01'"""))
 def _(spark, sf):
     d = cut(predictions(spark, sf))
     slope, icept = metrics.fit_platt(d.filter("event_date < DATE '1998-01-01'"), 1.0)

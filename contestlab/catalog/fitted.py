@@ -478,19 +478,23 @@ def _(spark, sf):
     return rates.per_minute(s, ["land", "land_rd1"], "secs", "secs_rd1").select(*ID, "land_per_min", "land_rd1_per_min")
 
 
-@query("per_features", over_sides("""SELECT a.contest_id, a.entity_id, round(CASE WHEN a.land > 0 THEN a.kd / CAST(a.land AS DOUBLE) ELSE 0 END, 6) AS kd_per_land,
-  round(CASE WHEN a.ctrl > 0 THEN (a.land_rd1 + a.land_rd2) / CAST(a.ctrl AS DOUBLE) ELSE 0 END, 6) AS early_land_per_ctrl,
-  round(CASE WHEN b.ctrl > 0 THEN a.sub_att / CAST(b.ctrl AS DOUBLE) ELSE 0 END, 6) AS sub_per_ctrlopp,
-  round(CASE WHEN a.ctrl + b.ctrl > 0 THEN a.sub_att / CAST(a.ctrl + b.ctrl AS DOUBLE) ELSE 0 END, 6) AS sub_per_all_ctrl
-  FROM sides a JOIN sides b ON a.contest_id = b.contest_id AND a.entity_id <> b.entity_id"""))
+#: Columns that the quotients read, from those of the contest view.
+_PARTS = {
+    "ko": "kd", "sig_str_land": "land", "sig_str_att": "att", "strikes_att": "att + 3", "distance_land": "land_rd1", "clinch_land": "land_rd2", "ground_land": "land_rd3", "head_land": "att_rd1 % 7", "body_land": "att_rd2 % 5", "leg_land": "att_rd3 % 5",
+    "td_att": "sub_att + kd", "td_land": "kd", "ctrl": "ctrl", "sub_att": "sub_att", "rev": "land % 3", "ko_rd1": "kd % 2", "sub_land_rd1": "sub_att % 2", "sub_land": "sub_att % 3", "win": "CASE WHEN (result = 1) = (side = 1) THEN 1 ELSE 0 END"}
+
+
+def _quotient_sql(name: str) -> str:
+    num, den = ("(" + " + ".join(f"b.{t[4:]}" if t.startswith("opp.") else f"a.{t}" for t in part) + ")" for part in rates.QUOTIENTS[name])
+    return f"round(CASE WHEN {den} > 0 THEN {num} / CAST({den} AS DOUBLE) ELSE 0 END, 6) AS {name}"
+
+
+@query("per_features", over_sides(f"""WITH q AS (SELECT contest_id, entity_id, {', '.join(f'{x} AS {c}' for c, x in _PARTS.items())} FROM sides)
+  SELECT a.contest_id, a.entity_id, {', '.join(map(_quotient_sql, rates.QUOTIENTS))} FROM q a JOIN q b ON a.contest_id = b.contest_id AND a.entity_id <> b.entity_id"""))
 def _(spark, sf):
-    cols = ["land", "kd", "ctrl", "land_rd1", "land_rd2", "sub_att"]
-    s = sides.opponent(contest_sides(spark, sf, cols).select(*ID, *cols), ["ctrl"])
-    spec = {
-        "kd_per_land": (["kd"], ["land"]), "early_land_per_ctrl": (["land_rd1", "land_rd2"], ["ctrl"]),
-        "sub_per_ctrlopp": (["sub_att"], ["opp.ctrl"]), "sub_per_all_ctrl": rates.QUOTIENTS["sub_per_all_ctrl"],
-    }
-    return rounded(rates.quotients(s, spec), list(spec))
+    s = contest_sides(spark, sf, ["land", "kd", "ctrl", "sub_att", "att", *[f"{c}_rd{r}" for c in ("land", "att") for r in (1, 2, 3)]])
+    s = sides.opponent(s.select(*ID, *[F.expr(x).alias(c) for c, x in _PARTS.items()]), ["ctrl"])
+    return rounded(rates.quotients(s, rates.QUOTIENTS), list(rates.QUOTIENTS))
 
 
 @query("pressure", over_sides("""SELECT contest_id, entity_id, round(CASE WHEN land > 0 THEN land_rd1 / CAST(land AS DOUBLE) ELSE 0.0 END, 6) AS land_pressure FROM sides"""))

@@ -235,15 +235,14 @@ def _(spark, sf):
     return out.withColumns({"wagered": F.round("wagered", 2), "profit": F.round("profit", 2)})
 
 
-@query("bankroll_curve", over_sides("""WITH c AS (SELECT strategy, odds_type, contest_id, event_date, 1000 + sum(profit) OVER w AS bankroll FROM single WHERE strategy IN ('all_picks', 'picked_positive_ev', 'edge_5pct')
+@query("bankroll_curve", over_sides("""WITH c AS (SELECT strategy, odds_type, contest_id, event_date, 1000 + sum(profit) OVER w AS bankroll FROM single
     WINDOW w AS (PARTITION BY strategy, odds_type ORDER BY event_date, contest_id ROWS UNBOUNDED PRECEDING)),
   k AS (SELECT *, greatest(1000.0, max(bankroll) OVER (PARTITION BY strategy, odds_type ORDER BY event_date, contest_id ROWS UNBOUNDED PRECEDING)) AS peak FROM c)
-  SELECT strategy, odds_type, contest_id, round(bankroll, 2) AS bankroll, round(peak, 2) AS peak, round((peak - bankroll) / peak, 6) AS drawdown FROM k""", _SINGLE))
+  SELECT strategy, odds_type, contest_id, round(bankroll, 2) AS bankroll, round(peak, 2) AS peak, round((peak - bankroll) / peak + 1e-9, 6) AS drawdown FROM k""", _SINGLE))
 def _(spark, sf):
-    rules = [r for r in bets.CONTEST_RULES if r[0] in ("all_picks", "picked_positive_ev", "edge_5pct")]
-    b = cut(bets.single_bets(bet_rows(spark, sf), rules, STAKE))
+    b = cut(bets.single_bets(bet_rows(spark, sf), stake=STAKE))
     out = bets.equity_curve(b, ["strategy", "odds_type"], 1000.0)
-    return out.select("strategy", "odds_type", "contest_id", F.round("bankroll", 2).alias("bankroll"), F.round("peak", 2).alias("peak"), F.round("drawdown", 6).alias("drawdown"))
+    return out.select("strategy", "odds_type", "contest_id", F.round("bankroll", 2).alias("bankroll"), F.round("peak", 2).alias("peak"), (F.round(F.col("drawdown") + 1e-9, 6)).alias("drawdown"))
 
 
 def _risk_sql() -> str:

@@ -83,7 +83,29 @@ def _tune_rows(spark, sf):
     return contest_sides(spark, sf, ["sub_att", "secs"]).select("grp", F.col("sub_att").alias("k"), (F.col("secs") / 60).alias("n"), (F.col(DATE) < F.lit("1998-01-01").cast("date")).alias("tr"))
 
 
-@query("tune_tau")
+def _tune_sql(low: float, high: float) -> str:
+    """A fixed ladder of grids: every group climbs a step while its best strength lies at an end of its range."""
+    loss = f"sum(-{_BB} * c) / sum(c)"
+    even = lambda lo, hi, n: f"list_transform(range({n}), lambda i: {lo} + ({hi} - {lo}) * i / {n - 1}.0)"
+    grid = f"CASE WHEN hi - lo > 50 THEN list_transform({even('ln(lo)', 'ln(hi)', 30)}, lambda x: exp(x)) WHEN hi - lo > 20 THEN list_concat({even('lo', '(lo + 10)', 15)}, {even('(lo + 10)', 'hi', 10)}) ELSE {even('lo', 'hi', 25)} END"
+    steps = [f"t0 AS (SELECT g, CAST({low} AS DOUBLE) AS lo, CAST({high} AS DOUBLE) AS hi, true AS open, false AS hit, CAST(NULL AS DOUBLE) AS tau, CAST(NULL AS DOUBLE) AS nll FROM prior WHERE g IN (SELECT g FROM v))"]
+    for i in range(tune.MAX_WIDENINGS + 1):
+        steps.append(f"""g{i} AS MATERIALIZED (SELECT g, {grid} AS grid FROM t{i} WHERE open),
+  l{i} AS (SELECT g, tau, {loss} AS nll, max(points) AS points, max(place) AS place FROM (SELECT v.*, mu, len(grid) AS points, unnest(grid) AS tau, unnest(range(len(grid))) AS place FROM v JOIN prior ON prior.g = v.g JOIN g{i} ON g{i}.g = v.g) GROUP BY 1, 2),
+  b{i} AS (SELECT * FROM l{i} QUALIFY row_number() OVER (PARTITION BY g ORDER BY nll, tau) = 1),
+  t{i + 1} AS MATERIALIZED (SELECT t.g, CASE WHEN place = 0 THEN greatest(0.1, lo / 2) ELSE lo END AS lo, CASE WHEN place > 0 AND place = points - 1 THEN hi * 2 ELSE hi END AS hi, coalesce(place = 0 OR place = points - 1, false) AS open,
+    t.hit OR coalesce(place = 0 OR place = points - 1, false) AS hit, coalesce(b.tau, t.tau) AS tau, coalesce(b.nll, t.nll) AS nll FROM t{i} t LEFT JOIN b{i} b ON b.g = t.g)""")
+    last = f"t{tune.MAX_WIDENINGS + 1}"
+    return over_sides(f"""WITH r AS (SELECT unnest([grp, '*']) AS g, sub_att AS k, secs / 60.0 AS n, {_TRAIN} AS tr FROM sides),
+  prior AS MATERIALIZED (SELECT g, sum(k) / sum(n) AS mu, count(*) AS train_rows FROM r WHERE tr GROUP BY 1), v AS MATERIALIZED (SELECT g, least(k, greatest(n, 1)) AS k, greatest(n, 1) AS n, count(*) AS c FROM r WHERE NOT tr GROUP BY 1, 2, 3),
+  {', '.join(steps)}, o AS (SELECT t.tau, mu FROM {last} t JOIN prior ON prior.g = t.g WHERE t.g = '*'),
+  base AS (SELECT g, {loss} AS base_nll FROM (SELECT v.*, o.mu, o.tau FROM v, o) GROUP BY 1),
+  f AS (SELECT t.g, t.tau, t.nll, o.tau AS all_tau, base_nll, CASE WHEN base_nll > 0 THEN (base_nll - t.nll) / base_nll * 100 ELSE 0 END AS gain, hit, train_rows FROM {last} t JOIN base ON base.g = t.g JOIN prior ON prior.g = t.g, o)
+  SELECT g AS grp, round(tau, 6) AS tau, round(nll, 6) AS nll, round(all_tau, 6) AS all_tau, round(base_nll, 6) AS base_nll, round(gain, 6) AS gain_pct, hit AS boundary, g <> '*' AND gain >= {tune.MIN_GAIN_PCT} AND NOT hit AND train_rows >= {tune.MIN_GROUP_ROWS} AS use_group,
+    round(CASE WHEN g <> '*' AND gain >= {tune.MIN_GAIN_PCT} AND NOT hit AND train_rows >= {tune.MIN_GROUP_ROWS} THEN tau ELSE all_tau END, 6) AS final_tau FROM f""")
+
+
+@query("tune_tau", _tune_sql(1.0, 12.0))
 def _(spark, sf):
     rows = cut(_tune_rows(spark, sf))
     return rnd(tune.tune_tau(rows, "k", "n", "grp", F.col("tr"), "binomial", 1.0, 12.0), [])
@@ -97,8 +119,8 @@ _GRID = [1.0, 2.0, 4.0, 8.0, 16.0]
   SELECT grp AS g, CAST(tau AS DOUBLE) AS tau, round(-avg({_BB}), 6) AS nll, count(*) AS "rows" FROM c GROUP BY 1, 2"""))
 def _(spark, sf):
     prior, val = tune._cells(_tune_rows(spark, sf), "k", "n", "grp", F.col("tr"))
-    groups = [r[0] for r in table(spark, sf, "orders").select("o_orderpriority").distinct().limit(1000).collect()]
-    return rnd(tune.tau_losses(prior, val, dict.fromkeys(groups, _GRID), "binomial"), [])
+    grids = prior.filter("g <> '*'").select("g", F.array(*map(F.lit, _GRID)).alias("grid"))
+    return rnd(tune.tau_losses(prior, val, grids, "binomial").drop("place"), [])
 
 
 @query("shrinkage_report", over_sides(f"""WITH p AS (SELECT grp, sum(sub_att) / CAST(sum(secs / 60) AS DOUBLE) AS mu FROM sides WHERE {_TRAIN} GROUP BY 1), a AS (SELECT grp, sum(secs / 60.0) AS t FROM sides GROUP BY 1),
@@ -106,8 +128,7 @@ def _(spark, sf):
   SELECT a.grp, CAST(8.0 AS DOUBLE) AS tau, round(t / (1 + t / 8.0), 6) AS effective_n, round(8.0 / (8.0 + t), 8) AS shrink, round(brier, 6) AS brier, round(gap, 6) AS calibration_gap FROM a JOIN v ON v.grp = a.grp"""))
 def _(spark, sf):
     rows = _tune_rows(spark, sf)
-    groups = [r[0] for r in table(spark, sf, "orders").select("o_orderpriority").distinct().limit(1000).collect()]
-    out = tune.shrinkage_report(rows, "k", "n", "grp", F.col("tr"), dict.fromkeys(groups, 8.0))
+    out = tune.shrinkage_report(rows, "k", "n", "grp", F.col("tr"), rows.select("grp").distinct().withColumn("tau", F.lit(8.0)))
     return out.select("grp", "tau", F.round("effective_n", 6).alias("effective_n"), F.round("shrink", 8).alias("shrink"), F.round("brier", 6).alias("brier"), F.round("calibration_gap", 6).alias("calibration_gap"))
 
 

@@ -15,10 +15,15 @@ from .sides import pair_sides
 from .windows import contest_no
 
 
-def assert_unique(df: DataFrame, keys: list[str]) -> None:
-    twice = df.groupBy(*keys).count().filter("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"rows not unique on {keys}: {twice[0]}")
+def unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by its keys, with an error where one comes twice.
+
+    The check rides on an aggregate by the keys, which brings rows where a join by them needs them; no job runs before.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in rest])
+    twice = F.raise_error(F.concat(F.lit(f"rows not unique on {keys}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    return rows.filter(F.when(F.col("__n") > 1, twice.cast("boolean")).otherwise(F.lit(True))).select(*df.columns)
 
 
 def add_features(base: DataFrame, feats: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,14 +39,12 @@ def replace_partitions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataF
 
 def assemble(base: DataFrame, families: list[DataFrame], keys: list[str]) -> DataFrame:
     """Left-join family tables on the key; keys must be unique, so the row count stays."""
-    assert_unique(base, keys)
-    out = base
+    out = unique(base, keys)
     for f in families:
-        assert_unique(f, keys)
         clash = (set(out.columns) & set(f.columns)) - set(keys)
         if clash:
             raise ValueError(f"duplicate feature columns {sorted(clash)}")
-        out = out.join(f, keys, "left")
+        out = out.join(unique(f, keys), keys, "left")
     return out
 
 

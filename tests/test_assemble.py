@@ -63,8 +63,13 @@ def test_context_keeps_whole_events(spark):
 
 
 def test_duplicate_keys_and_columns_fail(both):
-    with pytest.raises(ValueError, match="not unique"):
-        assemble.assemble(both.select("contest_id"), [], ["contest_id"])
+    with pytest.raises(Exception, match="not unique"):
+        assemble.assemble(both.select("contest_id"), [], ["contest_id"]).collect()
+    keys = ["contest_id", "entity_id"]
+    twice = both.select(*keys, "x").unionByName(both.select(*keys, "x"))
+    with pytest.raises(Exception, match="not unique"):
+        assemble.assemble(both.select(*keys), [twice], keys).collect()
+    assert assemble.assemble(both.select(*keys), [both.select(*keys, "x")], keys).count() == both.count()
     with pytest.raises(ValueError, match="duplicate feature"):
         assemble.assemble(both.select("contest_id", "entity_id", "x"), [both.select("contest_id", "entity_id", "x")], ["contest_id", "entity_id"])
 

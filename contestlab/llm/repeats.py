@@ -108,11 +108,12 @@ def window_hashes(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
 COUNT_BITS, TEXT_BITS = 12, 31
 
 
-def parsed(rows: DataFrame, length: int, gram: int, hot=None, want_hot: bool = False) -> DataFrame:
-    """The dictionary entries of each text, once a text: (key, entry, rid, place).
+def parsed(rows: DataFrame, length: int, gram: int, hot=None, want_hot: bool = False, with_again: bool = False) -> DataFrame:
+    """The dictionary entries of each text, once a text: (key, entry, rid, place, again).
 
     ``entry`` holds the context and the number of starts, ``place`` the first start and the text's
-    hash; four numbers a phrase are all that is shuffled of the parse.
+    hash; four numbers a phrase are all that is shuffled of the parse. ``with_again`` adds the phrases that
+    their own text has earlier, under keys of their own, as nothing more is asked of them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,14 +124,17 @@ def parsed(rows: DataFrame, length: int, gram: int, hot=None, want_hot: bool = F
                 for raw, rth in zip(own["raw"], own["rth"]):
                     key, start, count, entry = local_phrases(np.frombuffer(raw, np.uint8), length, gram)
                     keep = firsts(key, entry)
+                    again = ~keep if with_again else np.zeros(len(key), bool)
                     if known is not None:
                         keep &= among(known, key) == want_hot
-                    parts.append((key[keep], entry[keep], start[keep] << TEXT_BITS | int(rth)))
+                    key = np.where(again, mixed(key ^ start.view(np.uint64)), key)
+                    keep |= again
+                    parts.append((key[keep], entry[keep], start[keep] << TEXT_BITS | int(rth), again[keep]))
                 n = [len(p[0]) for p in parts]
-                key, entry, place = (np.concatenate(x) for x in zip(*parts))
-                yield pd.DataFrame({"key": key.view(np.int64), "entry": entry.view(np.int64), "rid": np.repeat(own["rid"].to_numpy(), n), "place": place})
+                key, entry, place, again = (np.concatenate(x) for x in zip(*parts))
+                yield pd.DataFrame({"key": key.view(np.int64), "entry": entry.view(np.int64), "rid": np.repeat(own["rid"].to_numpy(), n), "place": place, "again": again})
 
-    return rows.select("rid", "rth", "raw").mapInPandas(run, "key bigint, entry bigint, rid bigint, place bigint")
+    return rows.select("rid", "rth", "raw").mapInPandas(run, "key bigint, entry bigint, rid bigint, place bigint, again boolean")
 
 
 def local_phrases(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,18 +159,18 @@ def hot_keys(rows: DataFrame, n_rows: int, length: int, gram: int, sample: int =
 
 
 def compared(rows: DataFrame, hot, length: int, gram: int) -> DataFrame:
-    """(rid, rth, start, count, open) of phrases that occur in an earlier text whole (not open), or
+    """(rid, rth, start, count, open, key) of phrases that occur earlier whole (not open), or
     that share their trigger with other phrases and must be compared string by string (open)."""
-    usual = parsed(rows, length, gram, hot)
+    usual = parsed(rows, length, gram, hot, with_again=True)
     by_key, by_phrase = Window.partitionBy("key"), Window.partitionBy("key", "entry")
-    usual = usual.withColumns({"n": F.count(F.lit(1)).over(by_key), "lo": F.min("entry").over(by_key), "hi": F.max("entry").over(by_key)}).filter("n > 1")
+    usual = usual.withColumns({"n": F.count(F.lit(1)).over(by_key), "lo": F.min("entry").over(by_key), "hi": F.max("entry").over(by_key)}).filter("n > 1 OR again")
     usual = usual.withColumn("first", F.min("rid").over(by_phrase)).withColumn("many", F.col("lo") != F.col("hi"))
     common = parsed(rows, length, gram, hot, want_hot=True)
     entries = written(common.groupBy("key", "entry").agg(F.min("rid").alias("first")), "entries")
     many = entries.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("many"))
     common = common.join(entries.join(many, "key"), ["key", "entry"])
-    columns = ["rid", F.col("place").bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).cast("int").alias("rth"), F.shiftright("place", TEXT_BITS).alias("start"), F.col("entry").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("count"), (F.col("rid") == F.col("first")).alias("open")]
-    chosen = F.col("many") | (F.col("rid") > F.col("first"))
+    columns = ["rid", F.col("place").bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).cast("int").alias("rth"), F.shiftright("place", TEXT_BITS).alias("start"), F.col("entry").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("count"), (~F.col("again") & (F.col("rid") == F.col("first"))).alias("open"), "key"]
+    chosen = F.col("again") | F.col("many") | (F.col("rid") > F.col("first"))
     return usual.filter(chosen).select(*columns).unionByName(common.filter(chosen).select(*columns))
 
 
@@ -195,18 +199,16 @@ SPAN = "rid bigint, rth int, start bigint, count int"
 
 def resolved(packed: DataFrame, open_: DataFrame, hot, length: int, gram: int) -> DataFrame:
     """(rid, rth, start, count) of strings of open phrases that occur earlier."""
-    per = open_.groupBy("rid", "rth").agg(F.collect_list("start").alias("s"), F.collect_list("count").alias("c"))
+    per = open_.groupBy("rid", "rth").agg(F.collect_list("start").alias("s"), F.collect_list("count").alias("c"), F.collect_list("key").alias("k"))
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = {"key": np.int64, "hash": np.int64, "rid": np.int64, "rth": np.int32, "start": np.int64, "count": np.int32}
         for b in batches:
             usual, hot_parts = [], []
-            for rid, rth, z, s, c in zip(b["rid"], b["rth"], b["z"], b["s"], b["c"]):
-                raw, s, c = unpacked(z), np.asarray(s, np.int64), np.asarray(c, np.int64)
+            for rid, rth, z, s, c, k in zip(b["rid"], b["rth"], b["z"], b["s"], b["c"], b["k"]):
+                raw, s, c, k = unpacked(z), np.asarray(s, np.int64), np.asarray(c, np.int64), np.asarray(k, np.int64).view(np.uint64)
                 by = np.argsort(s)
-                s, c = s[by], c[by]
-                key, start, _, _ = local_phrases(raw, length, gram)
-                k = key[np.searchsorted(start, s)]
+                s, c, k = s[by], c[by], k[by]
                 is_hot = among(hot.value, k)
                 usual += [(x, None, rid, rth, a, n, raw[a : a + n + length - 1].tobytes()) for x, a, n in zip(k[~is_hot].view(np.int64).tolist(), s[~is_hot].tolist(), c[~is_hot].tolist())]
                 if is_hot.any():
@@ -292,7 +294,7 @@ def removed_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, with_
     hot = rows.sparkSession.sparkContext.broadcast(hot_keys(rows, rows.count(), length, gram))
     packed = packed_rows(rows)
     found = written(compared(rows, hot, length, gram), "phrases")
-    spans = found.filter("not open").drop("open").unionByName(resolved(packed, found.filter("open"), hot, length, gram))
+    spans = found.filter("not open").drop("open", "key").unionByName(resolved(packed, found.filter("open"), hot, length, gram))
     per = spans.groupBy("rid", "rth").agg(F.collect_list("start").alias("s"), F.collect_list("count").alias("c"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,11 +303,7 @@ def removed_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, with_
                 out = []
                 for r in b.iloc[lo : lo + 512].itertuples():
                     raw = unpacked(r.z)
-                    key, start, count, entry = local_phrases(raw, length, gram)
-                    again = ~firsts(key, entry)  # in the same text
-                    starts, counts = start[again], count[again]
-                    if r.s is not None:
-                        starts, counts = np.concatenate([starts, np.asarray(r.s, np.int64)]), np.concatenate([counts, np.asarray(r.c, np.int64)])
+                    starts, counts = (np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in (r.s, r.c))
                     gone = marked(len(raw), starts, starts + counts + length - 1)
                     edges = np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) > 0)
                     out.append((r.rid, r.rth, len(raw), int(gone.sum()), edges, hashlib.sha256(raw[~gone].tobytes()).hexdigest()) + ((kept_text(raw, gone),) if with_text else ()))
@@ -331,7 +329,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     suffixes that a suffix array of the dictionary would sort) brought together by key and hash,
     and all but the earliest marked.
 
-    A null or empty text has no bytes; texts shorter than ``length`` lose none; a null id is the
+    Strings are equal if their trigger and a 64-bit hash of all their bytes are. Very long texts are parsed
+    in overlapping segments, whole. A null or empty text has no bytes; texts shorter than ``length`` lose none; a null id is the
     smallest; rows of equal id are not earlier than one another, so repeated rows have equal
     results; an empty table gives no rows; other columns are not looked at.
     """

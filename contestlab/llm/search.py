@@ -148,11 +148,14 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, query_every: int =
     Vectors that are null or hold a null or non-finite component take no part; shorter ones count
     as filled up with zeros; a null id is a candidate but no query, and comes first among ties and is
     returned as null; rows with the query's own id are not its candidates, other repeated rows
-    each are; no vector or no query gives no rows; other columns are not looked at.
+    each are, and each row with a query's id is a query of its own; components whose scores could pass 64 bits are an error; no vector or no query gives no rows; other columns are not looked at.
     """
     spark = vectors.sparkSession
     rows = written(scaled(vectors, scale, id_col, vector_col), "vectors")
-    dim = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0)
+    size, most = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
+    dim = max(1, size or 0)
+    if (most or 0.0) ** 2 * dim >= 2.0**62:
+        raise ValueError("components too large for whole-number scores of 64 bits")
     rotation = np.linalg.eigh(second_moments(rows, dim))[1][:, ::-1].copy()
     cands = written(blocks(rows, dim, block), "candidates")
     asked = rows.filter((F.col("vec_id") % query_every == 0) & (F.col("vec_id") != NULL_ID))
@@ -183,13 +186,13 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, query_every: int =
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+            return pd.DataFrame({"qb": [], "row": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
         q, least = Side(a["ids"].iloc[0], a["whole"].iloc[0], rotation), np.frombuffer(a["least"].iloc[0])
         b = b.sort_values("norm", ascending=False)
         i, score, ids = scan(q, (Side(x, w, rotation) for x, w in zip(b["ids"], b["whole"])), k, least)
-        return pd.DataFrame({"query_id": q.ids[i], "vec_id": ids, "score": score})
+        return pd.DataFrame({"qb": a["qb"].iloc[0], "row": i, "query_id": q.ids[i], "vec_id": ids, "score": score})
 
-    found = left.groupBy("qb", "strip").cogroup(right.groupBy("block", "part")).applyInPandas(run, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("qb", "strip").cogroup(right.groupBy("block", "part")).applyInPandas(run, "qb bigint, row bigint, query_id bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("qb", "row").orderBy(F.desc("score"), "vec_id"))
     out = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif(F.col("vec_id"), F.lit(NULL_ID)).alias("vec_id"), "score")

@@ -29,15 +29,16 @@ def build_session(app: str = "contestlab", master: str | None = None, partitions
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only in local mode."""
+    """The shared folder that the cluster names; one of its own only in local mode, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    made = tempfile.mkdtemp(prefix="contestlab-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="contestlab-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -32,7 +32,7 @@ DATE = r"^(?:(?:19|20)[0-9]{2}([-./ ])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3
 QUAD = r"^[0-9]+(?:\.[0-9]{1,3}){3}$"
 LEFT, RIGHT = 24, 4
 #: Candidates the trees are fitted to at most, about, before their forms; least share of personal data among as many labelled candidates of either kind above the threshold.
-FIT_ROWS, PRECISION, LEAST_ROWS = 20_000, 0.95, 200
+FIT_ROWS, PRECISION, LEAST_ROWS = 20_000, 0.95, 100
 TREES, DEPTH, STEPS, SEED = 12, 3, 50, 5
 
 FEATURES = ["digits", "groups", "first_group", "last_group", "longest_group", "kinds_of_digits", "first_zero", "check_digit", "address", "named", "domain", "top", "cue"]
@@ -83,7 +83,26 @@ def candidates(docs: DataFrame) -> DataFrame:
     each = each.select("rid", "rth", "k.kind", F.posexplode("k.spans").alias("n", "s")).select("rid", "rth", "kind", "n", "s.*")
     upto = Window.partitionBy("rid", "rth", "kind").orderBy("n")
     each = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(upto))
-    return each.select("rid", "rth", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "left", "right", F.coalesce(valid(), F.lit(False)).alias("base"))
+    each = each.withColumn("start", F.col("end") - F.length("value"))
+    own = F.struct("kind", "start", "end", "value", "left", "right")
+    each = each.select("rid", "rth", F.explode(F.concat(F.array(own), side_by_side())).alias("s")).select("rid", "rth", "s.*")
+    return each.select("rid", "rth", "kind", "start", "end", "value", "left", "right", F.coalesce(valid(), F.lit(False)).alias("base"))
+
+
+def side_by_side() -> Column:
+    """The cards of a run with too many digits for one that falls apart into cards whole: each group one
+    of them, or each four groups of four digits. They overlap the run, which is a candidate too."""
+    g, value = F.split("value", "[ -]"), F.col("value")
+    card = lambda x: F.length(x).between(13, 19) & luhn(x)
+    single = F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.struct(F.aggregate(F.slice(g, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1).alias("at"), g[i].alias("value")))
+    fours = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(g) / 4).cast("int") - 1, F.lit(0))), lambda i: F.struct((i * 20).alias("at"), F.substring(value, i * 20 + 1, F.lit(19)).alias("value")))
+    by_four = F.forall(g, lambda x: F.length(x) == 4) & (F.size(g) % 4 == 0) & F.forall(fours, lambda p: luhn(F.regexp_replace(p["value"], "[^0-9]", "")))
+    found = F.when(F.forall(g, card), single).when(by_four, fours)
+    placed = lambda p: F.struct(
+        F.lit("cards").alias("kind"), (F.col("start") + p["at"]).alias("start"), (F.col("start") + p["at"] + F.length(p["value"])).alias("end"), p["value"].alias("value"),
+        F.right(F.concat(F.col("left"), F.substring(value, F.lit(1), p["at"])), F.lit(LEFT)).alias("left"), F.left(F.concat(F.substring(value, p["at"] + F.length(p["value"]) + 1, F.lit(RIGHT)), F.col("right")), F.lit(RIGHT)).alias("right"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>")
+    return F.when((F.col("kind") == "card") & (F.length(digits_of()) > 19) & found.isNotNull(), F.transform(found, placed)).otherwise(none)
 
 
 def plain(value: str = "value") -> Column:

@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from llm_cases import SCHEMA, no_docs, odd_docs, odd_rows, prose
 
-from contestlab.llm import audit, collocations, credentials
+from contestlab.llm import audit, collocations, credentials, private
+from contestlab.llm.common import row_key, texts
 
 
 # ---- filter audit
@@ -249,3 +250,31 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(no_docs(spark)).count() == 0
     rare = spark.createDataFrame([("en", "no phrase comes often enough")], "lang string, text string")
     assert collocations.collocations(rare).count() == 0
+
+
+# ---- cards side by side
+
+
+def test_cards_side_by_side_are_proposed_one_by_one(spark):
+    rows = [
+        (1, "pay 7536784127813050 4845168114407329 now"), (2, "ref 4111 1111 1111 1111-5500 0055 5555 5559 x"), (3, "1234 5678 9012 3456 7890 1234 5678 9012"), (4, None), (5, "4111111111111111 4111111111111112"),
+        (6, "4111111111111111"), (7, "1" * 500), (8, "4465758382889437 4465758382889437-4465758382889437")]
+    docs = texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["rid"], r["start"], r["end"], r["value"]) for r in private.candidates(docs.select(*row_key(), "doc_id", "text")).filter("kind = 'cards'").collect())
+    text = dict(rows)
+    assert [(i, text[i][a:b] == v) for i, a, b, v in got] == [(1, True)] * 2 + [(2, True)] * 2 + [(8, True)] * 3
+    assert [v for *_, v in got[:4]] == ["7536784127813050", "4845168114407329", "4111 1111 1111 1111", "5500 0055 5555 5559"]
+
+
+def test_cards_side_by_side_are_redacted(spark):
+    rng = random.Random(21)
+
+    def card() -> str:
+        digits = [rng.randrange(10) for _ in range(15)]
+        total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits))
+        return "".join(map(str, digits)) + str(-total % 10)
+
+    rows = [(i, f"{prose(rng, 8)} {rng.choice(["card ", ""])}{card()} mail a{i}@b.example.org call +49 30 {rng.randrange(10**6, 10**7)} order {rng.randrange(10**9, 10**10)} {prose(rng, 8)}") for i in range(150)]
+    rows += [(1000, f"{prose(rng, 8)} {card()} {card()} {prose(rng, 8)}"), (1001, f"{prose(rng, 8)} order 1234567890 {prose(rng, 8)}")]
+    out = {r["doc_id"]: r["text"] for r in private.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1000].count("<CARD>") == 2 and "1234567890" in out[1001]

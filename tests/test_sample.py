@@ -22,3 +22,14 @@ def test_contests_of_a_hot_order_have_ids_of_their_own(spark, tmp_path):
     assert {tuple(r) for r in kept.collect()} == {(1, hot // 2), (2, 60)}
     named = contest_headers(spark, str(tmp_path), "order_id").withColumns({f"name{i}": F.col(f"entity{i}_id").cast("string") for i in (1, 2)})
     assert _ticks(spark, str(tmp_path), named).count() == hot + 120
+
+
+def test_tasks_of_the_pairing_grow_with_the_line_items(spark, sf_dir, monkeypatch):
+    from contestlab import sample
+
+    want = {tuple(r) for r in contest_headers(spark, sf_dir).collect()}
+    monkeypatch.setattr(sample, "TASK_ROWS", 500)
+    many = sample.contest_pairs(spark, sf_dir, [])
+    # 6,000 line items: the session's 4 tasks would hold three times the rows allowed
+    assert many.rdd.getNumPartitions() == 12
+    assert {tuple(r) for r in contest_headers(spark, sf_dir).collect()} == want

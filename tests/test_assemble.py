@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,12 @@ def test_read_only_sql():
     ok = explore.is_read_only
     assert ok("SELECT 1;") and ok("with a as (select 1) select * from a")
     assert not ok("DROP TABLE x") and not ok("select 1; select 2") and not ok("select * from t where update = 1") and not ok("")
+
+
+def test_style_metrics_compile(spark):
+    """No generated method may pass the 8,000 bytes beyond which the JVM only interprets."""
+    need = [*style.COPIES.values(), *[c for ab in style.SHARES.values() for c in ab], *[c for a, b in style.EFFICIENCIES.values() for c in [*a, b]]]
+    need += ["td_att_per_min_dec_avg", "sub_land_per_min_dec_avg", "sig_str_land_rd1_per_min_dec_avg", "td_att_rd1_per_min_dec_avg", "sub_att_rd1_per_min_dec_avg", "time_sec_rd1_dec_avg", "decision_per_min_dec_avg", "ko_per_min_dec_avg", "time_sec_dec_avg"]
+    rows = spark.range(3).select("id", *[(F.col("id") % 5 + i).cast("double").alias(c) for i, c in enumerate(dict.fromkeys(need))])
+    text = spark._jvm.PythonSQLUtils.explainString(style.style(rows, ["id"])._jdf.queryExecution(), "codegen")
+    assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", text))

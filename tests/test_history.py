@@ -145,3 +145,23 @@ def test_ranks_across_many_buckets(spark, skewed, monkeypatch):
         want = (g.x.rank() - 1) / (len(g) - 1) if len(g) > 1 else g.x * 0 + 0.5
         for cid, v in zip(g.contest_id, want):
             assert r1[e, cid] == pytest.approx(v)
+
+
+def test_buckets_by_halving(spark):
+    df = spark.createDataFrame([(float(i % 97), [float(x) for x in sorted([*range(0, 90, 3), 3, 3, 90])][:31]) for i in range(97)] + [(float("nan"), [0.0] * 31)], "v double, s array<double>")
+    out = pct.in_bucket(df, "s", "v", "b", 32)
+    assert all(r["b"] == sum(1 for x in r["s"] if x < r["v"] or r["v"] != r["v"]) for r in out.collect())
+    assert "LambdaFunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_percentiles_read_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(60).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v").mapInPandas(passed, "g bigint, v double")
+    got = {r["g"]: r["v_p"][0] for r in pct.group_percentiles(df, ["g"], ["v"], [0.5], max_distinct=5).collect()}
+    assert got == {0: 28.5, 1: 29.5, 2: 30.5} and seen.value == 60

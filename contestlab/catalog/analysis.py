@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import explore, smooth, tune
-from ..sample import contest_headers, contest_sides, table
+from ..sample import contest_headers, contest_sides, row_tasks, table
 from ..session import cut, scratch
 from ..sources import contests as src
 from .fitted import _rates, _tau, rnd
@@ -203,7 +203,7 @@ def _(spark, sf):
 @query("prefight_value", over_sides("""SELECT c.contest_id, c.entity_id, (SELECT p.kd FROM (SELECT *, CASE WHEN kd > 0 THEN kd END AS v FROM sides) p WHERE p.entity_id = c.opponent_id AND p.event_date < c.event_date AND v IS NOT NULL ORDER BY p.event_date DESC, p.contest_id DESC LIMIT 1) AS opp_prior_v FROM sides c"""))
 def _(spark, sf):
     s = contest_sides(spark, sf, ["kd"]).withColumn("v", F.when(F.col("kd") > 0, F.col("kd")))
-    return explore.prefight_value(s.select(*ID, "opponent_id", DATE, "v"), "v").select(*ID, "opp_prior_v")
+    return explore.prefight_value(s.select(*ID, "opponent_id", DATE, "v"), "v", tasks=row_tasks(spark, sf)).select(*ID, "opp_prior_v")
 
 
 @query("smoothing_audit", over_sides("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('0:' || contest_id || ':' || entity_id), contest_id, entity_id) AS rn FROM sides)

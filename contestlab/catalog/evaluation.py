@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import blend, metrics, ranking, sides
-from ..sample import contest_sides
+from ..sample import contest_sides, row_tasks
 from ..session import cut
 from .fitted import rnd
 from .registry import over_sides, query
@@ -14,7 +14,7 @@ from .registry import over_sides, query
 def predictions(spark, sf, shift=0.0, scale=40.0):
     """Contest predictions from a fixed expression of both sides' counts; draws left out."""
     s = contest_sides(spark, sf, ["att", "ctrl"])
-    p = sides.pair_sides(s, ["att", "ctrl"], head=["event_date", "event_id", "grp", "method", "result"]).filter("result IN (0, 1)")
+    p = sides.pair_sides(s, ["att", "ctrl"], head=["event_date", "event_id", "grp", "method", "result"], tasks=row_tasks(spark, sf)).filter("result IN (0, 1)")
     z = (F.col("att_1") - F.col("att_2") + shift) / scale
     return p.select("contest_id", "event_date", "event_id", "grp", "method", F.col("result").alias("y"),
                     F.round(1 / (1 + F.exp(-z)), 4).alias("p"), F.round(1 / (1 + F.exp(-(F.col("ctrl_1") - F.col("ctrl_2")) / 60.0)), 4).alias("p2"))
@@ -217,7 +217,7 @@ def _(spark, sf):
 
 @query("blend_weights_fit")
 def _(spark, sf):
-    w = blend.fit_blend_weights(_models(spark, sf), ["contest_id"], 0.01, capped=["c"], cap=0.2, rate=0.5, iterations=25, tol=1e-7)
+    w = blend.fit_blend_weights(_models(spark, sf), ["contest_id"], 0.01, capped=["c"], cap=0.2, rate=0.5, iterations=25, tol=1e-7, tasks=row_tasks(spark, sf))
     return spark.createDataFrame([(k, round(v, 4)) for k, v in w.items()], "model string, weight double")
 
 

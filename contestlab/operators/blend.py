@@ -13,9 +13,13 @@ from .metrics import clipped
 from .ranking import avg_rank01
 
 
-def wide(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
-    """One row per key with the label ``y`` and one column per model; missing or conflicting rows are an error."""
+def wide(parts: dict[str, DataFrame], keys: list[str], tasks: int | None = None) -> DataFrame:
+    """One row per key with the label ``y`` and one column per model; missing or conflicting rows are an error.
+
+    ``tasks`` sets how many tasks share the rows, in place of the session's partition count.
+    """
     long = reduce(DataFrame.unionByName, [d.select(*keys, "y", "p", F.lit(n).alias("model")) for n, d in parts.items()])
+    long = long.repartition(tasks, *keys) if tasks else long
     out = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.min("y").alias("y"), F.max("y").alias("__y"), *[F.max(F.when(F.col("model") == n, F.col("p"))).alias(n) for n in parts])
     ok = (F.col("__n") == len(parts)) & (F.col("y") == F.col("__y")) & reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in parts])
@@ -65,14 +69,14 @@ def _cap(w: np.ndarray, inside: np.ndarray, cap: float) -> np.ndarray:
 
 
 def fit_blend_weights(
-    parts: dict[str, DataFrame], keys: list[str], shrinkage: float, capped: list[str] = (), cap: float = 1.0, rate: float = 0.1, iterations: int = 200, tol: float = 1e-8,
+    parts: dict[str, DataFrame], keys: list[str], shrinkage: float, capped: list[str] = (), cap: float = 1.0, rate: float = 0.1, iterations: int = 200, tol: float = 1e-8, tasks: int | None = None,
 ) -> dict[str, float]:
     """Non-negative weights summing to 1 by projected gradient on log loss, shrunk to uniform.
 
     Each step is one aggregate of as many sums as there are models.
     """
     names = list(parts)
-    df = cut(wide(parts, keys).select("y", *names))
+    df = cut(wide(parts, keys, tasks).select("y", *names))
     n, k = df.count(), len(names)
     inside = np.array([m in capped for m in names])
     w = _cap(np.full(k, 1 / k), inside, cap)

@@ -84,16 +84,21 @@ def cohort_avg(df: DataFrame, members: DataFrame, entity: str, cols: list[str],
     return agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).alias("avg_value")) for c in cols])).alias("r")).select("r.*")
 
 
-def prefight_value(df: DataFrame, value: str, entity: str = "entity_id", opponent: str = "opponent_id", date: str = "event_date", contest: str = "contest_id") -> DataFrame:
+def prefight_value(df: DataFrame, value: str, entity: str = "entity_id", opponent: str = "opponent_id", date: str = "event_date", contest: str = "contest_id", tasks: int | None = None) -> DataFrame:
     """The opponent's latest non-null value before the contest's date.
 
     Latest-per-day values are carried forward on the (entity, date) table, then
-    looked up by equi-join from the other side of the contest.
+    looked up by equi-join from the other side of the contest. ``tasks`` sets how many
+    tasks share the rows of each step, in place of the session's partition count.
     """
-    day = df.groupBy(entity, date).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(contest))).alias("__v"))
+
+    def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.repartition(tasks, *keys) if tasks else rows
+
+    day = dealt(df, entity, date).groupBy(entity, date).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(contest))).alias("__v"))
     w = Window.partitionBy(entity).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    seen = day.select(F.col(entity).alias(opponent), date, F.last("__v", ignorenulls=True).over(w).alias(f"opp_prior_{value}"))
-    return df.join(seen, [opponent, date], "left")
+    seen = dealt(day, entity).select(F.col(entity).alias(opponent), date, F.last("__v", ignorenulls=True).over(w).alias(f"opp_prior_{value}"))
+    return dealt(df, opponent, date).join(dealt(seen, opponent, date), [opponent, date], "left")
 
 
 def stratified_sample(df: DataFrame, by: list[str], key: list[str], per_group: int, seed: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from contestlab.catalog.market import _ticks
+from contestlab.operators import explore, sides
 from contestlab.sample import PAIRS, contest_headers, contest_sides
 
 
@@ -33,3 +34,13 @@ def test_tasks_of_the_pairing_grow_with_the_line_items(spark, sf_dir, monkeypatc
     # 6,000 line items: the session's 4 tasks would hold three times the rows allowed
     assert many.rdd.getNumPartitions() == 12
     assert {tuple(r) for r in contest_headers(spark, sf_dir).collect()} == want
+
+
+def test_pairs_and_prior_values_in_tasks_of_their_own(spark):
+    """The number of tasks follows the rows, not the session's partition count."""
+    rows = [(c, e, 3 - e, dt.date(2000, 1, 1 + c % 9), side, float(c * e)) for c in range(40) for side, e in ((1, 1), (2, 2))]
+    df = spark.createDataFrame(rows, "contest_id bigint, entity_id bigint, opponent_id bigint, event_date date, side int, v double")
+    for make in (lambda t: sides.pair_sides(df, ["v"], tasks=t), lambda t: explore.prefight_value(df, "v", tasks=t)):
+        plain, dealt = make(None), make(7)
+        assert dealt.rdd.getNumPartitions() == 7
+        assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))

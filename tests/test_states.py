@@ -78,3 +78,28 @@ def test_short_histories_need_no_table_of_days(fights):
     out = hst.running_order_stats(fights, ["striking"], ["entity_id"], "event_date", ["event_id", "contest_id"], strict=True)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_adjusted_scores_are_written_once_before_the_python_step(spark, fights, monkeypatch):
+    from contestlab import session
+    from contestlab.operators import adjust, windows
+    from contestlab.plans import scoring
+
+    calls = []
+
+    def counted(df):
+        calls.append(1)
+        return session.cut(df)
+
+    pairs = spark.createDataFrame([(c, e, dt.date(2000, 1, 1) + dt.timedelta(days=c * 9), c, "a", float((c * e) % 5)) for c in range(12) for e in (1 + c % 3, 4)], "contest_id bigint, entity_id bigint, event_date date, event_id bigint, grp string, x double")
+    priors = spark.createDataFrame([("a", 1.0, 1.0, 0.5)], "grp string, x_wc_mean double, x_wc_mad double, x_min_mad double")
+    for m in (adjust, scoring):
+        monkeypatch.setattr(m, "cut", counted)
+    for m in (hst, windows):
+        monkeypatch.setattr(m, "once", lambda df: df if getattr(df, "is_cut", False) else counted(df))
+    got = scoring.layered_features(pairs, ["x"], priors, {"x": ["*_adjperf"]})
+    whole = {(r["contest_id"], r["entity_id"]): r["x_adjperf"] for r in got.collect()}
+    # what was conceded, and the scores; the averages read the scores as they stand
+    assert len(calls) == 2
+    cut_up = {(r["contest_id"], r["entity_id"]): r["x_adjperf"] for r in adjust.adjusted_performance(pairs, ["x"], priors, block=2).collect()}
+    assert cut_up == pytest.approx(whole)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -23,8 +24,10 @@ SKETCH_BITS = 18
 TABLE_BITS = 16
 #: Shingles that are sampled together.
 CHUNK = 1 << 15
-#: Hubs a bucket compares its members with in a round, and how many members are left for pairs.
-HUBS, LAST = 32, 256
+#: Hubs that a bucket compares its members with, and members of a block of those that are left.
+HUBS, BLOCK = 1, 512
+#: Sum of weights of a block's texts, so that long texts make small blocks.
+BLOCK_WEIGHT = 1_000_000
 #: Least number of equal samples, of all, for a pair to be verified; a pair of similarity 0.8 has fewer once in 10**8 cases.
 AGREE = 28
 
@@ -203,41 +206,131 @@ def verified(pairs: DataFrame, node_texts: DataFrame, weight) -> DataFrame:
     return both.mapInPandas(run, "a binary, b binary, sim double")
 
 
-def links(buckets: DataFrame, node_texts: DataFrame, weight, similarity: float = SIMILARITY, hubs: int = HUBS, last: int = LAST) -> DataFrame:
-    """(a, b) that connect all nodes of similarity ``similarity`` or more within the buckets (key, node, total).
+class Roots:
+    """Roots of a group's members, joined as links are found."""
 
-    Members of a bucket are compared with its smallest node, the hub. One minus weighted Jaccard
-    is a metric: members near the hub need no comparison with each other, as they are connected,
-    and two members can only be similar if their distances to the hub differ by no more than
-    the limit (a distance is not known where the samples rule similarity out). Pairs that this and the sums of weights leave, of members not yet connected, are
-    compared, in buckets with more than ``last`` such members first with ``hubs`` of them at a time.
+    def __init__(self, roots: list[bytes]):
+        first: dict[bytes, int] = {}
+        self.up = [first.setdefault(r, i) for i, r in enumerate(roots)]
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+
+def occurrences(s: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """A set whose common elements count what two texts share: a shingle, its second occurrence and so on."""
+    if len(s) == tf.sum():
+        return s
+    at = np.repeat(np.cumsum(tf) - tf, tf)
+    return np.repeat(s, tf) + (np.arange(len(at)) - at).astype(np.uint64) * _PRIMES[3]
+
+
+def joining(sampler: Sampler, members: pd.DataFrame, parts: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links between members of different roots, one for every two roots that meet: a forest, never all pairs.
+
+    A text similar to another one holds one of any of that one's elements that weigh more than one minus the
+    limit of it; the rarest ones are looked up, and what is shared is summed only where that finds a partner.
+    """
+    n, node, total = len(members), list(members["node"]), members["total"].to_numpy()
+    home, block = members["home"].to_numpy(bool), members["block"].to_numpy()
+    cross = members["i"].iloc[0] != members["j"].iloc[0]
+    own = [occurrences(*p) for p in parts]
+    lens = np.array([len(x) for x in own])
+    ends = np.cumsum(lens)
+    _, element, df = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    w = np.concatenate([np.repeat(sampler.weights(s, np.ones(len(s))), tf) for s, tf in parts])
+    postings = np.repeat(np.arange(n), lens)[np.argsort(element, kind="stable")]
+    start = np.cumsum(df) - df
+
+    def of(elements: np.ndarray) -> np.ndarray:
+        size = df[elements]
+        return postings[np.repeat(start[elements] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    roots, out = Roots(list(members["root"])), []
+    for u in range(n):
+        if cross and block[u] != members["i"].iloc[0]:
+            continue
+        mine = slice(ends[u] - lens[u], ends[u])
+        e, x = element[mine], w[mine]
+        rare = np.argsort(df[e], kind="stable")
+        upto = np.searchsorted(np.cumsum(x[rare]), (1 - similarity + 1e-6) * x.sum(), side="right") + 1
+        found = np.unique(of(e[rare[:upto]]))
+        found = found[block[found] != block[u]] if cross else found[found > u]
+        found = found[(home[found] | home[u]) & (np.minimum(total[found], total[u]) >= (similarity - 1e-9) * np.maximum(total[found], total[u]))]
+        found = [v for v in found.tolist() if roots.find(u) != roots.find(v)]
+        if not found:
+            continue
+        both = np.bincount(of(e), np.repeat(x, df[e]), n)[found]
+        near = both / (total[u] + total[found] - both) >= similarity - 1e-6
+        for v in np.array(found)[near].tolist():
+            a, b = roots.find(u), roots.find(v)
+            if a != b and weighted_jaccard(sampler, parts[u], parts[v]) >= similarity:
+                roots.up[a] = b
+                out.append((min(node[u], node[v]), max(node[u], node[v])))
+    return out
+
+
+def block_links(blocks: DataFrame, weight, similarity: float) -> DataFrame:
+    """(a, b) of links found within the groups (key, i, j) of (node, total, home, root, block, text), which lie together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampler, held = Sampler(weight.value, 1), None
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
+
+        def answered(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+            nonlocal size
+            parts = []
+            for node, text in zip(group["node"], group["text"]):
+                if node not in known:  # a node stands in several groups
+                    known[node] = counted(text)
+                    size += len(known[node][0])
+                parts.append(known[node])
+            if size > BLOCK_WEIGHT:
+                known.clear()
+                size = 0
+            return joining(sampler, group, parts, similarity)
+
+        for batch in (b for b in batches if len(b)):
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            key = batch[["key", "i", "j"]].to_numpy()
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+            out = [x for lo, hi in itertools.pairwise(first) for x in answered(batch.iloc[lo:hi])]
+            held = batch.iloc[first[-1] :]  # the last group may go on
+            yield pd.DataFrame(out, columns=["a", "b"])
+        if held is not None:
+            yield pd.DataFrame(answered(held), columns=["a", "b"])
+
+    return blocks.mapInPandas(run, "a binary, b binary")
+
+
+def links(buckets: DataFrame, node_texts: DataFrame, weight, similarity: float = SIMILARITY, hubs: int = HUBS, block: int = BLOCK) -> DataFrame:
+    """(a, b) that connect all nodes of similarity ``similarity`` or more within the buckets (key, node, total, home).
+
+    Members of a bucket are first compared with its hubs. Members of one component by then need no
+    comparison with each other; a bucket whose other members are of several is cut into blocks of about ``block``
+    members, and each two blocks are compared as sets (``joining``), all buckets at once. No row is made for a pair: a task
+    gets two blocks of texts and gives the links that connect something. Two members that are not at ``home`` are
+    compared in the bucket below.
     """
-    far = 1 - similarity + 1e-9
-    least = buckets.groupBy("key").agg(F.min("node").alias("a"))
-    star = buckets.join(least, "key").filter("node <> a").select("key", "a", F.col("node").alias("b"), "total")
-    known = written(verified(star, node_texts, weight), "hub-pairs")
-    members = written(star.join(known, ["a", "b"], "left").select("key", "a", F.col("b").alias("node"), "total", (1 - F.col("sim")).alias("d")), "members")
-    while True:
-        good = known.filter(F.col("sim") >= similarity).select("a", "b")
-        roots = written(components(good), "roots")
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        hub = roots.select(F.col("node").alias("a"), F.col("root").alias("hub_root"))
-        placed = written(placed.join(hub, "a", "left").withColumn("hub_root", F.coalesce("hub_root", "a")), "placed")
-        left = placed.filter("root <> hub_root").select("key", F.struct(F.col("node").alias("u"), "d", "total", "root").alias("x"))
-        counts = written(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "open")
-        most = counts.agg(F.max("n")).first()[0]
-        if not most:
-            return good
-        few, many = (left.join(counts.filter(c).select("key"), "key") for c in (F.col("n") <= last, F.col("n") > last))
-        some = many.groupBy("key", F.pmod(F.xxhash64("x.u"), F.lit(hubs)).alias("part")).agg(F.min("x").alias("x")).select("key", "x")
-        asked = written(few.unionByName(some).select("key", "x.*"), "asked").select("key", "u", F.col("d").alias("du"), F.col("total").alias("wu"), F.col("root").alias("ru"))
-        pairs = asked.join(placed, "key").filter((F.col("ru") != F.col("root")) & F.coalesce(F.abs(F.col("du") - F.col("d")) <= far, F.lit(True)) & (F.least("wu", "total") >= (similarity - 1e-9) * F.greatest("wu", "total")))
-        pairs = pairs.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = written(known.unionByName(verified(pairs, node_texts, weight)), "known")
-        if most <= last:
-            return known.filter(F.col("sim") >= similarity).select("a", "b")
-        # those asked have met all that they could be similar to
-        members = written(members.join(asked.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "members")
+    part = F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("part")
+    chosen = buckets.groupBy("key", part).agg(F.min(F.struct((~F.col("home")).alias("guest"), "node")).alias("x"))
+    chosen = written(chosen.filter("NOT x.guest").select("key", F.col("x.node").alias("a")), "hubs")
+    star = buckets.join(chosen, "key").filter("node <> a").select("key", "a", F.col("node").alias("b"))
+    pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    good = written(verified(pairs, node_texts, weight).filter(F.col("sim") >= similarity).select("a", "b"), "hub-links")
+    roots = components(good)
+    others = buckets.join(chosen.withColumnRenamed("a", "node"), ["key", "node"], "left_anti")
+    others = written(others.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "others")
+    cuts = others.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("w"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("home").alias("homes"))
+    cuts = cuts.filter("homes AND lo < hi").select("key", F.ceil(F.greatest(F.col("n") / block, F.col("w") / BLOCK_WEIGHT)).cast("int").alias("blocks"))
+    left = others.join(cuts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = left.join(node_texts.select("node", "text"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "total", "home", "root", "block", "text")
+    found = block_links(left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), weight, similarity)
+    return written(good.unionByName(found), "links")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -249,10 +342,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     reps = written(sig.groupBy("node").agg(F.min(F.struct("rid", "rth", "total", "digest", "bands")).alias("x")).select("node", "x.*"), "texts")
     # texts of similar weight only: a class of weights and the next one up hold all partners of a text
     step = F.floor(F.log("total") / math.log(1 / (similarity - 1e-6))).cast("bigint")
-    each = reps.select("node", "total", F.explode("bands").alias("band")).withColumn("step", F.explode(F.array(step, step + 1)))
-    each = each.select("node", "total", F.xxhash64("band", "step").alias("key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    buckets = written(each.join(shared, "key").select("key", "node", "total"), "buckets")
+    each = reps.select("node", "total", step.alias("step"), F.explode("bands").alias("band")).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+    each = each.select("node", "total", (F.col("up") == 0).alias("home"), F.xxhash64("band", F.col("step") + F.col("up")).alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("homes")).filter("n > 1 AND homes").select("key")
+    buckets = written(each.join(shared, "key").select("key", "node", "total", "home"), "buckets")
     wanted = buckets.select("node").distinct().join(reps.select("node", "rid", "rth", "digest"), "node")
     node_texts = written(rows.join(wanted, ["rid", "rth"]).dropDuplicates(["node"]).select("node", "text", "digest"), "node-texts")
     roots = written(components(links(buckets, node_texts, weight, similarity)), "roots")

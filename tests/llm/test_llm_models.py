@@ -85,6 +85,23 @@ def test_near_duplicates_equal_all_pairs(spark, last, monkeypatch):
     assert max(sizes.values()) >= 100 and sum(n == 1 for n in sizes.values()) >= 150
 
 
+def test_pairs_are_made_with_hubs_only(spark, monkeypatch):
+    rng, base = random.Random(31), prose(random.Random(30), 200, 3000).split()
+    rows = []
+    for i in range(120):  # variants that share buckets, most of them not similar to each other
+        t = list(base)
+        for at in rng.sample(range(200), rng.randrange(0, 10)):
+            t[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    asked, verified = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *more: asked.append(pairs.select("a", "b").distinct().count()) or verified(pairs, *more))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in collected(minhash.near_duplicates(df))}
+    assert len(asked) == 1 and asked[0] <= len(rows) * minhash.BANDS
+    assert got == classes_plain(rows, minhash.idf(minhash.document_frequencies(df.select("text")), len(rows)))
+    assert 1 < len(set(got.values())) < 100
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = random.Random(3)
     base = prose(rng, 300, 3000).split()

@@ -306,14 +306,19 @@ def _score_sql() -> str:
 
 @query("score_from_states", _score_sql())
 def _(spark, sf):
-    h = cut(contest_sides(spark, sf, ["land", "att"]).select(*ID, DATE, "land", "att").join(entities(spark, sf).select("entity_id", "dob", "reach", "height"), "entity_id"))
-    h = win.tenure_years(win.gap_days(h, KEY, DATE, TIE), KEY, DATE).withColumn("age", F.round(F.datediff(DATE, "dob") / 365.25, 3))
+    played = cut(contest_sides(spark, sf, ["land", "att"]).select(*ID, "opponent_id", "side", DATE, "land", "att"))
+    h = played.drop("opponent_id", "side").join(entities(spark, sf).select("entity_id", "dob", "reach", "height"), "entity_id")
+    h.is_cut = True  # days are read from the cut rows, what is joined to them is made once
+    h = win.gap_days(h, KEY, DATE, TIE)
+    h.is_cut = True
+    h = win.tenure_years(h, KEY, DATE).withColumn("age", F.round(F.datediff(DATE, "dob") / 365.25, 3))
     h = cut(sides.opponent(h, _STATIC)).withColumns({f"{c}_ratio": F.try_divide(F.col(c).cast("double"), F.col(c) + F.col(f"{c}_opp")) for c in _STATIC})
     # two tables of states, as a later refresh would leave them, merged
     state = lambda rows: standing.entity_states(rows, _MEANS, ["dob", *_STATIC, "land", "att"], _SCORE_RATE, "1995-01-01")
     states = standing.merge_states([state(h.filter(f"{DATE} < DATE '1996-01-01'")), state(h.filter(f"{DATE} >= DATE '1996-01-01' AND {DATE} < {_CUT}"))])
     american = F.when(F.col("contest_id") % 3 == 0, -150).when(F.col("contest_id") % 3 == 1, 130)
-    plan = contest_headers(spark, sf).filter(f"{DATE} >= {_CUT}").select("contest_id", DATE, "entity1_id", "entity2_id", american.alias("odds"))
+    first = played.filter(f"side = 1 AND {DATE} >= {_CUT}")
+    plan = first.select("contest_id", DATE, F.col("entity_id").alias("entity1_id"), F.col("opponent_id").alias("entity2_id"), american.alias("odds"))
     features = [*_MEANS, *[f"{c}_avg" for c in _MEANS], *[f"{c}_dec_avg" for c in _MEANS], "land", "att"]
     wanted = ["age", "side2_career_age_dec_avg", *[f"{c}_diff" for c in features], "side1_total", "combined_total", "implied_prob", "unknown"]
     out = scoring.score_schedule(states, plan, _STATIC, ["land", "att"], wanted, odds="odds")

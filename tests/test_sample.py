@@ -44,3 +44,25 @@ def test_pairs_and_prior_values_in_tasks_of_their_own(spark):
         plain, dealt = make(None), make(7)
         assert dealt.rdd.getNumPartitions() == 7
         assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
+
+
+def test_scoring_from_states_makes_contests_once(spark, tmp_path, monkeypatch):
+    """Histories and schedule are read from one written table, and no step writes the whole history in between."""
+    from contestlab import sample, session
+    from contestlab.catalog import assembly, load
+
+    lines = [(o, s, n) for o in range(1, 13) for s in range(1, 5) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint, l_linenumber int").selectExpr(
+        "*", "cast(l_suppkey as double) AS l_quantity", "l_orderkey * 10.0D AS l_extendedprice", "'R' AS l_returnflag", "'O' AS l_linestatus", "7L AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, dt.datetime(1996, o, 3) if o < 7 else dt.datetime(1998, o, 3), o, "1-URGENT", "F") for o in range(1, 13)], "o_orderkey bigint, o_orderdate timestamp, o_custkey bigint, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(s, f"s{s}", s) for s in range(1, 4)], "s_suppkey bigint, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    made, cuts, pairs, cut = [], [], sample.contest_pairs, session.cut
+    counted = lambda df: cuts.append(1) or cut(df)
+    monkeypatch.setattr(sample, "contest_pairs", lambda *a: made.append(1) or pairs(*a))
+    monkeypatch.setattr(session, "cut", counted)
+    monkeypatch.setattr(assembly, "cut", counted)
+    out = load()[0]["score_from_states"](spark, str(tmp_path)).collect()
+    # the contests of suppliers 1 and 2 after the cut; supplier 4 has no row of its own
+    assert sorted(r["contest_id"] for r in out) == sorted(o * PAIRS for o in range(7, 13))
+    assert {(r["side1_total"], r["combined_total"]) for r in out} == {(6, 12)} and {r["land_diff"] for r in out} == {-2.0}
+    assert len(made) == 1 and len(cuts) == 2

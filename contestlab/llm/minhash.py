@@ -33,7 +33,8 @@ AGREE = 28
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 _WORDS: dict[str, int] = {}
-_WORD_LIMIT = 1_000_000
+#: About 40 MB in a worker, which lives on through later stages.
+_WORD_LIMIT = 1 << 18
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:

@@ -313,3 +313,16 @@ def test_stages_take_effect(spark):
 
 def test_run_returns_packed_rows(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_known_words_are_few(monkeypatch):
+    text = prose(random.Random(5), 4000, 900)
+    want = minhash.shingles(text)
+    monkeypatch.setattr(minhash, "_WORDS", {})
+    monkeypatch.setattr(minhash, "_WORD_LIMIT", 50)
+    for at in range(0, 4000, 100):
+        minhash.shingles(" ".join(text.split()[at : at + 100]))
+        assert len(minhash._WORDS) <= 151
+    assert (minhash.shingles(text) == want).all()
+    monkeypatch.undo()
+    assert minhash._WORD_LIMIT <= 1 << 18
